@@ -88,17 +88,20 @@ def _v6_label(value: str) -> str | None:
 @F.pandas_udf(T.StringType())
 def _ipv6_class(values: pd.Series) -> pd.Series:
     uniq = {v: _v6_label(v) for v in values.dropna().unique()}
-    return values.map(uniq)
+    return pd.Series([uniq.get(v) if v is not None else None for v in values],
+                     index=values.index, dtype=object)
 
 
-def classify_ip(ip: Column, role: str) -> Column:
+def classify_ip(ip: Column, role: str, num: Column | None = None) -> Column:
     """semantic label of an address — ``Internal <role>``, ``External <role>``,
     ``localhost_<role>``, ``link_local_<role>`` or ``unknown_<role>``.
 
     Private is tested first (Python 3.13 ``ipaddress`` order), so loopback and
-    link-local IPv4 land in ``Internal``.
+    link-local IPv4 land in ``Internal``. Pass ``num`` (a column holding
+    ``ipv4_num(ip)``, see ``with_ip_nums``) so the address is parsed once and
+    the range tests stay small enough for whole-stage codegen.
     """
-    num = ipv4_num(ip)
+    num = ipv4_num(ip) if num is None else num
     v4 = (F.when(ipv4_is_private(num), F.lit(f"Internal {role}"))
           .otherwise(F.lit(f"External {role}")))
     v6 = _ipv6_class(F.when(ip.contains(":"), ip))
@@ -111,9 +114,9 @@ def classify_ip(ip: Column, role: str) -> Column:
             .otherwise(F.lit(f"unknown_{role}")))
 
 
-def classify_ipv4(ip: Column, role: str) -> Column:
+def classify_ipv4(ip: Column, role: str, num: Column | None = None) -> Column:
     """F1 without the IPv6 branch: pure native expression (no Python)."""
-    num = ipv4_num(ip)
+    num = ipv4_num(ip) if num is None else num
     return (F.when(num.isNull(), F.lit(f"unknown_{role}"))
             .when(ipv4_is_private(num), F.lit(f"Internal {role}"))
             .otherwise(F.lit(f"External {role}")))
@@ -127,3 +130,25 @@ def direction(dest_ip: Column) -> Column:
         nlo, nhi = net_bounds(addr, prefix)
         cond = cond | ((lo >= nlo) & (hi <= nhi))
     return F.when(F.coalesce(cond, F.lit(False)), "Inbound").otherwise("Outbound")
+
+
+def with_ip_nums(df, cols=("src_ip", "dest_ip")):
+    """Add ``<col>_num`` (parsed IPv4 as BIGINT) once per address column.
+
+    The parsed value is referenced by several range tests; keeping it in its
+    own column lets the optimizer keep one evaluation per row instead of
+    inlining the parse into every test.
+    """
+    for c in cols:
+        df = df.withColumn(f"{c}_num", ipv4_num(F.col(c)))
+    return df
+
+
+def classify_cols(df, role_cols=(("src_ip", "source", "source_type"), ("dest_ip", "destination", "destination_type")),
+                  ipv6: bool = True):
+    """F1 on a DataFrame: parse each address once, then classify."""
+    df = with_ip_nums(df, [c for c, _, _ in role_cols])
+    fn = classify_ip if ipv6 else classify_ipv4
+    for c, role, out in role_cols:
+        df = df.withColumn(out, fn(F.col(c), role, F.col(f"{c}_num")))
+    return df.drop(*[f"{c}_num" for c, _, _ in role_cols])

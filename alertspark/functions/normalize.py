@@ -41,14 +41,20 @@ def py_strip(c: Column) -> Column:
 
 
 def build_query(rule_name: Column, src_ip: Column, dest_ip: Column, protocol: Column,
-                ports: Column, event_count: Column, ipv6: bool = True) -> Column:
-    """deterministic retrieval sentence, stripped and cut to 500 characters."""
+                ports: Column, event_count: Column, ipv6: bool = True,
+                source_type: Column | None = None, destination_type: Column | None = None) -> Column:
+    """deterministic retrieval sentence, stripped and cut to 500 characters.
+
+    ``source_type`` / ``destination_type`` may be passed precomputed (F1 via
+    ``classify_cols``) to avoid classifying the same address twice."""
     cls = classify_ip if ipv6 else classify_ipv4
     services = F.array_join(port_services(ports), ", ")
+    st = source_type if source_type is not None else cls(src_ip, "source")
+    dt = destination_type if destination_type is not None else cls(dest_ip, "destination")
     text = F.concat(
         F.lit("Security behavior: "), _or_default(rule_name, "Unknown Rule"),
-        F.lit(". Source type: "), cls(src_ip, "source"),
-        F.lit(". Destination type: "), cls(dest_ip, "destination"),
+        F.lit(". Source type: "), st,
+        F.lit(". Destination type: "), dt,
         F.lit(". Protocol: "), _or_default(protocol, "Unknown protocol"),
         F.lit(". Target services: "), F.when(services == "", F.lit("unknown")).otherwise(services),
         F.lit(". Event volume: "), event_volume(event_count), F.lit("."))
