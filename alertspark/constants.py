@@ -56,6 +56,29 @@ IPV4_PRIVATE_EXCEPTIONS = [
     ("192.0.0.10", 32),
 ]
 
+# FIXED VALUES — IPv6 ranges Python 3.13 ``ipaddress`` treats as private, and
+# the exceptions carved out of them. IPv4-mapped addresses (::ffff:0:0/96)
+# follow the embedded IPv4 address instead.
+IPV6_PRIVATE_NETWORKS = [
+    ("::1", 128),
+    ("::", 128),
+    ("64:ff9b:1::", 48),
+    ("100::", 64),
+    ("2001::", 23),
+    ("2001:db8::", 32),
+    ("2002::", 16),
+    ("fc00::", 7),
+    ("fe80::", 10),
+]
+IPV6_PRIVATE_EXCEPTIONS = [
+    ("2001:1::1", 128),
+    ("2001:1::2", 128),
+    ("2001:3::", 32),
+    ("2001:4:112::", 48),
+    ("2001:20::", 28),
+    ("2001:30::", 28),
+]
+
 # FIXED VALUES — RFC 1918 networks used by the stored ``direction`` column.
 RFC1918_NETWORKS = [
     ("10.0.0.0", 8),

@@ -1,22 +1,20 @@
 """IP parsing and classification (F1, F2, J10 helpers).
 
-IPv4 is handled with native expressions only (regex validation + octet
-arithmetic to a BIGINT), so it stays inside whole-stage codegen. IPv6, which
-has no native Spark type, goes through one Arrow-batched pandas UDF that is fed
-only the values containing ``:`` (all other rows pass a null, which costs
-almost nothing to transfer) and classifies each distinct value of a batch once.
+Everything is a native expression (no Python in the row path): IPv4 is
+validated by regex and turned into a BIGINT by octet arithmetic; IPv6 is
+expanded into its eight 16-bit groups (``::``, embedded IPv4 tail and scope
+id handled) and tested against the fixed private/exception prefixes. Large
+expressions are generated as SQL text, so building them costs one JVM call.
 """
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import IPV4_PRIVATE_EXCEPTIONS, IPV4_PRIVATE_NETWORKS, RFC1918_NETWORKS
+from ..constants import (IPV4_PRIVATE_EXCEPTIONS, IPV4_PRIVATE_NETWORKS, IPV6_PRIVATE_EXCEPTIONS,
+                         IPV6_PRIVATE_NETWORKS, RFC1918_NETWORKS)
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -71,47 +69,24 @@ def ipv4_is_private(num: Column) -> Column:
     return in_networks(num, IPV4_PRIVATE_NETWORKS) & ~in_networks(num, IPV4_PRIVATE_EXCEPTIONS)
 
 
-def _v6_label(value: str) -> str | None:
-    try:
-        addr = ipaddress.ip_address(value)
-    except ValueError:
-        return None
-    if addr.is_private:
-        return "Internal"
-    if addr.is_loopback:
-        return "localhost"
-    if addr.is_link_local:
-        return "link_local"
-    return "External"
-
-
-@F.pandas_udf(T.StringType())
-def _ipv6_class(values: pd.Series) -> pd.Series:
-    uniq = {v: _v6_label(v) for v in values.dropna().unique()}
-    return pd.Series([uniq.get(v) if v is not None else None for v in values],
-                     index=values.index, dtype=object)
-
-
-def classify_ip(ip: Column, role: str, num: Column | None = None) -> Column:
-    """semantic label of an address — ``Internal <role>``, ``External <role>``,
-    ``localhost_<role>``, ``link_local_<role>`` or ``unknown_<role>``.
+def classify_ip(ip: str, role: str) -> Column:
+    """F1 for a named column as one native expression: ``Internal <role>``,
+    ``External <role>`` or ``unknown_<role>``.
 
-    Private is tested first (Python 3.13 ``ipaddress`` order), so loopback and
-    link-local IPv4 land in ``Internal``. Pass ``num`` (a column holding
-    ``ipv4_num(ip)``, see ``with_ip_nums``) so the address is parsed once and
-    the range tests stay small enough for whole-stage codegen.
+    Python 3.13 ``ipaddress`` tests private first, so the ``localhost_`` and
+    ``link_local_`` labels are unreachable (loopback and link-local ranges are
+    private). For several columns prefer ``classify_cols``, which parses each
+    address once into a helper column.
     """
-    num = ipv4_num(ip) if num is None else num
-    v4 = (F.when(ipv4_is_private(num), F.lit(f"Internal {role}"))
-          .otherwise(F.lit(f"External {role}")))
-    v6 = _ipv6_class(F.when(ip.contains(":"), ip))
-    v6_text = (F.when(v6 == "Internal", f"Internal {role}")
-               .when(v6 == "External", f"External {role}")
-               .when(v6.isNotNull(), F.concat(v6, F.lit(f"_{role}"))))
-    return (F.when(ip.isNull() | (ip == ""), F.lit(f"unknown_{role}"))
-            .when(num.isNotNull(), v4)
-            .when(ip.contains(":"), F.coalesce(v6_text, F.lit(f"unknown_{role}")))
-            .otherwise(F.lit(f"unknown_{role}")))
+    # One self-contained expression (the staged form is in ``classify_cols``).
+    stages = dict(ipv6_group_stages(ip, "_g"))
+    v6 = stages["_g"]
+    for name in ("_g_rg", "_g_lg", "_g_v2", "_g_t", "_g_v"):
+        v6 = v6.replace(f"`{name}`", f"({stages[name]})")
+    num = ipv4_num_sql(ip)
+    v4 = classify_sql_expr_inline(num, role)
+    return F.expr(f"CASE WHEN ({num}) IS NULL AND ({v6}) IS NOT NULL "
+                  f"THEN concat({ipv6_class_sql('(' + v6 + ')')}, ' {role}') ELSE {v4} END")
 
 
 def classify_ipv4(ip: Column, role: str, num: Column | None = None) -> Column:
@@ -122,6 +97,56 @@ def classify_ipv4(ip: Column, role: str, num: Column | None = None) -> Column:
             .otherwise(F.lit(f"External {role}")))
 
 
+def cidr_bounds_sql(col: str) -> tuple[str, str]:
+    """SQL text of ``cidr_bounds`` for a named column."""
+    addr = f"split(`{col}`, '/')[0]"
+    num = " + ".join(f"try_cast(try_element_at(split({addr}, '\\\\.'), {i}) AS BIGINT) * {m}"
+                     for i, m in ((1, 16777216), (2, 65536), (3, 256), (4, 1)))
+    size = f"shiftleft(1L, 32 - coalesce(try_cast(try_element_at(split(`{col}`, '/'), 2) AS INT), 32))"
+    ok = f"`{col}` RLIKE '{CIDR_RE}'"
+    lo = f"CASE WHEN {ok} THEN ({num}) - pmod({num}, {size}) END"
+    hi = f"CASE WHEN {ok} THEN ({num}) - pmod({num}, {size}) + {size} - 1 END"
+    return lo, hi
+
+
+def direction_expr(col: str) -> Column:
+    """F2 for a named column as one SQL expression (prefer ``with_direction``,
+    which parses the address once)."""
+    lo, hi = cidr_bounds_sql(col)
+    cond = " OR ".join(f"(({lo}) >= {nlo} AND ({hi}) <= {nhi})"
+                       for nlo, nhi in (net_bounds(a, p) for a, p in RFC1918_NETWORKS))
+    return F.expr(f"CASE WHEN coalesce({cond}, false) THEN 'Inbound' ELSE 'Outbound' END")
+
+
+def with_network_bounds(df, col: str, lo: str, hi: str):
+    """Add the numeric [lo, hi] of an INET text column (``a.b.c.d[/n]``).
+
+    Staged projections: the text is validated and split once, the address
+    number and prefix size computed once, and only then combined — every
+    sub-result is a column, so nothing is re-evaluated inside CASE branches."""
+    c = f"`{col}`"
+    df = df.select("*", F.expr(f"CASE WHEN {c} RLIKE '{CIDR_RE}' THEN split({c}, '/') END").alias("_nb_parts"))
+    addr = "try_element_at(`_nb_parts`, 1)"
+    num = " + ".join(f"try_cast(try_element_at(split({addr}, '\\\\.'), {i}) AS BIGINT) * {m}"
+                     for i, m in ((1, 16777216), (2, 65536), (3, 256), (4, 1)))
+    df = df.select("*", F.expr(num).alias("_nb_num"),
+                   F.expr("shiftleft(1L, 32 - coalesce(try_cast(try_element_at(`_nb_parts`, 2) AS INT), 32))")
+                   .alias("_nb_size"))
+    df = df.select("*", F.expr("`_nb_num` - pmod(`_nb_num`, `_nb_size`)").alias(lo))
+    df = df.select("*", F.expr(f"`{lo}` + `_nb_size` - 1").alias(hi))
+    return df.drop("_nb_parts", "_nb_num", "_nb_size")
+
+
+def with_direction(df, col: str = "dest_ip", out: str = "direction"):
+    """F2 on a DataFrame: ``Inbound`` when the destination network lies inside
+    RFC 1918, else ``Outbound`` (null and unparsable → Outbound)."""
+    df = with_network_bounds(df, col, "_dir_lo", "_dir_hi")
+    cond = " OR ".join(f"(`_dir_lo` >= {nlo} AND `_dir_hi` <= {nhi})"
+                       for nlo, nhi in (net_bounds(a, p) for a, p in RFC1918_NETWORKS))
+    df = df.select("*", F.expr(f"CASE WHEN coalesce({cond}, false) THEN 'Inbound' ELSE 'Outbound' END").alias(out))
+    return df.drop("_dir_lo", "_dir_hi")
+
+
 def direction(dest_ip: Column) -> Column:
     """``Inbound`` when the destination network lies inside RFC 1918, else ``Outbound``."""
     lo, hi = cidr_bounds(dest_ip)
@@ -144,11 +169,132 @@ def with_ip_nums(df, cols=("src_ip", "dest_ip")):
     return df
 
 
+def _ranges_sql(num: str, networks) -> str:
+    return "(" + " OR ".join(f"{num} BETWEEN {lo} AND {hi}"
+                             for lo, hi in (net_bounds(a, p) for a, p in networks)) + ")"
+
+
+def ipv4_num_sql(col: str) -> str:
+    """SQL text of ``ipv4_num`` for a named column."""
+    parts = " + ".join(f"try_cast(try_element_at(split(`{col}`, '\\\\.'), {i}) AS BIGINT) * {m}"
+                       for i, m in ((1, 16777216), (2, 65536), (3, 256), (4, 1)))
+    return f"CASE WHEN `{col}` RLIKE '{IPV4_RE}' THEN {parts} END"
+
+
+def classify_sql_expr_inline(num: str, role: str) -> str:
+    n = f"({num})"
+    return (f"CASE WHEN {n} IS NULL THEN 'unknown_{role}' "
+            f"WHEN {_ranges_sql(n, IPV4_PRIVATE_NETWORKS)} AND NOT {_ranges_sql(n, IPV4_PRIVATE_EXCEPTIONS)} "
+            f"THEN 'Internal {role}' ELSE 'External {role}' END")
+
+
+def classify_sql_expr(col: str, num_col: str, role: str) -> str:
+    """SQL text of the IPv4 part of F1 over a parsed-number column."""
+    return (f"CASE WHEN `{num_col}` IS NULL THEN 'unknown_{role}' "
+            f"WHEN {_ranges_sql('`' + num_col + '`', IPV4_PRIVATE_NETWORKS)} AND NOT "
+            f"{_ranges_sql('`' + num_col + '`', IPV4_PRIVATE_EXCEPTIONS)} THEN 'Internal {role}' "
+            f"ELSE 'External {role}' END")
+
+
 def classify_cols(df, role_cols=(("src_ip", "source", "source_type"), ("dest_ip", "destination", "destination_type")),
                   ipv6: bool = True):
-    """F1 on a DataFrame: parse each address once, then classify."""
-    df = with_ip_nums(df, [c for c, _, _ in role_cols])
-    fn = classify_ip if ipv6 else classify_ipv4
+    """F1 on a DataFrame: parse each address once, then classify.
+
+    The expressions are generated as SQL text (one JVM call per column) and the
+    parsed number is a separate projected column, referenced by every range
+    test, so the generated code stays small."""
+    nums = [F.expr(ipv4_num_sql(c)).alias(f"{c}_num") for c, _, _ in role_cols]
+    df = df.select("*", *nums)
+    if ipv6:
+        for c, _, _ in role_cols:
+            df = with_ipv6_groups(df, c, f"{c}_v6")
+    outs = []
     for c, role, out in role_cols:
-        df = df.withColumn(out, fn(F.col(c), role, F.col(f"{c}_num")))
-    return df.drop(*[f"{c}_num" for c, _, _ in role_cols])
+        v4 = classify_sql_expr(c, f"{c}_num", role)
+        if ipv6:
+            v6 = ipv6_class_sql(f"`{c}_v6`")
+            expr = (f"CASE WHEN `{c}_num` IS NULL AND `{c}_v6` IS NOT NULL THEN concat({v6}, ' {role}') "
+                    f"ELSE {v4} END")
+        else:
+            expr = v4
+        outs.append(F.expr(expr).alias(out))
+    helper = [f"{c}_num" for c, _, _ in role_cols] + ([f"{c}_v6" for c, _, _ in role_cols] if ipv6 else [])
+    return df.select("*", *outs).drop(*helper)
+
+
+# --------------------------------------------------------------------------- IPv6 (native)
+
+_G = "[0-9A-Fa-f]{1,4}"
+IPV6_FULL_RE = rf"^({_G}:){{7}}{_G}$"
+IPV6_COMP_RE = rf"^(({_G}:){{0,6}}{_G})?::(({_G}:){{0,6}}{_G})?$"
+
+
+def _v6_groups(net: str) -> list[int]:
+    """Eight 16-bit groups of a literal IPv6 network address (driver-side constant)."""
+    left, _, right = net.partition("::")
+    lg = [int(x, 16) for x in left.split(":") if x] if left else []
+    rg = [int(x, 16) for x in right.split(":") if x] if right else []
+    return lg + [0] * (8 - len(lg) - len(rg)) + rg
+
+
+def _v6_in_sql(arr: str, net: str, prefix: int) -> str:
+    """SQL: the 8-group int array ``arr`` lies inside ``net/prefix``."""
+    groups = _v6_groups(net)
+    conds = []
+    for i in range(8):
+        bits = max(0, min(16, prefix - 16 * i))
+        if bits == 0:
+            break
+        mask = (0xFFFF << (16 - bits)) & 0xFFFF
+        g = f"{arr}[{i}]"
+        conds.append(f"{g} = {groups[i] & mask}" if mask == 0xFFFF else f"({g} & {mask}) = {groups[i] & mask}")
+    return "(" + " AND ".join(conds) + ")"
+
+
+def ipv6_group_stages(col: str, out: str) -> list[tuple[str, str]]:
+    """IPv6 text → ``out`` = ARRAY<INT> of its eight 16-bit groups (NULL when not a
+    valid IPv6 literal), as a list of (column, SQL) projection stages.
+
+    Each stage references the previous stage's column, so every expression
+    stays small (no textual blow-up, small generated code); the stages are
+    applied as consecutive projections. Handles ``::``, an embedded IPv4 tail
+    and a ``%scope`` suffix."""
+    c, v, t, v2, lg, rg = (f"`{col}`", f"`{out}_v`", f"`{out}_t`", f"`{out}_v2`", f"`{out}_lg`", f"`{out}_rg`")
+    tnum = " + ".join(f"try_cast(try_element_at(split({t}, '\\\\.'), {i}) AS BIGINT) * {m}"
+                      for i, m in ((1, 16777216), (2, 65536), (3, 256), (4, 1)))
+    return [
+        (f"{out}_v", f"CASE WHEN {c} LIKE '%:%' AND {c} NOT LIKE '%/%' THEN regexp_replace({c}, '%[^%/]+$', '') END"),
+        (f"{out}_t", f"regexp_extract({v}, '([^:]*)$', 1)"),
+        (f"{out}_v2", f"CASE WHEN {t} NOT LIKE '%.%' THEN {v} WHEN {t} RLIKE '{IPV4_RE}' THEN "
+                      f"concat(substring({v}, 1, length({v}) - length({t})), lower(hex(shiftright({tnum}, 16))), "
+                      f"':', lower(hex(({tnum}) & 65535))) END"),
+        (f"{out}_lg", f"CASE WHEN split({v2}, '::')[0] = '' THEN array() ELSE split(split({v2}, '::')[0], ':') END"),
+        (f"{out}_rg", f"CASE WHEN coalesce(try_element_at(split({v2}, '::'), 2), '') = '' THEN array() "
+                      f"ELSE split(try_element_at(split({v2}, '::'), 2), ':') END"),
+        (out, f"transform(CASE WHEN {v2} RLIKE '{IPV6_FULL_RE}' THEN split({v2}, ':') "
+              f"WHEN {v2} RLIKE '{IPV6_COMP_RE}' AND size({lg}) + size({rg}) <= 7 "
+              f"THEN concat({lg}, array_repeat('0', 8 - size({lg}) - size({rg})), {rg}) END, "
+              f"g -> CAST(conv(g, 16, 10) AS INT))"),
+    ]
+
+
+def with_ipv6_groups(df, col: str, out: str):
+    """Apply the IPv6 parsing stages; leaves only ``out`` behind."""
+    stages = ipv6_group_stages(col, out)
+    for name, expr in stages:
+        df = df.select("*", F.expr(expr).alias(name))
+    return df.drop(*[n for n, _ in stages[:-1]])
+
+
+def ipv6_class_sql(arr: str) -> str:
+    """SQL text: ``Internal`` / ``External`` for a parsed IPv6 group array (NULL → NULL).
+
+    IPv4-mapped addresses follow the embedded IPv4 rules (Python 3.13)."""
+    mapped = f"({arr}[0] = 0 AND {arr}[1] = 0 AND {arr}[2] = 0 AND {arr}[3] = 0 AND {arr}[4] = 0 AND {arr}[5] = 65535)"
+    v4num = f"(CAST({arr}[6] AS BIGINT) * 65536 + {arr}[7])"
+    v4priv = (f"({_ranges_sql(v4num, IPV4_PRIVATE_NETWORKS)} AND NOT {_ranges_sql(v4num, IPV4_PRIVATE_EXCEPTIONS)})")
+    priv = " OR ".join(_v6_in_sql(arr, n, p) for n, p in IPV6_PRIVATE_NETWORKS)
+    exc = " OR ".join(_v6_in_sql(arr, n, p) for n, p in IPV6_PRIVATE_EXCEPTIONS)
+    return (f"CASE WHEN {arr} IS NULL THEN NULL WHEN {mapped} THEN "
+            f"CASE WHEN {v4priv} THEN 'Internal' ELSE 'External' END "
+            f"WHEN ({priv}) AND NOT ({exc}) THEN 'Internal' ELSE 'External' END")

@@ -10,17 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import MAX_QUERY_LENGTH, PORT_SERVICES, UNKNOWN_SERVICE
-from .ip import classify_ip, classify_ipv4
+from .ip import classify_ip
 
-_PORT_MAP = F.create_map(*[x for p, s in PORT_SERVICES.items() for x in (F.lit(p), F.lit(s))])
+def _port_map() -> Column:
+    return F.create_map(*[x for p, s in PORT_SERVICES.items() for x in (F.lit(p), F.lit(s))])
 
 
 def port_services(ports: Column) -> Column:
     """ports → service names; unmapped → ``unknown service``; null/negative
     elements dropped (they are not digit strings); order and duplicates kept."""
+    port_map = _port_map()
     kept = F.filter(F.coalesce(ports, F.array().cast("array<int>")),
                     lambda p: p.isNotNull() & (p >= 0))
-    return F.transform(kept, lambda p: F.coalesce(F.element_at(_PORT_MAP, p), F.lit(UNKNOWN_SERVICE)))
+    return F.transform(kept, lambda p: F.coalesce(F.element_at(port_map, p), F.lit(UNKNOWN_SERVICE)))
 
 
 def event_volume(n: Column) -> Column:
@@ -40,17 +42,17 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def build_query(rule_name: Column, src_ip: Column, dest_ip: Column, protocol: Column,
-                ports: Column, event_count: Column, ipv6: bool = True,
+def build_query(rule_name: Column, src_ip: str, dest_ip: str, protocol: Column,
+                ports: Column, event_count: Column,
                 source_type: Column | None = None, destination_type: Column | None = None) -> Column:
     """deterministic retrieval sentence, stripped and cut to 500 characters.
 
-    ``source_type`` / ``destination_type`` may be passed precomputed (F1 via
-    ``classify_cols``) to avoid classifying the same address twice."""
-    cls = classify_ip if ipv6 else classify_ipv4
+    ``src_ip`` / ``dest_ip`` are column names; pass ``source_type`` /
+    ``destination_type`` precomputed (F1 via ``classify_cols``) to avoid
+    classifying the same address twice."""
     services = F.array_join(port_services(ports), ", ")
-    st = source_type if source_type is not None else cls(src_ip, "source")
-    dt = destination_type if destination_type is not None else cls(dest_ip, "destination")
+    st = source_type if source_type is not None else classify_ip(src_ip, "source")
+    dt = destination_type if destination_type is not None else classify_ip(dest_ip, "destination")
     text = F.concat(
         F.lit("Security behavior: "), _or_default(rule_name, "Unknown Rule"),
         F.lit(". Source type: "), st,

@@ -18,11 +18,17 @@ from ..functions.normalize import SQLI_REGEX, XSS_REGEX, window_seconds
 from ..functions.ti import ti_flat
 from ..schemas import SAMPLE_LOGS
 from ..sources.reference import playbook_thresholds, reference_documents
-from .joins import broadcast_if_bounded
+from .joins import broadcast_if_bounded, mark_bounded
 
 DIM_MAX_ROWS = 1_000_000
 
 
+def _keep_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
+    """A projection/aggregation of a dimension has at most the source's rows."""
+    rows = getattr(source, "_alertspark_rows", None)
+    return mark_bounded(derived, rows) if rows is not None else derived
+
+
 # --------------------------------------------------------------------------- J1
 
 def ti_snapshots_from_alerts(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +95,7 @@ def attach_reference(alerts: DataFrame, path: str | None = None) -> DataFrame:
 
 def asset_lookup(alerts: DataFrame, assets: DataFrame) -> DataFrame:
     """Destination and source addresses → asset name/type/criticality/zone."""
-    dim = broadcast_if_bounded(assets.dropDuplicates(["ip"]), DIM_MAX_ROWS)
+    dim = broadcast_if_bounded(_keep_bound(assets.dropDuplicates(["ip"]), assets), DIM_MAX_ROWS)
     out = alerts
     for role, col in (("dest", "dest_ip"), ("src", "src_ip")):
         d = dim.select(F.col("ip").alias(f"_{role}_aip"),
@@ -112,9 +118,9 @@ def approved_match(alerts: DataFrame, approved: DataFrame) -> DataFrame:
     """Adds ``approved_endpoint`` (bool) and ``approved_label`` — the alert's
     destination or source is an approved endpoint and its protocol and every
     port are allowed (``ANY`` allows all). Two broadcast equi-joins, no shuffle."""
-    dim = broadcast_if_bounded(
+    dim = broadcast_if_bounded(_keep_bound(
         approved.groupBy("ip").agg(F.min_by(F.struct("label", "approved", "allowed_protocols", "allowed_ports"),
-                                            F.col("label")).alias("e")), DIM_MAX_ROWS)
+                                            F.col("label")).alias("e")), approved), DIM_MAX_ROWS)
     d = dim.select(F.col("ip").alias("_d_ip"), F.col("e").alias("_d_e"))
     s = dim.select(F.col("ip").alias("_s_ip"), F.col("e").alias("_s_e"))
     j = alerts.join(d, alerts["dest_ip"] == d["_d_ip"], "left").join(s, F.col("src_ip") == s["_s_ip"], "left")
@@ -145,7 +151,8 @@ def segmentation_check(alerts: DataFrame, segmentation: DataFrame) -> DataFrame:
     rules = segmentation.groupBy(F.col("dst").alias("_seg_dst")).agg(
         F.array_sort(F.collect_list(F.struct("rule_idx", "src_lo", "src_hi", "ports", "allowed",
                                              "exception_ip"))).alias("_rules"))
-    j = alerts.join(broadcast_if_bounded(rules, DIM_MAX_ROWS), alerts["dest_ip"] == F.col("_seg_dst"), "left")
+    j = alerts.join(broadcast_if_bounded(_keep_bound(rules, segmentation), DIM_MAX_ROWS),
+                    alerts["dest_ip"] == F.col("_seg_dst"), "left")
     src_num = ipv4_num(F.col("src_ip"))
     hit = F.filter(F.col("_rules"), lambda r: src_num.between(r["src_lo"], r["src_hi"])
                    & F.arrays_overlap(F.coalesce(F.col("destination_ports"), F.array().cast("array<int>")),
@@ -195,7 +202,8 @@ def evidence_features(alerts: DataFrame, ref: dict, path: str | None = None) ->
     failed_logins = F.when(F.col("failed_log_count") > 0, F.coalesce(F.col("event_count"), F.lit(0))).otherwise(0)
     probed = F.size(F.array_distinct(F.concat(F.filter(ports, lambda p: p.isNotNull()), F.col("log_ports"))))
     wsec = window_seconds(F.col("time_window"))
-    df = classify_cols(df)
+    if not {"source_type", "destination_type"} <= set(df.columns):
+        df = classify_cols(df)
     src_class = F.col("source_type")
     dest_class = F.col("destination_type")
     bf_ports = F.array(*[F.lit(p) for p in th["brute_force_ports"]])
@@ -221,7 +229,8 @@ def evidence_features(alerts: DataFrame, ref: dict, path: str | None = None) ->
 
 def playbook_matches(features: DataFrame, playbooks: DataFrame) -> DataFrame:
     """One row per (alert, matched playbook) with its severity and actions."""
-    pb = broadcast_if_bounded(playbooks.select(F.col("name").alias("playbook"), F.col("severity").alias("playbook_severity"),
-                                               "actions"), DIM_MAX_ROWS)
+    pb = broadcast_if_bounded(_keep_bound(playbooks.select(F.col("name").alias("playbook"),
+                                                           F.col("severity").alias("playbook_severity"), "actions"),
+                                          playbooks), DIM_MAX_ROWS)
     m = features.select("alert_id", F.explode("matched_playbooks").alias("playbook"))
     return m.join(pb, "playbook", "inner")

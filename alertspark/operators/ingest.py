@@ -60,8 +60,16 @@ def _reasons(p: Column) -> Column:
 
 
 def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """S2 + S3: (valid typed alerts, rejected rows with ``reasons``)."""
-    parsed = raw.select(F.from_json(F.col(payload_col), SUBMISSION).alias("p"), F.col(payload_col))
+    """S2 + S3: (valid typed alerts, rejected rows with ``reasons``).
+
+    The payload is parsed once per row and its fields come out of a generator
+    (``inline``): the validity filter then reads materialised columns and is
+    not pushed below the parse, which would re-parse the payload once per
+    check."""
+    fields = SUBMISSION.fieldNames()
+    parsed = raw.select(F.col(payload_col),
+                        F.inline(F.array(F.from_json(F.col(payload_col), SUBMISSION))))
+    parsed = parsed.select(F.col(payload_col), F.struct(*fields).alias("p"))
     checked = parsed.withColumn("reasons", _reasons(F.col("p")))
     ok = F.size("reasons") == 0
     p = F.col("p")

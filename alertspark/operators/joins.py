@@ -18,11 +18,24 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame, max_rows: int) -> bool:
+    known = getattr(df, "_alertspark_rows", None)
+    if known is not None:
+        return known <= max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def mark_bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Record a proven row count on a (cached) DataFrame so later joins need no probe."""
+    df._alertspark_rows = rows
+    return df
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if bounded(df, max_rows) else df
+    if not bounded(df, max_rows):
+        return df
+    out = F.broadcast(df)
+    rows = getattr(df, "_alertspark_rows", None)
+    return mark_bounded(out, rows) if rows is not None else out
 
 
 def cidr_join(df: DataFrame, num: Column, networks: DataFrame, how: str = "inner",

@@ -23,8 +23,9 @@ from ..functions.ti import ti_malicious
 CONTENT_PLAYBOOKS = ["sqli", "xss", "data_exfiltration", "brute_force", "port_scan"]
 
 
-def rule_verdict(features: DataFrame) -> DataFrame:
-    """ordered ladder, first hit wins (our stand-in for the model)."""
+def rule_verdict(features: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """ordered ladder, first hit wins (our stand-in for the model).
+    ``keep`` passes feature columns through (avoids re-joining features)."""
     mal = ti_malicious(F.col("abuse_score"), F.col("vt_malicious"))
     pb = F.array_join(F.col("matched_playbooks"), ", ")
     has_pb = F.size(F.col("matched_playbooks")) > 0
@@ -55,7 +56,7 @@ def rule_verdict(features: DataFrame) -> DataFrame:
                                             F.lit("segmentation_violation")), F.lit(".")))
            .when(mal, F.lit("Block the source address and investigate related activity."))
            .otherwise(F.lit("Assign to an analyst for manual review.")))
-    return features.select("alert_id", cls.alias("llm_classification"), conf.alias("llm_confidence"),
+    return features.select("alert_id", *(keep or []), cls.alias("llm_classification"), conf.alias("llm_confidence"),
                            reason.alias("llm_reason"), rec.alias("llm_recommendation"),
                            F.lit(TRIAGE_SUCCEEDED).alias("triage_status"),
                            F.lit(None).cast("string").alias("error"))
@@ -71,21 +72,22 @@ def returned_failure_reason(err: Column) -> Column:
     return F.concat(F.lit(FAILSAFE_RETURNED_REASON_PREFIX), err)
 
 
-def with_failsafe(claimed: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Every claimed alert gets a verdict. Missing or failed scoring →
-    Needs Review, 0, fixed reason/recommendation, Failed. Adds ``request_status``
-    (``success`` / ``failsafe_executed``) and the returned ``analysis_reason``."""
-    v = verdicts.select("alert_id", F.col("llm_classification").alias("_c"),
-                        F.col("llm_confidence").cast("double").alias("_f"),
-                        F.col("llm_reason").alias("_r"), F.col("llm_recommendation").alias("_m"),
-                        F.col("triage_status").alias("_t"), F.col("error").alias("_e"),
-                        F.lit(True).alias("_hit"))
-    j = claimed.select("alert_id").join(v, "alert_id", "left")
+def fill_failsafe(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """J6 as a projection, for a scorer output that already holds one row per
+    claimed alert (null or failed verdicts are replaced; no join needed)."""
+    v = df.select("alert_id", *(keep or []), F.col("llm_classification").alias("_c"),
+                  F.col("llm_confidence").cast("double").alias("_f"), F.col("llm_reason").alias("_r"),
+                  F.col("llm_recommendation").alias("_m"), F.col("triage_status").alias("_t"),
+                  F.col("error").alias("_e"), F.lit(True).alias("_hit"))
+    return _fill(v, keep or [])
+
+
+def _fill(j: DataFrame, keep: list[str]) -> DataFrame:
     failed = F.col("_hit").isNull() | F.col("_e").isNotNull() | F.col("_c").isNull()
     err = F.coalesce(F.col("_e"), F.when(F.col("_hit").isNull(), F.lit("no verdict returned")),
                      F.lit("empty classification"))
     return j.select(
-        "alert_id",
+        "alert_id", *keep,
         F.when(failed, F.lit(CLASS_NR)).otherwise(F.col("_c")).alias("llm_classification"),
         F.when(failed, F.lit(0.0)).otherwise(F.col("_f")).alias("llm_confidence"),
         F.when(failed, failsafe_reason(err)).otherwise(F.col("_r")).alias("llm_reason"),
@@ -96,6 +98,19 @@ def with_failsafe(claimed: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.when(failed, returned_failure_reason(err)).otherwise(F.col("_r")).alias("analysis_reason"))
 
 
+def with_failsafe(claimed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Every claimed alert gets a verdict. Missing or failed scoring →
+    Needs Review, 0, fixed reason/recommendation, Failed. Adds ``request_status``
+    (``success`` / ``failsafe_executed``) and the returned ``analysis_reason``."""
+    v = verdicts.select("alert_id", F.col("llm_classification").alias("_c"),
+                        F.col("llm_confidence").cast("double").alias("_f"),
+                        F.col("llm_reason").alias("_r"), F.col("llm_recommendation").alias("_m"),
+                        F.col("triage_status").alias("_t"), F.col("error").alias("_e"),
+                        F.lit(True).alias("_hit"))
+    j = claimed.select("alert_id").join(v, "alert_id", "left")
+    return _fill(j, [])
+
+
 def _words(c: Column) -> Column:
     t = F.regexp_replace(c, r"^\s+|\s+$", "")
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))

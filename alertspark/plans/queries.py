@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import IPV4_PRIVATE_NETWORKS, STATUS_PENDING, STATUS_PROCESSING
 from ..functions.context import context_blocks
-from ..functions.ip import classify_cols, direction, ipv4_num, net_bounds
+from ..functions.ip import classify_cols, ipv4_num, net_bounds, with_direction
 from ..functions.normalize import (build_query, confidence_band, event_volume, port_services,
                                    window_seconds)
 from ..functions.ti import ti_flat
@@ -152,8 +152,8 @@ def f1_classify_ip(spark, sf):
 
 
 def f2_direction(spark, sf):
-    a = _alerts(spark, sf)
-    return a.select("alert_id", "dest_ip", direction(F.col("dest_ip")).alias("direction"))
+    a = _alerts(spark, sf).select("alert_id", "dest_ip")
+    return with_direction(a, "dest_ip", "direction")
 
 
 def f3_port_services(spark, sf):
@@ -166,7 +166,7 @@ def f4_event_volume(spark, sf):
 
 def f5_build_query(spark, sf):
     a = classify_cols(_alerts(spark, sf))
-    return a.select("alert_id", build_query(F.col("rule_name"), F.col("src_ip"), F.col("dest_ip"),
+    return a.select("alert_id", build_query(F.col("rule_name"), "src_ip", "dest_ip",
                                             F.col("protocol"), F.col("destination_ports"), F.col("event_count"),
                                             source_type=F.col("source_type"),
                                             destination_type=F.col("destination_type")).alias("query_text"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.ip import direction
+from ..functions.ip import with_direction
 from .tables import read_table
 
 # FIXED VALUES of our adapter (FIXTURES.md §6) — not reference values.
@@ -120,7 +120,7 @@ def alerts_from_events(events: DataFrame) -> DataFrame:
         status.alias("analysis_status"),
         F.when(processed, F.when(kk % 10 == 0, "Failed").otherwise("Succeeded")).alias("triage_status"),
     )
-    return out.withColumn("direction", direction(F.col("dest_ip")))
+    return with_direction(out, "dest_ip", "direction")
 
 
 def load_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

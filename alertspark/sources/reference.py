@@ -103,11 +103,25 @@ def approved_endpoints(raw: DataFrame) -> DataFrame:
                     "e.allowed_ports", "e.owner")
 
 
+_CACHE: dict = {}
+
+
 def load_reference(spark: SparkSession, path: str | None = None) -> dict[str, DataFrame]:
-    """The four dimensions, each tiny and cached once per session use."""
+    """The four dimensions. Loaded once per session and path, cached, and
+    their row counts recorded so joins can broadcast them without re-probing."""
+    from ..operators.joins import mark_bounded
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(path or DEFAULT_REFERENCE))
+    if key in _CACHE:
+        return _CACHE[key]
     raw = read_reference_raw(spark, path)
-    return {"playbooks": playbooks(raw), "assets": assets(raw),
+    dims = {"playbooks": playbooks(raw), "assets": assets(raw),
             "segmentation": segmentation(raw), "approved": approved_endpoints(raw)}
+    for name, df in dims.items():
+        df = df.cache()
+        dims[name] = mark_bounded(df, df.count())
+    _CACHE[key] = dims
+    return dims
 
 
 def reference_documents(path: str | None = None) -> dict[str, str]:

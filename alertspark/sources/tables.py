@@ -17,7 +17,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's parallelism.
+
+    A table stored as a few large row groups is scanned by a few tasks, and
+    every per-row expression downstream then runs on those tasks only. When
+    the scan has fewer partitions than ``defaultParallelism`` the rows are
+    redistributed round-robin (a shuffle of the input rows). At scale the scan
+    already has thousands of splits and this is a no-op, so the shuffle only
+    ever happens on small inputs."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if parallel else df
