@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import STATUS_PENDING, VARCHAR_LIMITS
-from ..functions.ip import CIDR_RE, direction
+from ..functions.ip import CIDR_RE, with_direction
 from ..schemas import ALERT_COLUMNS, SUBMISSION
 from .state import first_per_id, py_ts_text, ts_lit
 
@@ -87,7 +87,7 @@ def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tup
         F.lit(None).cast("string").alias("llm_reason"), F.lit(None).cast("string").alias("llm_recommendation"),
         F.lit(None).cast("timestamp_ntz").alias("analyzed_at"), F.lit(STATUS_PENDING).alias("analysis_status"),
         F.lit(None).cast("string").alias("triage_status"))
-    valid = valid.withColumn("direction", direction(F.col("dest_ip")))
+    valid = with_direction(valid, "dest_ip", "direction")
     rejected = checked.filter(~ok).select(p["alert_id"].alias("alert_id"), p["src_ip"].alias("src_ip"),
                                           "reasons", F.col(payload_col).alias("payload"))
     return valid, rejected

@@ -126,9 +126,9 @@ def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id
     nb = max(1, math.ceil(n_kb / kb_block_rows))
     nq = max(1, math.ceil(n_q / q_block_rows))
     qb = q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(nq))) \
-        .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).cast("long"))
+        .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)).cast("array<bigint>")))
     kbb = b.withColumn("kb_block", F.pmod(F.xxhash64("id"), F.lit(nb))) \
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
 
     def pair(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
         return _topk_block(qpdf["query_id"].to_numpy(dtype=object), _matrix(qpdf["vec"]),
