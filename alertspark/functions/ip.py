@@ -78,11 +78,7 @@ def classify_ip(ip: str, role: str) -> Column:
     private). For several columns prefer ``classify_cols``, which parses each
     address once into a helper column.
     """
-    # One self-contained expression (the staged form is in ``classify_cols``).
-    stages = dict(ipv6_group_stages(ip, "_g"))
-    v6 = stages["_g"]
-    for name in ("_g_rg", "_g_lg", "_g_v2", "_g_t", "_g_v"):
-        v6 = v6.replace(f"`{name}`", f"({stages[name]})")
+    v6 = ipv6_groups_sql(ip)
     num = ipv4_num_sql(ip)
     v4 = classify_sql_expr_inline(num, role)
     return F.expr(f"CASE WHEN ({num}) IS NULL AND ({v6}) IS NOT NULL "
@@ -118,33 +114,37 @@ def direction_expr(col: str) -> Column:
     return F.expr(f"CASE WHEN coalesce({cond}, false) THEN 'Inbound' ELSE 'Outbound' END")
 
 
-def with_network_bounds(df, col: str, lo: str, hi: str):
-    """Add the numeric [lo, hi] of an INET text column (``a.b.c.d[/n]``).
-
-    Staged projections: the text is validated and split once, the address
-    number and prefix size computed once, and only then combined — every
-    sub-result is a column, so nothing is re-evaluated inside CASE branches."""
+def network_bounds_sql(col: str) -> str:
+    """SQL text: INET text ``a.b.c.d[/n]`` → named_struct(lo, hi) of its
+    network (NULL when not valid). Intermediate values are lambda-bound, so
+    the address is split and converted once per row."""
     c = f"`{col}`"
-    df = df.select("*", F.expr(f"CASE WHEN {c} RLIKE '{CIDR_RE}' THEN split({c}, '/') END").alias("_nb_parts"))
-    addr = "try_element_at(`_nb_parts`, 1)"
-    num = " + ".join(f"try_cast(try_element_at(split({addr}, '\\\\.'), {i}) AS BIGINT) * {m}"
+    num = " + ".join(f"try_cast(try_element_at(split(pa[0], '\\\\.'), {i}) AS BIGINT) * {m}"
                      for i, m in ((1, 16777216), (2, 65536), (3, 256), (4, 1)))
-    df = df.select("*", F.expr(num).alias("_nb_num"),
-                   F.expr("shiftleft(1L, 32 - coalesce(try_cast(try_element_at(`_nb_parts`, 2) AS INT), 32))")
-                   .alias("_nb_size"))
-    df = df.select("*", F.expr("`_nb_num` - pmod(`_nb_num`, `_nb_size`)").alias(lo))
-    df = df.select("*", F.expr(f"`{lo}` + `_nb_size` - 1").alias(hi))
-    return df.drop("_nb_parts", "_nb_num", "_nb_size")
+    size = "shiftleft(1L, 32 - coalesce(try_cast(try_element_at(pa, 2) AS INT), 32))"
+    inner = _let(f"named_struct('n', {num}, 's', {size})", "ns",
+                 "named_struct('lo', ns.n - pmod(ns.n, ns.s), 'hi', ns.n - pmod(ns.n, ns.s) + ns.s - 1)")
+    return f"CASE WHEN {c} RLIKE '{CIDR_RE}' THEN " + _let(f"split({c}, '/')", "pa", inner) + " END"
+
+
+def with_network_bounds(df, col: str, lo: str, hi: str):
+    """Add the numeric [lo, hi] of an INET text column."""
+    df = df.select("*", F.expr(network_bounds_sql(col)).alias("_nb"))
+    return df.select("*", F.col("_nb.lo").alias(lo), F.col("_nb.hi").alias(hi)).drop("_nb")
+
+
+def direction_sql(col: str) -> str:
+    """SQL text of F2 for a named column."""
+    cond = " OR ".join(f"(b.lo >= {nlo} AND b.hi <= {nhi})"
+                       for nlo, nhi in (net_bounds(a, p) for a, p in RFC1918_NETWORKS))
+    return ("CASE WHEN coalesce(" + _let(network_bounds_sql(col), "b", cond) + ", false) "
+            "THEN 'Inbound' ELSE 'Outbound' END")
 
 
 def with_direction(df, col: str = "dest_ip", out: str = "direction"):
     """F2 on a DataFrame: ``Inbound`` when the destination network lies inside
     RFC 1918, else ``Outbound`` (null and unparsable → Outbound)."""
-    df = with_network_bounds(df, col, "_dir_lo", "_dir_hi")
-    cond = " OR ".join(f"(`_dir_lo` >= {nlo} AND `_dir_hi` <= {nhi})"
-                       for nlo, nhi in (net_bounds(a, p) for a, p in RFC1918_NETWORKS))
-    df = df.select("*", F.expr(f"CASE WHEN coalesce({cond}, false) THEN 'Inbound' ELSE 'Outbound' END").alias(out))
-    return df.drop("_dir_lo", "_dir_hi")
+    return df.select("*", F.expr(direction_sql(col)).alias(out))
 
 
 def direction(dest_ip: Column) -> Column:
@@ -204,10 +204,9 @@ def classify_cols(df, role_cols=(("src_ip", "source", "source_type"), ("dest_ip"
     parsed number is a separate projected column, referenced by every range
     test, so the generated code stays small."""
     nums = [F.expr(ipv4_num_sql(c)).alias(f"{c}_num") for c, _, _ in role_cols]
-    df = df.select("*", *nums)
     if ipv6:
-        for c, _, _ in role_cols:
-            df = with_ipv6_groups(df, c, f"{c}_v6")
+        nums += [F.expr(ipv6_groups_sql(c)).alias(f"{c}_v6") for c, _, _ in role_cols]
+    df = df.select("*", *nums)
     outs = []
     for c, role, out in role_cols:
         v4 = classify_sql_expr(c, f"{c}_num", role)
@@ -251,39 +250,34 @@ def _v6_in_sql(arr: str, net: str, prefix: int) -> str:
     return "(" + " AND ".join(conds) + ")"
 
 
-def ipv6_group_stages(col: str, out: str) -> list[tuple[str, str]]:
-    """IPv6 text → ``out`` = ARRAY<INT> of its eight 16-bit groups (NULL when not a
-    valid IPv6 literal), as a list of (column, SQL) projection stages.
+def _let(value: str, var: str, body: str) -> str:
+    """SQL ``let``: bind ``value`` to the lambda variable ``var`` inside ``body``
+    (evaluated once per row; no projection needed)."""
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
 
-    Each stage references the previous stage's column, so every expression
-    stays small (no textual blow-up, small generated code); the stages are
-    applied as consecutive projections. Handles ``::``, an embedded IPv4 tail
-    and a ``%scope`` suffix."""
-    c, v, t, v2, lg, rg = (f"`{col}`", f"`{out}_v`", f"`{out}_t`", f"`{out}_v2`", f"`{out}_lg`", f"`{out}_rg`")
-    tnum = " + ".join(f"try_cast(try_element_at(split({t}, '\\\\.'), {i}) AS BIGINT) * {m}"
+
+def ipv6_groups_sql(col: str) -> str:
+    """SQL text: IPv6 text (optional ``%scope``, optional embedded IPv4 tail) →
+    ARRAY<INT> of its eight 16-bit groups, NULL when not a valid IPv6 literal.
+
+    Intermediate values are bound with lambda variables, so each is computed
+    once per row and the expression stays linear in size; IPv4 rows stop at
+    the first test (no ``:``)."""
+    c = f"`{col}`"
+    tnum = " + ".join(f"try_cast(try_element_at(split(t6, '\\\\.'), {i}) AS BIGINT) * {m}"
                       for i, m in ((1, 16777216), (2, 65536), (3, 256), (4, 1)))
-    return [
-        (f"{out}_v", f"CASE WHEN {c} LIKE '%:%' AND {c} NOT LIKE '%/%' THEN regexp_replace({c}, '%[^%/]+$', '') END"),
-        (f"{out}_t", f"regexp_extract({v}, '([^:]*)$', 1)"),
-        (f"{out}_v2", f"CASE WHEN {t} NOT LIKE '%.%' THEN {v} WHEN {t} RLIKE '{IPV4_RE}' THEN "
-                      f"concat(substring({v}, 1, length({v}) - length({t})), lower(hex(shiftright({tnum}, 16))), "
-                      f"':', lower(hex(({tnum}) & 65535))) END"),
-        (f"{out}_lg", f"CASE WHEN split({v2}, '::')[0] = '' THEN array() ELSE split(split({v2}, '::')[0], ':') END"),
-        (f"{out}_rg", f"CASE WHEN coalesce(try_element_at(split({v2}, '::'), 2), '') = '' THEN array() "
-                      f"ELSE split(try_element_at(split({v2}, '::'), 2), ':') END"),
-        (out, f"transform(CASE WHEN {v2} RLIKE '{IPV6_FULL_RE}' THEN split({v2}, ':') "
-              f"WHEN {v2} RLIKE '{IPV6_COMP_RE}' AND size({lg}) + size({rg}) <= 7 "
-              f"THEN concat({lg}, array_repeat('0', 8 - size({lg}) - size({rg})), {rg}) END, "
-              f"g -> CAST(conv(g, 16, 10) AS INT))"),
-    ]
-
-
-def with_ipv6_groups(df, col: str, out: str):
-    """Apply the IPv6 parsing stages; leaves only ``out`` behind."""
-    stages = ipv6_group_stages(col, out)
-    for name, expr in stages:
-        df = df.select("*", F.expr(expr).alias(name))
-    return df.drop(*[n for n, _ in stages[:-1]])
+    groups = ("CASE WHEN w6 RLIKE '" + IPV6_FULL_RE + "' THEN split(w6, ':') "
+              "WHEN w6 RLIKE '" + IPV6_COMP_RE + "' AND size(p6.l) + size(p6.r) <= 7 "
+              "THEN concat(p6.l, array_repeat('0', 8 - size(p6.l) - size(p6.r)), p6.r) END")
+    sides = ("named_struct('l', CASE WHEN split(w6, '::')[0] = '' THEN array() ELSE split(split(w6, '::')[0], ':') END, "
+             "'r', CASE WHEN coalesce(try_element_at(split(w6, '::'), 2), '') = '' THEN array() "
+             "ELSE split(try_element_at(split(w6, '::'), 2), ':') END)")
+    with_tail = (f"CASE WHEN t6 NOT LIKE '%.%' THEN v6 WHEN t6 RLIKE '{IPV4_RE}' THEN "
+                 f"{_let(tnum, 'n6', 'concat(substring(v6, 1, length(v6) - length(t6)), lower(hex(shiftright(n6, 16))), ' + chr(39) + ':' + chr(39) + ', lower(hex(n6 & 65535)))')} END")
+    body = _let("regexp_extract(v6, '([^:]*)$', 1)", "t6",
+                _let(with_tail, "w6", _let(sides, "p6", f"transform({groups}, g -> CAST(conv(g, 16, 10) AS INT))")))
+    return (f"CASE WHEN {c} LIKE '%:%' AND {c} NOT LIKE '%/%' THEN "
+            + _let(f"regexp_replace({c}, '%[^%/]+$', '')", "v6", body) + " END")
 
 
 def ipv6_class_sql(arr: str) -> str:

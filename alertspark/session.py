@@ -40,8 +40,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf.setdefault("spark.driver.memory", os.environ.get("ALERTSPARK_DRIVER_MEMORY", "16g"))
     # Wide alert rows give whole-stage-codegen methods above the JVM's 8 KB
     # JIT limit; without this flag they run interpreted (measured 2.6x slower).
-    for k in ("spark.driver.extraJavaOptions", "spark.executor.extraJavaOptions"):
-        conf.setdefault(k, "-XX:-DontCompileHugeMethods")
+    if os.environ.get("ALERTSPARK_JIT_HUGE_METHODS", "1") == "1":
+        for k in ("spark.driver.extraJavaOptions", "spark.executor.extraJavaOptions"):
+            conf.setdefault(k, "-XX:-DontCompileHugeMethods")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
