@@ -528,3 +528,66 @@ ORACLE["g12_log_measures"] = with_alerts(
 ORACLE["o3_recent_alerts"] = with_alerts(
     "SELECT alert_id, alert_time, rule_name, severity, analysis_status FROM alerts "
     "ORDER BY alert_time DESC, alert_id DESC LIMIT 20")
+
+
+# --------------------------------------------------------------------------- F17 feature row
+
+def _ti_int(x, *paths):
+    return "COALESCE(" + ", ".join(f"TRY_CAST(json_extract_string({x}, '{p}') AS INTEGER)" for p in paths) + ", 0)"
+
+
+_SEGX = (f"segx AS (SELECT alert_id, seg_rule, seg_status FROM (SELECT a.alert_id, s.rule_idx AS seg_rule, "
+         f"CASE WHEN a.src_ip = s.exception_ip THEN 'exception' WHEN s.allowed THEN 'allowed' ELSE 'violation' END "
+         f"AS seg_status, row_number() OVER (PARTITION BY a.alert_id ORDER BY s.rule_idx) AS rn "
+         f"FROM alerts a JOIN seg s ON a.dest_ip = s.dst AND {_num('a.src_ip')} BETWEEN s.src_lo AND s.src_hi "
+         f"AND len(list_intersect(COALESCE(a.destination_ports, []::INTEGER[]), s.ports)) > 0) x WHERE rn = 1)")
+_FEAT0 = (
+    "feat0 AS (SELECT a.alert_id, a.protocol, a.event_count, a.destination_ports, "
+    f"{classify_sql('a.src_ip', 'source')} AS source_type, {classify_sql('a.dest_ip', 'destination')} AS destination_type, "
+    f"{window_seconds_sql('a.time_window')} AS wsec, "
+    f"{_ti_int('a.threat_intelligence', '$.abuseipdb.abuseConfidenceScore', '$.abuseipdb.score')} AS abuse_score, "
+    f"{_ti_int('a.threat_intelligence', '$.virustotal.malicious')} AS vt_malicious, "
+    f"COALESCE({_approved_cond('d')}, false) OR COALESCE({_approved_cond('s')}, false) AS approved_endpoint, "
+    "d.ip IS NOT NULL AS dest_listed_approved, sx.seg_status, sx.seg_rule, "
+    f"{LOG_MEASURES} "
+    "FROM (SELECT *, COALESCE(json_extract(sample_logs, '$[*]'), []::JSON[]) AS logs FROM alerts) a "
+    "LEFT JOIN approved d ON a.dest_ip = d.ip LEFT JOIN approved s ON a.src_ip = s.ip "
+    "LEFT JOIN segx sx ON sx.alert_id = a.alert_id)")
+_PORTS = "COALESCE(destination_ports, []::INTEGER[])"
+_FEAT = (
+    "feat AS (SELECT *, list_filter(["
+    "CASE WHEN source_type = 'External source' AND failed_logins > 20 AND COALESCE(wsec <= 60, false) "
+    f"AND len(list_intersect({_PORTS}, [22, 3389])) > 0 THEN 'brute_force' END, "
+    "CASE WHEN sqli_hits > 0 THEN 'sqli' END, CASE WHEN xss_hits > 0 THEN 'xss' END, "
+    "CASE WHEN total_bytes > 1000000000 AND COALESCE(protocol = 'HTTPS', false) AND NOT dest_listed_approved "
+    "AND destination_type = 'External destination' THEN 'data_exfiltration' END, "
+    "CASE WHEN probed_ports > 10 AND COALESCE(wsec <= 30, false) THEN 'port_scan' END], lambda x: x IS NOT NULL) "
+    "AS matched_playbooks FROM (SELECT *, "
+    "CASE WHEN failed_log_count > 0 THEN COALESCE(event_count, 0) ELSE 0 END AS failed_logins, "
+    f"len(list_distinct(list_concat(list_filter({_PORTS}, lambda p: p IS NOT NULL), log_ports))) AS probed_ports "
+    "FROM feat0) y)")
+_VERD = (
+    "verd AS (SELECT alert_id, "
+    "CASE WHEN approved_endpoint AND abuse_score < 50 AND vt_malicious < 3 THEN 'False Positive' "
+    "WHEN seg_status IN ('exception', 'allowed') THEN 'False Positive' "
+    "WHEN seg_status = 'violation' OR len(matched_playbooks) > 0 THEN 'True Positive' "
+    "WHEN abuse_score >= 50 OR vt_malicious >= 3 THEN 'True Positive' ELSE 'Needs Review' END AS llm_classification, "
+    "CASE WHEN approved_endpoint AND abuse_score < 50 AND vt_malicious < 3 THEN 90.0 "
+    "WHEN seg_status IN ('exception', 'allowed') THEN 85.0 "
+    "WHEN seg_status = 'violation' OR len(matched_playbooks) > 0 THEN "
+    "CASE WHEN abuse_score >= 50 OR vt_malicious >= 3 THEN 95.0 ELSE 85.0 END "
+    "WHEN abuse_score >= 50 OR vt_malicious >= 3 THEN 75.0 ELSE 55.0 END AS llm_confidence FROM feat)")
+_FEAT_CTES = ",".join([assets_cte(), approved_cte(), seg_cte(), playbooks_cte(), _SEGX, _FEAT0, _FEAT, _VERD])
+
+ORACLE["j12_playbook_match"] = with_alerts(
+    "SELECT m.alert_id, m.playbook, p.playbook_severity, CAST(p.n_actions AS BIGINT) AS n_actions FROM "
+    "(SELECT alert_id, unnest(matched_playbooks) AS playbook FROM feat) m JOIN playbooks p ON m.playbook = p.playbook",
+    _FEAT_CTES)
+ORACLE["f18_rule_verdict"] = with_alerts(
+    "SELECT llm_classification, CAST(llm_confidence AS DOUBLE) AS llm_confidence, count(*) AS n FROM verd "
+    "GROUP BY 1, 2", _FEAT_CTES)
+ORACLE["j6_failsafe"] = with_alerts(
+    "SELECT c.alert_id, v.llm_classification, "
+    "CASE WHEN v.llm_classification = 'Needs Review' THEN 'Failed' ELSE 'Succeeded' END AS triage_status, "
+    "CASE WHEN v.llm_classification = 'Needs Review' THEN 'failsafe_executed' ELSE 'success' END AS request_status "
+    "FROM claimed c JOIN verd v ON c.alert_id = v.alert_id", _CLAIMED + "," + _FEAT_CTES)
