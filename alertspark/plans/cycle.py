@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import STATUS_PENDING, STATUS_PROCESSED, STATUS_PROCESSING
+from ..constants import NO_CONTEXT_MESSAGE, STATUS_PENDING, STATUS_PROCESSED, STATUS_PROCESSING
 from ..functions.context import context_blocks
 from ..functions.ip import classify_cols
 from ..functions.normalize import build_query
@@ -64,6 +64,10 @@ def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1) -> DataFrame
     # IDF fit, the size probe and the context join: keep them in memory.
     texts = queries.select("query_text").distinct().cache()
     kb = kb.cache()
+    if kb.limit(1).count() == 0:
+        # Empty store: every query gets the "no context" answer.
+        return texts.select("query_text", F.lit(False).alias("has_context"),
+                            F.lit(NO_CONTEXT_MESSAGE).alias("context_block"))
     embed = fit_text_embedder(kb, "key", TEXT_DIM)
     kbv = embed(kb, "key").select("id", "embedding")
     qv = embed(texts.withColumnRenamed("query_text", "key"), "key").select(

@@ -72,3 +72,21 @@ def test_threshold_windows_batch(spark):
     assert p.count() > 0 and v.count() > 0
     # every alert falls in exactly two sliding windows (60 s window, 30 s slide)
     assert v.agg(F.sum("alerts")).first()[0] == 2 * a.filter(F.col("alert_time").isNotNull()).count()
+
+
+def test_stream_cycle_appends_claim_and_verdict_events(spark):
+    from alertspark.streaming.pipelines import LOG_SCHEMA
+
+    a = load_alerts(spark, SF_SMALL).drop("direction")
+    src = tempfile.mkdtemp(prefix="alertspark-alerts-")
+    a.filter("analysis_status = 'Pending'").limit(40).write.mode("overwrite").parquet(src)
+    log = tempfile.mkdtemp(prefix="alertspark-eventlog-")
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    q = P.start_cycle(stream, log, checkpoint=f"{log}-ckpt", trigger={"availableNow": True})
+    q.awaitTermination(600)
+    assert q.exception() is None
+    events = spark.read.schema(LOG_SCHEMA).parquet(log)
+    kinds = {r.kind: r.n for r in events.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["inserted"] == 40 and kinds["claimed"] == 40 and kinds["verdict"] == 40
+    cur = fold(events.drop("batch_id"))
+    assert {r.analysis_status for r in cur.collect()} == {"Processed"}
