@@ -381,5 +381,17 @@ def f18_rule_verdict(spark, sf):
     return v.groupBy("llm_classification", "llm_confidence").agg(F.count("*").cast("bigint").alias("n"))
 
 
+
+
+def f8_render_prompt(spark, sf):
+    # P4 + J2 + P9 + F8: the model input and its rendered prompt for every alert
+    # (rows-only check: the text embeds JSON renderings that differ by engine).
+    from ..functions.context import model_input, render_prompt
+    from ..operators.ingest import retrieval_context
+
+    p = model_input(enrich.attach_reference(retrieval_context(_alerts(spark, sf))))
+    return p.select(F.col("_key").alias("alert_id"), render_prompt(p).alias("prompt"))
+
+
 QUERIES = {name: fn for name, fn in globals().items()
            if callable(fn) and name[:1] in "sfpjgo" and name[1:2].isdigit()}
