@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..constants import MAX_TOP_K
 
 KB_BROADCAST_ROWS = 250_000
+KB_BROADCAST_BYTES = 512 * 1024 * 1024  # float64 matrix held by every executor
 KB_BLOCK_ROWS = 8192
 Q_BLOCK_ROWS = 8192
 
@@ -99,6 +100,11 @@ def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id
     q = _prepare(queries, query_id, query_vec, "query_id")
     b = _prepare(kb, kb_id, kb_vec, "id")
     probe = b.limit(kb_broadcast_rows + 1).count()
+    if probe <= kb_broadcast_rows:
+        # Rows are bounded; bound the bytes too (vector width is data-defined).
+        dim = b.limit(kb_broadcast_rows).agg(F.max(F.size("vec"))).first()[0] or 0
+        if probe * dim * 8 > KB_BROADCAST_BYTES:
+            probe = kb_broadcast_rows + 1
     if probe <= kb_broadcast_rows:
         kk = clamp_k(k, probe)
         if kk == 0:
