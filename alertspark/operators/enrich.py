@@ -33,21 +33,25 @@ def _keep_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
 
 def ti_snapshots_from_alerts(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Provider snapshots keyed by ``ip`` derived from stored TI documents
-    (stands in for the live provider calls): one row per address."""
+    (stands in for the live provider calls): one row per address.
+
+    Both providers come from ONE aggregation (partial before the shuffle); the
+    two snapshots are projections of it, so the exchange is shared. Both are
+    unique per ``ip`` by construction (pass ``dedupe=False`` to ``ti_merge``)."""
     has = alerts.filter(F.col("threat_intelligence").isNotNull() & F.col("src_ip").isNotNull())
     ti = F.col("threat_intelligence")
-    abuse = has.groupBy(F.col("src_ip").alias("ip")).agg(
-        F.max(F.get_json_object(ti, "$.abuseipdb.abuseConfidenceScore").try_cast("int")).alias("abuseConfidenceScore"),
-        F.max(F.get_json_object(ti, "$.abuseipdb.totalReports").try_cast("int")).alias("totalReports"),
-        F.bool_or(F.get_json_object(ti, "$.abuseipdb.isTor").try_cast("boolean")).alias("isTor"),
-        F.bool_or(F.get_json_object(ti, "$.abuseipdb.isWhitelisted").try_cast("boolean")).alias("isWhitelisted"),
-        F.max(F.get_json_object(ti, "$.abuseipdb.countryCode")).alias("countryCode"))
-    vt = has.filter(F.get_json_object(ti, "$.virustotal").isNotNull()).groupBy(F.col("src_ip").alias("ip")).agg(
-        F.max(F.get_json_object(ti, "$.virustotal.malicious").try_cast("int")).alias("malicious"),
-        F.max(F.get_json_object(ti, "$.virustotal.suspicious").try_cast("int")).alias("suspicious"),
-        F.max(F.get_json_object(ti, "$.virustotal.undetected").try_cast("int")).alias("undetected"),
-        F.max(F.get_json_object(ti, "$.virustotal.harmless").try_cast("int")).alias("harmless"),
-        F.max(F.get_json_object(ti, "$.virustotal.timeout").try_cast("int")).alias("timeout"))
+    j = lambda path: F.get_json_object(ti, path)
+    g = has.groupBy(F.col("src_ip").alias("ip")).agg(
+        F.max(j("$.abuseipdb.abuseConfidenceScore").try_cast("int")).alias("abuseConfidenceScore"),
+        F.max(j("$.abuseipdb.totalReports").try_cast("int")).alias("totalReports"),
+        F.bool_or(j("$.abuseipdb.isTor").try_cast("boolean")).alias("isTor"),
+        F.bool_or(j("$.abuseipdb.isWhitelisted").try_cast("boolean")).alias("isWhitelisted"),
+        F.max(j("$.abuseipdb.countryCode")).alias("countryCode"),
+        F.bool_or(j("$.virustotal").isNotNull()).alias("_has_vt"),
+        *[F.max(j(f"$.virustotal.{c}").try_cast("int")).alias(c)
+          for c in ("malicious", "suspicious", "undetected", "harmless", "timeout")])
+    abuse = g.select("ip", "abuseConfidenceScore", "totalReports", "isTor", "isWhitelisted", "countryCode")
+    vt = g.filter("_has_vt").select("ip", "malicious", "suspicious", "undetected", "harmless", "timeout")
     return abuse, vt
 
 

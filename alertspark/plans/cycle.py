@@ -90,7 +90,7 @@ def run_cycle(spark: SparkSession, alerts: DataFrame, now: str = "2024-02-01 00:
     with_q = with_query_text(claimed)
     ctx = retrieve_context(with_q, historical_kb(alerts))
     abuse, vt = enrich.ti_snapshots_from_alerts(alerts)
-    with_ti = enrich.ti_merge(with_q, abuse, vt).withColumn("threat_intelligence", F.col("ti_merged")).drop("ti_merged")
+    with_ti = enrich.ti_merge(with_q, abuse, vt, dedupe=False).withColumn("threat_intelligence", F.col("ti_merged")).drop("ti_merged")
     with_ctx = with_ti.join(broadcast_if_bounded(ctx, 1_000_000), "query_text", "left")
     features = enrich.evidence_features(with_ctx, ref)
     keep = ["has_context", "matched_playbooks", "seg_status", "approved_endpoint"]

@@ -205,7 +205,7 @@ def f15_squared_l2(spark, sf):
 def j1_ti_merge(spark, sf):
     a = _alerts(spark, sf)
     abuse, vt = enrich.ti_snapshots_from_alerts(a)
-    m = enrich.ti_merge(a, abuse, vt)
+    m = enrich.ti_merge(a, abuse, vt, dedupe=False)
     return m.select("alert_id", *ti_flat(F.col("ti_merged")))
 
 
@@ -223,7 +223,7 @@ def j3_primary_key_guard(spark, sf):
 def j4_ti_update(spark, sf):
     a = _alerts(spark, sf)
     abuse, vt = enrich.ti_snapshots_from_alerts(a)
-    upd = enrich.ti_merge(a.filter(F.col("analysis_status") == STATUS_PROCESSING), abuse, vt) \
+    upd = enrich.ti_merge(a.filter(F.col("analysis_status") == STATUS_PROCESSING), abuse, vt, dedupe=False) \
         .select("alert_id", F.col("ti_merged").alias("threat_intelligence"))
     out, _ = state.apply_ti(a, upd)
     return out.select("alert_id", "analysis_status", *ti_flat(F.col("threat_intelligence"))[:1],
@@ -328,7 +328,7 @@ def g5_state_fold(spark, sf):
     a = _alerts(spark, sf)
     claimed = state.claim(a, CLAIM_N)
     abuse, vt = enrich.ti_snapshots_from_alerts(a)
-    ti = enrich.ti_merge(claimed, abuse, vt).select("alert_id", F.col("ti_merged").alias("threat_intelligence"))
+    ti = enrich.ti_merge(claimed, abuse, vt, dedupe=False).select("alert_id", F.col("ti_merged").alias("threat_intelligence"))
     v = triage.with_failsafe(claimed, spark.createDataFrame(
         [], "alert_id string, llm_classification string, llm_confidence double, llm_reason string, "
             "llm_recommendation string, triage_status string, error string"))
