@@ -591,3 +591,6 @@ ORACLE["j6_failsafe"] = with_alerts(
     "CASE WHEN v.llm_classification = 'Needs Review' THEN 'Failed' ELSE 'Succeeded' END AS triage_status, "
     "CASE WHEN v.llm_classification = 'Needs Review' THEN 'failsafe_executed' ELSE 'success' END AS request_status "
     "FROM claimed c JOIN verd v ON c.alert_id = v.alert_id", _CLAIMED + "," + _FEAT_CTES)
+
+ORACLE["s8_kb_point_lookup"] = (f"WITH {_KB} SELECT id, key, COALESCE(value, '') AS value FROM kb "
+                                "WHERE id = 'pattern_1_0'")

@@ -90,6 +90,12 @@ def s7_kb_full_scan(spark, sf):
     return _kb_from_conversations(spark, sf).select("id", "key", "value")
 
 
+def s8_kb_point_lookup(spark, sf):
+    # Point lookup by id (input is trimmed; missing value → ""), over the whole KB.
+    from ..operators.knowledge import lookup
+    return lookup(_kb_from_conversations(spark, sf), "  pattern_1_0 ")
+
+
 def g4_kb_count(spark, sf):
     return _kb_from_conversations(spark, sf).agg(F.count("*").cast("bigint").alias("kb_count"))
 
