@@ -17,6 +17,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE_RULES, scan_versions, span_list
+
+    base = [r.kind for r in BASE_RULES]
+    f = scan_versions(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    return f.select(
+        "doc_id", *[n(k).alias(f"n_{k}") for k in base],
+        F.sha2(span_list(F.filter("findings", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
+        span_list(F.col("findings")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_cache import token_counts
 
@@ -24,6 +36,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .risk_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_shards import N_SHARDS, shard_rows
+
+    rows = shard_rows(table(spark, sf_dir, "documents"), N_SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op1_secret_ledger": op1_secret_ledger,
     "op7_token_counts": op7_token_counts,
+    "op8_risk_rules": op8_risk_rules,
+    "op9_kd_shards": op9_kd_shards,
 }
