@@ -51,9 +51,16 @@ def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op7_token_counts": op7_token_counts,
     "op8_risk_rules": op8_risk_rules,
     "op9_kd_shards": op9_kd_shards,
+    "op10_partenum_join": op10_partenum_join,
 }
