@@ -29,6 +29,12 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list(F.col("findings")).alias("spans"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import occurrences
+
+    return occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_cache import token_counts
 
@@ -59,6 +65,7 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op7_token_counts": op7_token_counts,
     "op8_risk_rules": op8_risk_rules,
     "op9_kd_shards": op9_kd_shards,
