@@ -44,25 +44,29 @@ TABLE_BITS = 22
 _U = np.uint64
 
 
+#: Characters beyond the basic plane count as letters without case.
+_PLANE = 0x10000
+
+
 @functools.lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower case, and whether it is a letter or digit, of every character."""
-    n = 0x110000
-    low, word = np.arange(n, dtype=np.uint32), np.zeros(n, bool)
-    for i in range(n):
-        if i < 0xD800 or i > 0xDFFF:
-            c = chr(i)
-            if len(l := c.lower()) == 1:
-                low[i] = ord(l)
-            word[i] = c.isalnum()
+    """Lower case, and whether it is a letter or digit, of every character of the basic plane."""
+    low, word = np.arange(_PLANE, dtype=np.uint32), np.zeros(_PLANE, bool)
+    for i in range(_PLANE):
+        c = chr(i)
+        if len(l := c.lower()) == 1:
+            low[i] = ord(l)
+        word[i] = c.isalnum()
     return low, word
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the normalised text, and each one's place in the text."""
     low, word = _tables()
-    c = low[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    w = word[c]
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(c, _PLANE - 1)
+    high = c >= _PLANE
+    c, w = np.where(high, c, low[at]), high | word[at]
     before = np.concatenate([[False], w[:-1]])
     keep = np.flatnonzero(w | before)
     return np.where(w[keep], c[keep], np.uint32(32)), keep
