@@ -29,6 +29,12 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list(F.col("findings")).alias("spans"))
 
 
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_templates import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import occurrences
 
@@ -65,6 +71,7 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op4_site_templates": op4_site_templates,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op7_token_counts": op7_token_counts,
     "op8_risk_rules": op8_risk_rules,
