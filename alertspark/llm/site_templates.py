@@ -70,13 +70,16 @@ def parse(source: str) -> Node:
     stack, at = [root], 0
     n = len(source)
     while at < n:
-        m = _TOKEN.search(source, at)
-        if m is None:
+        # The next "<" that opens something; others are text.
+        low, m = source.find("<", at), None
+        while low >= 0 and (m := _TOKEN.match(source, low)) is None:
+            low = source.find("<", low + 1)
+        if low < 0:
             stack[-1].parts.append(_html.unescape(source[at:]))
             break
-        if m.start() > at:
-            stack[-1].parts.append(_html.unescape(source[at:m.start()]))
-        at = max(m.end(), at + 1)
+        if low > at:
+            stack[-1].parts.append(_html.unescape(source[at:low]))
+        at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
