@@ -269,3 +269,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
               "start long, end long, edits int")
     found = [saved(d.mapInArrow(_search(items, q, error_rate), schema), "occurrences") for items in _item_blocks(b)]
     return union(found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, error_rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` in whose text no item occurs, with all their columns."""
+    d = docs.withColumn("_digest", F.sha2(F.col(text_col).cast("string"), 256))
+    leaks = occurrences(d, benchmark, "_digest", text_col, q=q, error_rate=error_rate)
+    return d.join(leaks.select(F.col("doc_id").alias("_digest")).distinct(), "_digest", "left_anti").select(docs.columns)

@@ -310,3 +310,18 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return group.join(least, "component").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS,
+                threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
+    """The rows of ``docs`` without all but the least id of each component.
+    Rows that repeat an id and a text are copies, of which one stays; rows
+    without an id stay."""
+    found = saved(similar_sets(docs, id_col, text_col, n_words, threshold_pct), "partenum-found")
+    ids = lambda df: df.select(F.col("doc_id").alias(id_col)).distinct()
+    d = docs.join(ids(found.where("doc_id <> component_id")), id_col, "left_anti")
+    again = ids(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    if again.isEmpty():
+        return d.select(docs.columns)
+    return d.join(again, id_col, "left_anti").select(docs.columns).unionByName(
+        d.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns))

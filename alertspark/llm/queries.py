@@ -41,6 +41,14 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_maxplus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_scan import decode, encode
+
+    rows = decode(encode(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+    return rows.select("doc_id", "chunk", "n_chunks", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_cache import token_counts
 
@@ -73,6 +81,7 @@ QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op4_site_templates": op4_site_templates,
     "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op6_maxplus_scan": op6_maxplus_scan,
     "op7_token_counts": op7_token_counts,
     "op8_risk_rules": op8_risk_rules,
     "op9_kd_shards": op9_kd_shards,

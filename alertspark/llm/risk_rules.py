@@ -25,6 +25,8 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +121,24 @@ def thresholds(sig: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     return out.select("stratum", "n", *[f"cut_{c}" for c in cutoffs])
 
 
+def _kept(sig: DataFrame, labels: DataFrame, risk: float, delta: float, cutoffs) -> DataFrame:
+    """``sig`` with the verdict in ``kept``."""
+    cuts = saved(thresholds(sig, labels, risk, delta, cutoffs), "rule-cutoffs").drop("n")
+    over = [F.coalesce(F.col(_SIGNAL.get(c, c)) > F.col(f"cut_{c}"), F.lit(False)) for c in cutoffs]
+    bad = functools.reduce(lambda x, y: x | y, over)
+    return sig.join(cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~bad)
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
                 risk: float = RISK, delta: float = DELTA, cutoffs=CUTOFFS) -> DataFrame:
     """The counts of every document, base_failed and kept."""
     sig = saved(signals(docs, id_col, text_col, stratum_col), "rule-signals")
-    cuts = saved(thresholds(sig, labels, risk, delta, cutoffs), "rule-cutoffs").drop("n")
-    over = [F.coalesce(F.col(_SIGNAL.get(c, c)) > F.col(f"cut_{c}"), F.lit(False)) for c in cutoffs]
-    bad = over[0]
-    for o in over[1:]:
-        bad = bad | o
-    return sig.join(cuts, "stratum", "left").select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~bad).alias("kept"))
+    return _kept(sig, labels, risk, delta, cutoffs).select(
+        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+                   risk: float = RISK, delta: float = DELTA, cutoffs=CUTOFFS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    sig = saved(signals(docs, id_col, text_col, stratum_col, tuple(docs.columns)), "rule-signals")
+    return _kept(sig, labels, risk, delta, cutoffs).where("kept").select([F.col(f"_k_{c}").alias(c) for c in docs.columns])

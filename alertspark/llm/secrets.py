@@ -157,3 +157,22 @@ def redacted(text, findings, mask: str = "[SECRET]"):
             F.substring(text, (F.coalesce(F.get(m, i - 1)["e"], F.lit(0)) + 1).cast("int"),
                         (x["s"] - F.coalesce(F.get(m, i - 1)["e"], F.lit(0))).cast("int")), F.lit(mask))), ""),
         F.substring(text, (F.element_at(m, -1)["e"] + 1).cast("int"), F.length(text))))), 1)
+
+
+def redact_documents(docs: DataFrame, ledger_path: str | None = None, rules=RULES, text_col: str = "text",
+                     length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with every secret masked; their other columns stay,
+    but for the length of a changed text. Null texts stay null."""
+    spark = docs.sparkSession
+    ledger_path = ledger_path or new_table_path(spark, "secret-ledger")
+    scan_new(docs, ledger_path, rules, text_col)
+    spans = blob_findings(spark, ledger_path, rules).groupBy("blob").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_findings")).withColumnRenamed("blob", "_blob")
+    d = docs.withColumn("_blob", F.sha2(whole_text(text_col), 256)).join(spans, "_blob", "left")
+    clean = F.when(F.col("_findings").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_findings")))
+    d = d.withColumn("_clean", clean)
+    out = {text_col: F.col("_clean")}
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out[length_col] = F.when(F.col("_findings").isNull(), F.col(length_col)).otherwise(F.length("_clean").cast(kind))
+    return d.select([out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

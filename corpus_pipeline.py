@@ -8,8 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 from alertspark.session import new_table_path
 
-STAGES: list = []
+from alertspark.llm import decontaminate, partenum, risk_rules, secrets, sp_scan
+from alertspark.llm.common import table
+from alertspark.llm.queries import tokenizer_path
 
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return risk_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return partenum.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return secrets.redact_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, a row for each chunk."""
+    return sp_scan.encode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("encoding", encoding),
+]
+
+# The near-duplicate, decontamination and encoding stages can't be put in SQL;
+# tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
