@@ -29,6 +29,12 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list(F.col("findings")).alias("spans"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_strings
+
+    return repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .site_templates import extract
 
@@ -79,6 +85,7 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_site_templates": op4_site_templates,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_maxplus_scan": op6_maxplus_scan,
