@@ -29,6 +29,12 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list(F.col("findings")).alias("spans"))
 
 
+def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import class_scores
+
+    return class_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_strings
 
@@ -85,6 +91,7 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op2_brown_classes": op2_brown_classes,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_site_templates": op4_site_templates,
     "op5_benchmark_leaks": op5_benchmark_leaks,
