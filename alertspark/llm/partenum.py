@@ -15,17 +15,18 @@ after the last seed its least features (the prefix filter), so that no link of s
 is lost. For larger sets a link could only be missed if all common features
 fell into parts that hold a difference, less likely than 1e-14 for any pair.
 
-Steps, each a Spark job over all rows: equal sets fall together as classes;
-signatures are sent in blocks, and each shared one links its classes to the
-least; those links are verified on the sets; components are formed; then every
-pair of classes that shares a signature and is still in different components
-is verified too. A group of thousands of near copies so costs one
-verification a copy and a few more, not one a pair, and no link between
-components goes untested.
-
-Each task first joins what shares a signature among its own sets and forwards
-one class for each, so a signature common to a third of all rows meets in its
-reducer once per task batch.
+Steps, each a Spark job over all rows: equal sets fall together as classes.
+Signatures are sent in blocks. A signature of up to PAIRS classes gives their
+pairs; a more common one is *open*: it links its classes to the least and
+keeps the list of them. The pairs are verified, components are formed, and for
+open signatures every pair of classes that is still in different components is
+verified too. A group of thousands of near copies so costs one verification a copy and
+a few more, not one a pair, and no pair goes untested unless it is connected already.
+Verification first compares 16-bit digests of the features, which can only
+overrate the common part, then the features themselves.
+
+Each task forwards at most PAIRS classes of a signature from each batch of texts, so a
+signature common to a third of all rows stays small in its reducer.
 
 Defined results: null and empty texts have an empty set, no links, and their
 own id as component; null ids count for links but not as the least id (a
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import broadcast_if_small, saved
 from .components import components
 from .shingles import WordDigests, mix, parts, shingle_sets
 
@@ -53,6 +54,8 @@ N_WORDS, THRESHOLD_PCT = 5, 80
 SMALL, SEEDS = 64, 3
 #: Reducers' blocks for each shuffle partition.
 BINS_PER_PARTITION = 4
+#: Classes that a signature may have for all their pairs to be verified at once.
+PAIRS = 8
 
 _U = np.uint64
 
@@ -138,26 +141,54 @@ def _short(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
 
 
-def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (signature, key): one record for each signature with its least key,
-    and the distinct pairs (key, least key of a signature it has)."""
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    return np.unique(rows, axis=0) if len(rows) else rows.reshape(0, 2)
+
+
+def _groups(sig: np.ndarray, key: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of records (signature, key), some signatures being open already: the
+    distinct records in order, for each whether its signature is open, and the
+    number of its signature's first record."""
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
     new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    least = key[new][np.cumsum(new) - 1] if len(sig) else key
-    e = key != least
-    pairs = np.unique(np.stack([key[e], least[e]], 1), axis=0) if e.any() else np.empty((0, 2), np.int64)
-    return sig[new], key[new], pairs[:, 0], pairs[:, 1]
-
-
-def _blocks(bin_: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key = sig[new], key[new]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    at = np.flatnonzero(first)
+    size = np.diff(np.append(at, len(sig)))
+    wide = (size > PAIRS) | np.isin(sig[at], open_)
+    return np.stack([sig.view(np.int64), key], 1), np.repeat(wide, size), np.repeat(at, size)
+
+
+def _stars(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(key, least key of its signature)."""
+    pair = np.stack([rows[:, 1], rows[first, 1]], 1)
+    return _distinct(pair[pair[:, 0] != pair[:, 1]])
+
+
+def _all_pairs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Pairs (greater key, lesser key) within signatures of at most PAIRS records."""
+    out = [np.empty((0, 2), np.int64)]
+    for step in range(1, PAIRS):
+        i = np.flatnonzero(np.arange(len(rows)) - step >= first)
+        out.append(np.stack([rows[i, 1], rows[i - step, 1]], 1))
+    return _distinct(np.concatenate(out))
+
+
+def _blocks(rows: np.ndarray, bins: int) -> Iterator[tuple[int, bytes]]:
+    """Rows by the bin of their first number."""
+    bin_ = (rows[:, 0].view(_U) % _U(bins)).astype(np.int64) if len(rows) else np.empty(0, np.int64)
     order = np.argsort(bin_, kind="stable")
-    data = np.stack([c.view(np.int64) for c in cols], 1)[order]
     ids, at = np.unique(bin_[order], return_index=True)
-    for b, rows in zip(ids, np.split(data, at[1:])):
-        yield int(b), rows.tobytes()
+    for b, part in zip(ids, np.split(rows[order], at[1:])):
+        yield int(b), part.tobytes()
+
 
+# What blocks hold: records of signatures, records of open ones (one each),
+# pairs, and the classes of open signatures.
+RECORD, OPEN, PAIR, MEMBER = range(4)
 
 _BLOCKS = "bin int, kind int, data binary"
 
@@ -175,9 +206,11 @@ def _send(bins: int, n_words: int, pct: int):
                 fresh = np.array([not (k in seen or seen.add(k)) for k in keys], bool)
                 e = fresh[doc] if n else np.zeros(0, bool)
                 sig, d = signatures(doc[e], h[e], n, pct)
-                sig, key, a, least = _stars(sig, _short(keys)[d])
-                out = [(i, 0, x) for i, x in _blocks((sig % _U(bins)).astype(np.int64), sig, key)]
-                out += [(i, 1, x) for i, x in _blocks((a.view(_U) % _U(bins)).astype(np.int64), a, least)]
+                rows, wide, first = _groups(sig, _short(keys)[d], np.empty(0, _U))
+                own = np.arange(len(rows)) == first
+                out = [(i, kind, x) for kind, part_ in (
+                    (RECORD, rows[~wide]), (OPEN, rows[wide & own]), (PAIR, _stars(rows, np.where(wide, first, np.arange(len(rows))))),
+                    (MEMBER, rows[wide])) for i, x in _blocks(np.ascontiguousarray(part_), bins)]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bin", "kind", "data"])
@@ -186,13 +219,19 @@ def _send(bins: int, n_words: int, pct: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    rows = {0: [], 1: []}
+    got = {k: [np.empty((0, 2), np.int64)] for k in (RECORD, OPEN, PAIR, MEMBER)}
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data")):
-        rows[kind].append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 2))
-    got = {k: np.concatenate(v) if v else np.empty((0, 2), np.int64) for k, v in rows.items()}
-    _, _, a, b = _stars(got[0][:, 0].view(_U) if len(got[0]) else np.empty(0, _U), got[0][:, 1])
-    pairs = np.unique(np.concatenate([got[1], np.stack([a, b], 1)]), axis=0)
-    return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+        got[kind].append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 2))
+    got = {k: np.concatenate(v) for k, v in got.items()}
+    both = np.concatenate([got[RECORD], got[OPEN]])
+    rows, wide, first = _groups(both[:, 0].copy().view(_U), both[:, 1].copy(), got[OPEN][:, 0].copy().view(_U))
+    here = np.arange(len(rows))
+    pairs = _distinct(np.concatenate([got[PAIR], _stars(rows, np.where(wide, first, here)),
+                                      _all_pairs(rows, np.where(wide, here, first))]))
+    members = _distinct(np.concatenate([got[MEMBER], rows[wide]]))
+    out = np.concatenate([pairs, members])
+    return pa.table({"kind": pa.array(np.repeat([PAIR, MEMBER], [len(pairs), len(members)]), pa.int32()),
+                     "a": pa.array(out[:, 0].copy()), "b": pa.array(out[:, 1].copy())})
 
 
 def _members(n_words: int):
@@ -221,26 +260,29 @@ def _sets(n_words: int):
                 n = part.stop - part.start
                 at = np.searchsorted(doc, np.arange(n + 1))
                 keys = _keys(doc, h, n)
+                sets = [h[at[i]:at[i + 1]] for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array([h[at[i]:at[i + 1]].tobytes() for i in range(n)], pa.binary())],
-                    ["key", "short", "features"])
+                    [pa.array(keys, pa.binary()), pa.array(_short(keys)),
+                     pa.array([np.sort((x >> _U(48)).astype(np.uint16)).tobytes() for x in sets], pa.binary()),
+                     pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "short", "brief", "features"])
 
     return run
 
 
-def _verify(pct: int):
+def _verify(pct: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 if 100 * min(len(x), len(y)) < pct * max(len(x), len(y)):
                     ok.append(False)
                     continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= pct * (len(both) - common))
+                # Equal values are matched one to one: never fewer than the common features.
+                value, n = np.unique(np.concatenate([x, y]), return_counts=True)
+                in_x = np.searchsorted(x, value, "right") - np.searchsorted(x, value)
+                common = int(np.minimum(in_x, n - in_x).sum())
+                ok.append(100 * common >= pct * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -248,23 +290,16 @@ def _verify(pct: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs of keys (a, b) whose sets link."""
-    x = sets.select(F.col("key").alias("a"), F.col("features").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("features").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(pct), "a binary, b binary")
-
-
-def _send_open(bins: int, pct: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, comps = b.column("key").to_pylist(), b.column("component").to_pylist()
-            sets = [np.frombuffer(x.as_buffer(), _U) for x in b.column("features")]
-            sizes = [len(s) for s in sets]
-            sig, d = signatures(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets), pct)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig.view(np.int64)), pa.array([names[i] for i in d], pa.binary()), pa.array([comps[i] for i in d], pa.binary())],
-                ["sig", "key", "component"])
-
-    return run
+    for column, kind in (("brief", "u2"), ("features", "u8")):
+        x = sets.select(F.col("key").alias("a"), F.col(column).alias("x"))
+        y = sets.select(F.col("key").alias("b"), F.col(column).alias("y"))
+        if column == "features":
+            few = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-few")
+            few = broadcast_if_small(few, 16)
+            x, y = x.join(few.withColumnRenamed("key", "a"), "a", "left_semi"), y.join(few.withColumnRenamed("key", "b"), "b", "left_semi")
+        pairs = saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
+            _verify(pct, kind), "a binary, b binary"), f"partenum-{column}")
+    return pairs.distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS,
@@ -275,17 +310,18 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = d.schema["doc_id"].dataType.simpleString()
     members = saved(d.mapInArrow(_members(n_words), f"doc_id {id_type}, key binary, short long, n_shingles long"), "partenum-members")
     bins = BINS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = saved(d.select("text").mapInArrow(_send(bins, n_words, pct), _BLOCKS).groupBy("bin").applyInArrow(
-        _meet, "a long, b long").distinct(), "partenum-near")
-
-    # The sets of the classes that share a signature, read from one row of each.
-    open_ = near.select(F.col("a").alias("short")).unionByName(near.select(F.col("b").alias("short"))).distinct()
-    one = members.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("doc_id")).join(open_, "short", "left_semi")
-    one = saved(one.select("doc_id", "key"), "partenum-open")
-    texts = d.where("doc_id is not null").join(one.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = saved(texts.select("text").mapInArrow(_sets(n_words), "key binary, short long, features binary").join(
-        one.select("key"), "key", "left_semi").dropDuplicates(["key"]), "partenum-sets")
-    names = sets.select("short", "key")
+    met = saved(d.select("text").mapInArrow(_send(bins, n_words, pct), _BLOCKS).groupBy("bin").applyInArrow(
+        _meet, "kind int, a long, b long").distinct(), "partenum-met")
+    near, open_ = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") == MEMBER)
+
+    # The sets of the classes that are in a pair, read from one row of each.
+    in_pair = near.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    one = members.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("doc_id")).join(in_pair, "short", "left_semi")
+    one = saved(one.select("doc_id", "key"), "partenum-one")
+    texts = d.join(broadcast_if_small(one.select("doc_id").distinct(), 8), "doc_id", "left_semi")
+    sets = saved(texts.select("text").mapInArrow(_sets(n_words), "key binary, short long, brief binary, features binary").join(
+        broadcast_if_small(one.select("key"), 16), "key", "left_semi"), "partenum-sets")
+    names = sets.select("short", "key").distinct()
     first = near.join(names.select(F.col("short").alias("a"), F.col("key").alias("ka")), "a").join(
         names.select(F.col("short").alias("b"), F.col("key").alias("kb")), "b").select(
         F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).where("a <> b").distinct()
@@ -293,16 +329,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = saved(_linked(first, sets, pct), "partenum-links")
     label = saved(components(links), "partenum-labels")
 
-    # What shares a signature and is still apart is tested pair by pair.
-    apart = sets.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    met = apart.select("key", "component", "features").mapInArrow(_send_open(bins, pct), "sig long, key binary, component binary")
-    met = saved(met, "partenum-met")
-    split = met.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rest = met.join(split, "sig", "left_semi").distinct()
+    # Classes of an open signature that are still apart are tested pair by pair.
+    apart = names.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    apart = saved(open_.select(F.col("a").alias("sig"), F.col("b").alias("short")).join(apart, "short").select("sig", "key", "component"), "partenum-apart")
+    split = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    rest = apart.join(split, "sig", "left_semi")
     other = rest.select("sig", F.col("key").alias("b"), F.col("component").alias("cb"))
     more = rest.select("sig", F.col("key").alias("a"), F.col("component").alias("ca")).join(other, "sig").where(
         "a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = saved(_linked(more, sets, pct), "partenum-more")
+    more = saved(_linked(saved(more, "partenum-more"), sets, pct), "partenum-links")
     if not more.isEmpty():
         label = saved(components(links.unionByName(more)), "partenum-labels")
 
