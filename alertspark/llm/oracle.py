@@ -1,5 +1,91 @@
-"""DuckDB statements for the queries that SQL can express."""
+"""DuckDB statements for the queries that SQL can express.
+
+They are written from the contracts, not from the operators: patterns, limits
+and candidate cutoffs are stated here again.
+
+None is given for op2 (the classes come from an iterative search), op3 (a
+400-byte window at every place is too slow), op4 (parsing), op5 (alignment), op6 and op7
+(the tokenizer) and op9 (the tree): tests/llm holds them against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_SECRETS = r"""
+WITH rules(rank, kind, p, g, least) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 18),
+  (2, 'hex', '[0-9a-f]+', 0, 16),
+  (3, 'private_key', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1),
+  (4, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+', 0, 1)),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, rank, kind, least, list_transform(string_split_regex(t, p), lambda x: length(x)) AS gaps,
+             list_transform(regexp_extract_all(t, p), lambda x: length(x)) AS hits,
+             list_transform(regexp_extract_all(t, p, g), lambda x: length(x)) AS vals
+      FROM d, rules),
+e AS (SELECT doc_id, rank, kind, least, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT doc_id, rank, kind, coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(hits[1:i - 1]), 0) AS a, hits[i] AS n
+      FROM e WHERE vals[i] >= least),
+f AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+             string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
+             string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, rank) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+_RULES = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '(null)') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, stratum, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS n
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM w LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             n_symbols * 1000 // greatest(n_words, 1) AS s1, n_dup_lines * 1000 // greatest(n_lines, 1) AS s2,
+             n_repeat_words * 1000 // greatest(n_words, 1) AS s3, word_chars * 1000 // greatest(n_words, 1) AS s4 FROM c),
+lab AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT * FROM v JOIN lab USING (doc_id) WHERE NOT base_failed),
+cuts(sig, cutoff) AS (VALUES (1, 50), (1, 100), (1, 200), (1, 400), (1, 800), (2, 100), (2, 200), (2, 300), (2, 400), (2, 600),
+  (3, 50), (3, 80), (3, 110), (3, 140), (3, 170), (4, 7000), (4, 8000), (4, 10000), (4, 15000), (4, 25000)),
+k AS (SELECT stratum, sig, cutoff, count(*) FILTER (good = 1) AS n,
+             count(*) FILTER (good = 1 AND [s1, s2, s3, s4][sig] > cutoff) AS k,
+             count(*) FILTER (good = 0 AND [s1, s2, s3, s4][sig] > cutoff) AS caught
+      FROM held, cuts GROUP BY stratum, sig, cutoff),
+p AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(CASE WHEN n = 0 THEN 0 ELSE
+             (CASE WHEN i = 0 OR i = n THEN 0 ELSE lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) END) END
+             + i * ln(0.005) + (n - i) * ln(0.995)))) AS tail,
+             (SELECT count(DISTINCT stratum) FROM k) * 20 AS tests FROM k),
+best AS (SELECT stratum, sig, cutoff FROM p WHERE caught > k AND tail <= 0.05 / tests
+         QUALIFY row_number() OVER (PARTITION BY stratum, sig ORDER BY caught - k DESC, cutoff DESC) = 1),
+b AS (SELECT stratum, max(cutoff) FILTER (sig = 1) AS c1, max(cutoff) FILTER (sig = 2) AS c2, max(cutoff) FILTER (sig = 3) AS c3,
+             max(cutoff) FILTER (sig = 4) AS c4 FROM best GROUP BY stratum)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(s1 > c1, false) AND NOT coalesce(s2 > c2, false) AND NOT coalesce(s3 > c3, false)
+       AND NOT coalesce(s4 > c4, false) AS kept
+FROM v LEFT JOIN b USING (stratum)
+"""
+
+_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT doc_id, b FROM reach JOIN links ON a = other)
+SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_secret_ledger": _SECRETS,
+    "op8_risk_rules": _RULES,
+    "op10_partenum_join": _JOIN,
+}

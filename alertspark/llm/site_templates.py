@@ -8,10 +8,11 @@ element or name (menus, page headers, footers, sidebars, notices, adverts, forms
 scripts, styles, reader comments) goes as well, recurring or not. What is left
 of the article (of the body, if the page marks none) gives the blocks.
 
-A host has at most pages' subtrees / MIN_SHARE templates, so the list a page
-is joined with stays small whatever the host's size; the counts are combined
-before the shuffle, and the join is one that adaptive execution broadcasts when the
-list is small and splits when a host is large.
+A host has at most its pages' mean number of subtrees / MIN_SHARE templates, so the
+list a page is joined with stays small whatever the host's size. Counts are
+combined before the shuffle. The templates are broadcast if their bytes,
+counted, allow it; else pages are dealt by host and a salt, so a host that has a
+third of all pages is spread over SALT tasks.
 
 Defined results: null and empty html give an empty text; pages without a
 valid url share the host ""; repeated rows each give a row and each count as a page; an
@@ -29,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_BYTES, saved
+
 MIN_PAGES, MIN_SHARE = 10, 0.5
+SALT = 32
 
 #: Elements without content, and those whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -238,7 +242,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))).alias("host"),
                      F.col(html_col).cast("string").alias("html"))
-    found = p.join(site_templates(p, min_pages, min_share), "host", "left")
+    templates = saved(site_templates(p, min_pages, min_share), "site-templates")
+    size = templates.agg(F.sum(F.octet_length("host") + 8 * F.size("templates"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        found = p.join(F.broadcast(templates), "host", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+        found = p.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")).join(
+            templates.withColumn("salt", salts), ["host", "salt"], "left")
     id_type = p.schema["page_id"].dataType.simpleString()
     return found.select("page_id", "url", "html", "templates").mapInArrow(_texts, f"page_id {id_type}, url string, text string").withColumn(
         "n_chars", F.length("text").cast("long"))
