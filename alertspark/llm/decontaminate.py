@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import saved, union
 from .shingles import mix
@@ -202,7 +203,7 @@ def _occurrences(block: Block, codes: np.ndarray) -> set[tuple[int, int, int, in
     return set(kept)
 
 
-def _search(items: list[tuple[object, str | None]], q: int, rate: float):
+def _search(items: list[tuple[object, str | None]], item_type: pa.DataType, q: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(items, q, rate)
         for b in batches:
@@ -227,7 +228,7 @@ def _search(items: list[tuple[object, str | None]], q: int, rate: float):
                         out.append((ids[rows[r]], block.ids[i], int(place[begin]), int(place[end - 1]) + 1, edits))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (b.schema.field(0).type, None, pa.int64(), pa.int64(), pa.int32()))],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (b.schema.field(0).type, item_type, pa.int64(), pa.int64(), pa.int32()))],
                     ["doc_id", "item_id", "start", "end", "edits"])
 
     return run
@@ -267,7 +268,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     b = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     schema = (f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {b.schema['item_id'].dataType.simpleString()}, "
               "start long, end long, edits int")
-    found = [saved(d.mapInArrow(_search(items, q, error_rate), schema), "occurrences") for items in _item_blocks(b)]
+    item_type = to_arrow_type(b.schema["item_id"].dataType)
+    found = [saved(d.mapInArrow(_search(items, item_type, q, error_rate), schema), "occurrences") for items in _item_blocks(b)]
     return union(found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
