@@ -22,7 +22,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,9 +19,12 @@ Steps, each a Spark job over all rows: equal sets fall together as classes.
 Signatures are sent in blocks. A signature of up to PAIRS classes gives their
 pairs; a more common one is *open*: it links its classes to the least and
 keeps the list of them. The pairs are verified, components are formed, and for
-open signatures every pair of classes that is still in different components is
-verified too. A group of thousands of near copies so costs one verification a copy and
-a few more, not one a pair, and no pair goes untested unless it is connected already.
+classes of open signatures that are still in different components are tested
+further: first against the class that shares most with its fellows, then
+pair by pair, each pair at the least signature it shares. A feature that no other
+such class has cannot be common, so pairs with too few shared features left are out
+without a test. A group of thousands of near copies so costs a few verifications a
+copy, not one a pair, and no pair that could link goes untested unless it is connected already.
 Verification first compares 16-bit digests of the features, which can only
 overrate the common part, then the features themselves.
 
@@ -302,6 +305,94 @@ def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _deal(number: np.ndarray, rows: np.ndarray, bins: int) -> tuple[np.ndarray, list[bytes]]:
+    bin_ = (mix(number.view(_U)) % _U(bins)).astype(np.int64)
+    order = np.argsort(bin_, kind="stable")
+    ids, at = np.unique(bin_[order], return_index=True)
+    return ids, [x.tobytes() for x in np.split(rows[order], at[1:])]
+
+
+def _deal_features(bins: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("features")]
+            if not sets:
+                continue
+            f = np.concatenate(sets)
+            who = np.repeat(b.column("short").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            ids, data = _deal(f, np.stack([f, who], 1), bins)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
+
+    return run
+
+
+def _count_shared(bins: int):
+    """Of a bin of (feature, class): for each class its features that another has too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table.column("data")])
+        _, inverse, n = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
+        who, shared = np.unique(rows[n[inverse] > 1, 1], return_counts=True)
+        ids, data = _deal(who, np.stack([who, shared], 1), bins) if len(who) else ([], [])
+        return pa.table({"bin": pa.array(ids, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return run
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table.column("data")])
+    who, inverse = np.unique(rows[:, 0], return_inverse=True)
+    return pa.table({"short": pa.array(who), "shared": pa.array(np.bincount(inverse, rows[:, 1]).astype(np.int64))})
+
+
+def _apart(open_: DataFrame, names: DataFrame, label: DataFrame) -> DataFrame:
+    """(sig, key, short, component) of open signatures with several components."""
+    rows = names.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = saved(open_.select(F.col("a").alias("sig"), F.col("b").alias("short")).join(rows, "short").select(
+        "sig", "key", "short", "component"), "partenum-apart")
+    split = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return rows.join(split, "sig", "left_semi")
+
+
+def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: DataFrame, links: DataFrame, label: DataFrame,
+                bins: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """All links and the components, with the pairs of open signatures that
+    are apart tested: first with the class that shares most, then each pair."""
+    rest = _apart(open_, names, label)
+    own = sets.join(broadcast_if_small(rest.select("key").distinct(), 16), "key", "left_semi").dropDuplicates(["key"])
+    shared = own.select("short", "features").mapInArrow(_deal_features(bins), "bin int, data binary").groupBy("bin").applyInArrow(
+        _count_shared(bins), "bin int, data binary").groupBy("bin").applyInArrow(_sum_shared, "short long, shared long")
+    sized = sets.select("key", "short", F.expr("cast(octet_length(features) div 8 as long)").alias("size")).distinct()
+    sized = saved(sized.join(shared, "short").select("key", "size", "shared"), "partenum-shared")
+    able = lambda x, y: (100 + pct) * F.least(f"{x}shared", f"{y}shared") >= pct * (F.col(f"{x}size") + F.col(f"{y}size"))
+    links_, tested = links, first
+    for step in ("center", "pair"):
+        rows = rest.join(sized, "key")
+        if step == "center":
+            best = rows.groupBy("sig").agg(F.max(F.struct("shared", "key", "component", "size")).alias("z")).select(
+                "sig", F.col("z.key").alias("zkey"), F.col("z.component").alias("zcomponent"), F.col("z.shared").alias("zshared"), F.col("z.size").alias("zsize"))
+            pairs = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & able("", "z")).select(
+                F.least("key", "zkey").alias("a"), F.greatest("key", "zkey").alias("b"))
+        else:
+            sigs = open_.join(rest.select("sig").distinct(), F.col("a") == F.col("sig"), "left_semi").groupBy(F.col("b").alias("short")).agg(
+                F.sort_array(F.collect_set("a")).alias("sigs"))
+            rows = rows.join(sigs, "short").select("sig", "key", "component", "shared", "size", "sigs")
+            x, y = (rows.select("sig", *[F.col(c).alias(p + c) for c in rows.columns if c != "sig"]) for p in "xy")
+            # The condition is the join's: a pair is made once, at its least common signature.
+            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("xkey") < F.col("ykey")) & (F.col("xcomponent") != F.col("ycomponent"))
+                           & able("x", "y") & (F.get(F.array_intersect("xsigs", "ysigs"), F.lit(0)) == x["sig"])).select(
+                F.col("xkey").alias("a"), F.col("ykey").alias("b"))
+        pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"partenum-{step}")
+        found = saved(_linked(pairs, sets, pct), "partenum-links")
+        if not found.isEmpty():
+            links_ = links_.unionByName(found)
+            label = saved(components(links_), "partenum-labels")
+        tested = tested.unionByName(pairs)
+        if step == "center":
+            rest = _apart(open_, names, label)
+    return links_, label
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS,
                  threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
@@ -329,17 +420,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = saved(_linked(first, sets, pct), "partenum-links")
     label = saved(components(links), "partenum-labels")
 
-    # Classes of an open signature that are still apart are tested pair by pair.
-    apart = names.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    apart = saved(open_.select(F.col("a").alias("sig"), F.col("b").alias("short")).join(apart, "short").select("sig", "key", "component"), "partenum-apart")
-    split = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rest = apart.join(split, "sig", "left_semi")
-    other = rest.select("sig", F.col("key").alias("b"), F.col("component").alias("cb"))
-    more = rest.select("sig", F.col("key").alias("a"), F.col("component").alias("ca")).join(other, "sig").where(
-        "a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = saved(_linked(saved(more, "partenum-more"), sets, pct), "partenum-links")
-    if not more.isEmpty():
-        label = saved(components(links.unionByName(more)), "partenum-labels")
+    _, label = _more_links(open_, names, sets, first, links, label, bins, pct)
 
     group = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))

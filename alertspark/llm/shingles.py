@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words handled at a time, and words whose digest is remembered.
-BATCH_WORDS = 1_000_000
-CACHE_WORDS = 300_000
+BATCH_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 

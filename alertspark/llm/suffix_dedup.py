@@ -52,7 +52,7 @@ LENGTH = 400
 #: first GRAM + WINDOW - 1 bytes of a string there is one, whose digest fits in.
 GRAM, ANCHOR_WINDOW, ANCHOR_BYTES = 32, 150, 200
 #: Phrases: gram and window; none is longer than the window.
-PHRASE_GRAM, PHRASE_WINDOW = 16, 50
+PHRASE_GRAM, PHRASE_WINDOW = 16, 100
 BUFFER = 2_000_000
 #: A repeated string holds a phrase cut in its first PHRASE_WINDOW places, and
 #: another this far or further from its start; whole phrases lie between.
