@@ -111,9 +111,8 @@ class Model:
             self.out.append(b"" if t in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode())
             if t in (NORMAL, USER_DEFINED) and p:
                 s = len(p) * top - 0.1 if t == USER_DEFINED else s
-                tie = int.from_bytes(hashlib.blake2b(p.encode(), digest_size=3).digest(), "little") >> 1
                 self.id[p] = i
-                self.score[i] = int(s * UNIT) - tie
+                self.score[i] = int(s * UNIT)
         self.longest = max(map(len, self.id))
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         joined = {c for p in self.id if len(p) > 1 for c in p}

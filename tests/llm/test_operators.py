@@ -273,10 +273,9 @@ def test_encoding_is_optimal_and_decodes_exactly(spark, edge_docs, corpus, no_do
             assert [p[0] for p in parts] == list(range(parts[0][1]))
             assert "".join(p[3] for p in parts) == text[d].replace("▁", " ")
             got = [x for p in parts for x in p[2]]
-            whole = model._long(sp_scan.prepared(text[d]))
-            assert score(model, got) == score(model, whole)
+            assert score(model, got) == score(model, model._long(sp_scan.prepared(text[d])))
             if len(text[d]) < 2000:
-                assert score(model, got) >= score(model, sp.encode(text[d])) - sp_scan.UNIT
+                assert score(model, got) >= score(model, sp.encode(text[d]))
     assert sp_scan.encode(no_docs, tokenizer_path()).count() == 0
     assert sp_scan.encode(edge_docs, tokenizer_path()).where("n_chunks = 1").count() > 10
 
