@@ -15,9 +15,7 @@ there the state is 0 for certain, and what lies between two cuts adds the same t
 every entry of a matrix. Only differences matter, so matrices are shifted to a
 greatest entry of 0. A segment met before is looked up. Scores are whole
 numbers. The total score does not depend on where chunks end; of segmentations
-of equal score, the choice can. Short
-segments between cuts are searched by the library, told to take the file's pieces as a unigram
-model.
+of equal score, the choice can.
 
 White space and case are kept (identity normalisation with a dummy prefix),
 which is what the model files here declare; others are refused. Characters
@@ -37,7 +35,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +46,8 @@ GROUP = 256
 #: Characters encoded at a time, remembered segments, and the length from
 #: which a segment is handled on its own.
 BATCH_CHARS, MEMO, LONG = 500_000, 200_000, 48
-#: Scores below this (in units) are too coarse in the library's single precision.
-COARSE = -1e6
+#: Segments searched together.
+TOGETHER = 30_000
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -58,6 +55,9 @@ UNK_PENALTY = 10.0
 UNIT = 1 << 10
 NEVER = -(1 << 61)
 
+_U = np.uint64
+_MUL = 0x9E3779B97F4A7C15
+
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
     """(number, value) of a protocol buffer message."""
     at = 0
@@ -119,18 +119,112 @@ class Model:
         lonely = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         self.segment = re.compile((f"[{lonely}]|" if lonely else "") + (
             f"[^{lonely}]+" if crossing and lonely else ".+" if crossing else f"{SPACE}+[^{SPACE}{lonely}]*|[^{SPACE}{lonely}]+"), re.S)
-        # The library's search over the same pieces and scores, for short
-        # segments: unigram type, no dummy prefix, as fields put after the file's own.
-        self.library = sentencepiece.SentencePieceProcessor()
-        self.library.LoadFromSerializedProto(proto + b"\x12\x02\x18\x01" + b"\x1a\x02\x18\x00")
-        self.coarse = {i for p, i in self.id.items() if self.score[i] < COARSE * UNIT}
+        self._tables()
         size = np.fromiter(map(len, self.out), np.int64, len(self.out))
         self.bytes, self.size, self.at = np.frombuffer(b"".join(self.out), np.uint8), size, np.cumsum(size) - size
         self.memo: dict[str, tuple[int, ...]] = {}
 
+    # -- pieces of many short segments at once
+
+    def _tables(self) -> None:
+        """Piece digests in tables without collisions, tried in turn."""
+        h = np.zeros(len(self.id), _U)
+        ids = np.fromiter(self.id.values(), np.int64, len(self.id))
+        for n, p in enumerate(self.id):
+            x = 0
+            for c in p:
+                x = (x * _MUL + ord(c) + 1) % (1 << 64)
+            h[n] = x
+        # What may be the beginning of a piece; a few others pass as well.
+        self.begins = np.zeros(1 << 20, bool)
+        for p in self.id:
+            x = 0
+            for c in p:
+                x = (x * _MUL + ord(c) + 1) % (1 << 64)
+                self.begins[(x ^ x >> 29) >> 20 & 0xFFFFF] = True
+        self.tables, seed = [], 1
+        while len(h):
+            slot = self._slot(h, seed)
+            _, first = np.unique(slot, return_index=True)
+            keys, value = np.zeros(1 << 18, _U), np.full(1 << 18, -1, np.int64)
+            keys[slot[first]], value[slot[first]] = h[first], ids[first]
+            self.tables.append((seed, keys, value))
+            rest = np.ones(len(h), bool)
+            rest[first] = False
+            h, ids, seed = h[rest], ids[rest], seed + 2
+
+    @staticmethod
+    def _slot(h: np.ndarray, seed: int) -> np.ndarray:
+        return (((h ^ (h >> _U(29))) * _U((_MUL * seed) % (1 << 64) | 1)) >> _U(46)).astype(np.int64)
+
     def _short(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [self._long(w) if not self.coarse.isdisjoint(ids) else tuple(ids)
-                for w, ids in zip(words, self.library.encode(words, num_threads=1))]
+        text = "".join(words)
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        left = np.repeat(begin + size, size) - np.arange(len(c))  # characters to the segment's end
+        rel = np.repeat(size, size) - left
+        h = np.zeros(len(c), _U)
+        at = np.arange(len(c))
+        starts, ids, order = [], [], []
+        for n in range(1, min(self.longest, int(size.max())) + 1):
+            ok = left[at] >= n
+            at, h = at[ok], h[ok]
+            h = h * _U(_MUL) + c[at + n - 1]
+            if n > 1:
+                ok = self.begins[((h ^ (h >> _U(29))) >> _U(20) & _U(0xFFFFF)).astype(np.int64)]
+                at, h = at[ok], h[ok]
+            found, rest = np.full(len(at), -1, np.int64), np.arange(len(at))
+            for seed, keys, value in self.tables:
+                slot = self._slot(h[rest], seed)
+                hit = keys[slot] == h[rest]
+                found[rest[hit]] = value[slot[hit]]
+                rest = rest[~hit]
+            hit = found >= 0 if n > 1 else np.ones(len(at), bool)
+            starts.append(at[hit])
+            ids.append(found[hit])
+            order.append(np.full(int(hit.sum()), n))
+        start, piece, n = np.concatenate(starts), np.concatenate(ids), np.concatenate(order)
+        score = np.where(piece >= 0, self.score[piece], self.unk)
+        # Best score of every place, by its distance from the segment's begin.
+        best = np.full(len(c) + len(words), NEVER, np.int64)  # one more place a segment
+        shift = np.repeat(np.arange(len(words)), size)
+        s = start + shift[start]
+        back = np.zeros(len(best), np.int64)
+        how = np.full(len(best), -1, np.int64)
+        best[begin + np.arange(len(words))] = 0
+        group = ((rel[start] + n) * 64 + n).astype(np.uint16)  # sorted by radix
+        by = np.argsort(group, kind="stable")
+        s, n, piece, score, group = s[by], n[by], piece[by], score[by], group[by]
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            e = s[a:b] + n[a:b]
+            v = best[s[a:b]] + score[a:b]
+            up = v > best[e]
+            e = e[up]
+            best[e], back[e], how[e] = v[up], n[a:b][up], piece[a:b][up]
+        # Trace all segments together, from their ends.
+        place = begin + size + np.arange(len(words))
+        first = begin + np.arange(len(words))
+        who, what = [], []
+        live = np.arange(len(words))
+        while len(live):
+            p = place[live]
+            who.append(live)
+            what.append(np.where(how[p] >= 0, how[p], -1 - (p - back[p] - live)))
+            place[live] = p - back[p]
+            live = live[place[live] > first[live]]
+        who_all, what_all = np.concatenate(who[::-1]), np.concatenate(what[::-1])
+        by = np.argsort(who_all, kind="stable")
+        flat = what_all[by].tolist()
+        counts = np.bincount(who_all, minlength=len(words)).tolist()
+        out, at_ = [], 0
+        for k in counts:
+            ids_ = flat[at_:at_ + k]
+            at_ += k
+            out.append(tuple(ids_) if min(ids_) >= 0 else tuple(chain.from_iterable(
+                (i,) if i >= 0 else self._bytes(text[-1 - i]) for i in ids_)))
+        return out
 
     def _bytes(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -166,8 +260,8 @@ class Model:
             self.memo.clear()
         new = list(set().union(*split).difference(self.memo))
         short = [s for s in new if len(s) <= LONG]
-        if short:
-            self.memo.update(zip(short, self._short(short)))
+        for k in range(0, len(short), TOGETHER):
+            self.memo.update(zip(short[k:k + TOGETHER], self._short(short[k:k + TOGETHER])))
         for s in new:
             if len(s) > LONG:
                 self.memo[s] = self._long(s)
