@@ -114,10 +114,18 @@ NOTIFY_FAILURE_RECOMMENDATION = (
     "Escalate this alert for manual SOC analyst review and retry the AI analysis "
     "after the LLM service is restored."
 )
-NOTIFY_HEADER = "SOC Alert Triage Notification"
-NOTIFY_FOOTER = (
-    "This alert was automatically processed by the SOC AI Agent. "
-    "Please review and take appropriate action."
+NOTIFY_ACTION_MAIL = (
+    "<h2>🚨 SOC Alert Triage Notification</h2>  <p><strong>Alert ID:</strong> {alert_id}</p> "
+    "<p><strong>Classification:</strong> {classification}</p> <p><strong>Confidence:</strong> {confidence}%</p>  "
+    "<hr>  <h3>Technical Reason</h3> <p>{reason}</p>  <h3>Recommended Action</h3> <p>{recommendation}</p>  "
+    "<hr>  <p><em>This alert was automatically triaged by the SOC AI Agent. Please review and take appropriate action.</em></p>"
+)
+NOTIFY_FAILURE_MAIL = (
+    "<h2>🚨 SOC Alert Triage Notification</h2>\n\n<p><strong>Alert ID:</strong> {alert_id}</p>\n\n"
+    "<p><strong>Classification:</strong> {classification}</p>\n\n<p><strong>Confidence:</strong> {confidence}%</p>\n\n"
+    "<hr>\n\n<h3>Technical Reason</h3>\n\n<p>\n  {reason}\n</p>\n\n<h3>Recommended Action</h3>\n\n<p>\n  {recommendation}\n</p>\n\n"
+    "<hr>\n\n<p>\n  <em>\n    This alert was automatically processed by the SOC AI Agent.\n"
+    "    Please review and take appropriate action.\n  </em>\n</p>"
 )
 
 # FIXED VALUES — retrieval context texts.

@@ -1,8 +1,8 @@
 """Enrichment joins and per-alert evidence.
 
 Dimension sides (assets, approved endpoints, segmentation rules, playbooks)
-come from the reference document; they are broadcast only behind a row-count
-probe. Threat-intelligence snapshots can be large (one row per address), so
+come from the reference document; they are broadcast only behind a check of
+their bytes. Threat-intelligence snapshots can be large (one row per address), so
 they are deduplicated per ``ip`` (partial aggregation) and joined with a
 regular equi-join; AQE broadcasts them at runtime when measured small and
 splits a hot ``src_ip`` partition via skew-join handling.
@@ -18,16 +18,7 @@ from ..functions.normalize import SQLI_REGEX, XSS_REGEX, window_seconds
 from ..functions.ti import ti_flat
 from ..schemas import SAMPLE_LOGS
 from ..sources.reference import playbook_thresholds, reference_documents
-from .joins import broadcast_if_bounded, mark_bounded
-
-DIM_MAX_ROWS = 1_000_000
-
-
-def _keep_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
-    """A projection/aggregation of a dimension has at most the source's rows."""
-    rows = getattr(source, "_alertspark_rows", None)
-    return mark_bounded(derived, rows) if rows is not None else derived
-
+from .joins import broadcast_if_bounded
 
 # --------------------------------------------------------------------------- J1
 
@@ -35,8 +26,8 @@ def ti_snapshots_from_alerts(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Provider snapshots keyed by ``ip`` derived from stored TI documents
     (stands in for the live provider calls): one row per address.
 
-    Both providers come from ONE aggregation (partial before the shuffle); the
-    two snapshots are projections of it, so the exchange is shared. Both are
+    Both providers come from the same aggregation (partial before the shuffle), of
+    which the two snapshots are projections. Both are
     unique per ``ip`` by construction (pass ``dedupe=False`` to ``ti_merge``)."""
     has = alerts.filter(F.col("threat_intelligence").isNotNull() & F.col("src_ip").isNotNull())
     ti = F.col("threat_intelligence")
@@ -99,7 +90,7 @@ def attach_reference(alerts: DataFrame, path: str | None = None) -> DataFrame:
 
 def asset_lookup(alerts: DataFrame, assets: DataFrame) -> DataFrame:
     """Destination and source addresses → asset name/type/criticality/zone."""
-    dim = broadcast_if_bounded(_keep_bound(assets.dropDuplicates(["ip"]), assets), DIM_MAX_ROWS)
+    dim = broadcast_if_bounded(assets.dropDuplicates(["ip"]))
     out = alerts
     for role, col in (("dest", "dest_ip"), ("src", "src_ip")):
         d = dim.select(F.col("ip").alias(f"_{role}_aip"),
@@ -122,9 +113,9 @@ def approved_match(alerts: DataFrame, approved: DataFrame) -> DataFrame:
     """Adds ``approved_endpoint`` (bool) and ``approved_label`` — the alert's
     destination or source is an approved endpoint and its protocol and every
     port are allowed (``ANY`` allows all). Two broadcast equi-joins, no shuffle."""
-    dim = broadcast_if_bounded(_keep_bound(
+    dim = broadcast_if_bounded(
         approved.groupBy("ip").agg(F.min_by(F.struct("label", "approved", "allowed_protocols", "allowed_ports"),
-                                            F.col("label")).alias("e")), approved), DIM_MAX_ROWS)
+                                            F.col("label")).alias("e")))
     d = dim.select(F.col("ip").alias("_d_ip"), F.col("e").alias("_d_e"))
     s = dim.select(F.col("ip").alias("_s_ip"), F.col("e").alias("_s_e"))
     j = alerts.join(d, alerts["dest_ip"] == d["_d_ip"], "left").join(s, F.col("src_ip") == s["_s_ip"], "left")
@@ -132,7 +123,6 @@ def approved_match(alerts: DataFrame, approved: DataFrame) -> DataFrame:
     sm = F.coalesce(_approved_cond(F.col("_s_e"), F.col("protocol"), F.col("destination_ports")), F.lit(False))
     return (j.withColumn("approved_endpoint", dm | sm)
             .withColumn("approved_label", F.when(dm, F.col("_d_e.label")).when(sm, F.col("_s_e.label")))
-            .withColumn("dest_listed_approved", F.col("_d_ip").isNotNull())
             .drop("_d_ip", "_s_ip", "_d_e", "_s_e"))
 
 
@@ -155,7 +145,7 @@ def segmentation_check(alerts: DataFrame, segmentation: DataFrame) -> DataFrame:
     rules = segmentation.groupBy(F.col("dst").alias("_seg_dst")).agg(
         F.array_sort(F.collect_list(F.struct("rule_idx", "src_lo", "src_hi", "ports", "allowed",
                                              "exception_ip"))).alias("_rules"))
-    j = alerts.join(broadcast_if_bounded(_keep_bound(rules, segmentation), DIM_MAX_ROWS),
+    j = alerts.join(broadcast_if_bounded(rules),
                     alerts["dest_ip"] == F.col("_seg_dst"), "left")
     src_num = ipv4_num(F.col("src_ip"))
     hit = F.filter(F.col("_rules"), lambda r: src_num.between(r["src_lo"], r["src_hi"])
@@ -209,17 +199,16 @@ def evidence_features(alerts: DataFrame, ref: dict, path: str | None = None) ->
     if not {"source_type", "destination_type"} <= set(df.columns):
         df = classify_cols(df)
     src_class = F.col("source_type")
-    dest_class = F.col("destination_type")
     bf_ports = F.array(*[F.lit(p) for p in th["brute_force_ports"]])
     conds = {
-        "brute_force": (src_class == "External source") & (failed_logins > th["brute_force_failed"])
+        "brute_force": (src_class == "External source") & th["brute_force_failed"](failed_logins)
         & F.coalesce(wsec <= th["brute_force_window"], F.lit(False)) & F.arrays_overlap(ports, bf_ports),
         "sqli": F.col("sqli_hits") > 0,
         "xss": F.col("xss_hits") > 0,
-        "data_exfiltration": (F.col("total_bytes") > th["exfil_volume"])
+        "data_exfiltration": th["exfil_volume"](F.col("total_bytes"))
         & F.coalesce(F.col("protocol") == th["exfil_protocol"], F.lit(False))
-        & ~F.col("dest_listed_approved") & (dest_class == "External destination"),
-        "port_scan": (probed > th["scan_ports"]) & F.coalesce(wsec <= th["scan_window"], F.lit(False)),
+        & ~F.col("approved_endpoint"),
+        "port_scan": th["scan_ports"](probed) & F.coalesce(wsec <= th["scan_window"], F.lit(False)),
     }
     matched = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conds.items()]))
     return df.select(
@@ -233,8 +222,7 @@ def evidence_features(alerts: DataFrame, ref: dict, path: str | None = None) ->
 
 def playbook_matches(features: DataFrame, playbooks: DataFrame) -> DataFrame:
     """One row per (alert, matched playbook) with its severity and actions."""
-    pb = broadcast_if_bounded(_keep_bound(playbooks.select(F.col("name").alias("playbook"),
-                                                           F.col("severity").alias("playbook_severity"), "actions"),
-                                          playbooks), DIM_MAX_ROWS)
+    pb = broadcast_if_bounded(playbooks.select(F.col("name").alias("playbook"),
+                                               F.col("severity").alias("playbook_severity"), "actions"))
     m = features.select("alert_id", F.explode("matched_playbooks").alias("playbook"))
     return m.join(pb, "playbook", "inner")

@@ -19,7 +19,15 @@ from ..schemas import ALERT_COLUMNS, SUBMISSION
 from .state import first_per_id, py_ts_text, ts_lit
 
 REQUIRED_TEXT = ["alert_id", "alert_name", "rule_name", "severity", "alert_time", "log_source", "time_window"]
-IPV6_RE = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(/[0-9]{1,3})?$"
+_H = "[0-9A-Fa-f]{1,4}"
+_V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+# Eight groups; or fewer on both sides of one "::"; the last two as IPv4; a prefix up to 128.
+IPV6_RE = ("^(?:" + f"(?:{_H}:){{7}}{_H}|(?:{_H}:){{6}}{_V4}|"
+           + "|".join(f"(?:{_H}:){{{n}}}" + f"(?::{_H}){{1,{7 - n}}}" for n in range(1, 7))
+           + f"|::(?:{_H}(?::{_H}){{0,6}})?"
+           + f"|(?:{_H}:){{1,7}}:|"
+           + "|".join((f"(?:{_H}:){{{n}}}:" if n else "::") + f"(?:{_H}:){{0,{5 - n if n else 5}}}{_V4}" for n in range(6))
+           + ")(?:/(?:[0-9]|[1-9][0-9]|1[01][0-9]|12[0-8]))?$")
 INT_RE = r"^\s*-?[0-9]+\s*$"
 
 
@@ -42,7 +50,8 @@ def _reasons(p: Column) -> Column:
     checks = [(p[c].isNull(), f"{c} is required") for c in REQUIRED_TEXT]
     checks += [
         (p["event_count"].isNull(), "event_count is required"),
-        (p["event_count"].isNotNull() & ~p["event_count"].rlike(INT_RE), "event_count must be an integer"),
+        (p["event_count"].isNotNull() & (~p["event_count"].rlike(INT_RE) | F.trim(p["event_count"]).try_cast("int").isNull()),
+         "event_count must be an integer"),
         (p["sample_logs"].isNull(), "sample_logs is required"),
         (p["sample_logs"].isNotNull() & F.from_json(p["sample_logs"], "array<map<string,string>>").isNull(),
          "sample_logs must be a list of objects"),
@@ -80,7 +89,7 @@ def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tup
         p["severity"].alias("severity"), p["alert_time"].try_cast("timestamp_ntz").alias("alert_time"),
         p["log_source"].alias("log_source"), p["src_ip"].alias("src_ip"), p["dest_ip"].alias("dest_ip"),
         p["protocol"].alias("protocol"), ports.alias("destination_ports"),
-        F.trim(p["event_count"]).cast("int").alias("event_count"), p["time_window"].alias("time_window"),
+        F.trim(p["event_count"]).try_cast("int").alias("event_count"), p["time_window"].alias("time_window"),
         p["sample_logs"].alias("sample_logs"), p["asset"].alias("asset"),
         F.lit(None).cast("string").alias("threat_intelligence"), created.alias("created_at"),
         F.lit(None).cast("string").alias("llm_classification"), F.lit(None).cast("decimal(5,2)").alias("llm_confidence"),

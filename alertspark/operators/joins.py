@@ -1,9 +1,8 @@
 """Join helpers shared by the operators.
 
-* ``bounded`` / ``broadcast_if_bounded`` — a side is broadcast only after a
-  probe proves its row count is under a limit (``limit(n+1).count()`` reads at
-  most n+1 rows); otherwise the plan keeps a shuffle join and AQE may still
-  convert it at runtime from measured sizes.
+* ``broadcast_if_bounded`` — a side gets a broadcast hint only if its estimated
+  bytes are under a limit; otherwise the plan keeps a shuffle join and AQE may
+  still convert it at runtime from measured sizes.
 * ``cidr_join`` — range join "address inside network" as an equi-join on the
   /16 bucket plus a range filter, so it scales to large network lists without
   a nested-loop join.
@@ -14,28 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
+#: Most bytes, by the optimizer's estimate, of a side that gets a broadcast hint.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame, max_rows: int) -> bool:
-    known = getattr(df, "_alertspark_rows", None)
-    if known is not None:
-        return known <= max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate; exact for what is cached or read from files
+    without filters, and never below the files' size for unknown plans."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def mark_bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Record a proven row count on a (cached) DataFrame so later joins need no probe."""
-    df._alertspark_rows = rows
-    return df
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    if not bounded(df, max_rows):
-        return df
-    out = F.broadcast(df)
-    rows = getattr(df, "_alertspark_rows", None)
-    return mark_bounded(out, rows) if rows is not None else out
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
 
 
 def cidr_join(df: DataFrame, num: Column, networks: DataFrame, how: str = "inner",

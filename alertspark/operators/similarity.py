@@ -1,19 +1,13 @@
 """Exact top-k similarity join.
 
-Two physical strategies, both exact:
-
-* **Bounded KB** (row count proven ≤ ``kb_broadcast_rows`` by a probe): the
-  KB matrix is broadcast once and every query partition is scored with one
-  matrix product per Arrow batch inside ``mapInPandas``. Queries are never
-  shuffled; only k rows per query leave the task.
-* **Large KB**: the KB is split into hash blocks of bounded size; queries are
-  hash-blocked too, and each (query block, KB block) pair is scored in one
-  ``cogroup().applyInPandas`` task that emits only its per-query top-k.
-  The per-query candidates (k per KB block) are merged with a window top-k
-  whose partial ``WindowGroupLimit`` runs before the shuffle.
-
-Distances are squared L2 in float64. Candidate selection uses the matrix
-product form; the final k are re-scored with the direct difference formula
+One plan for every size. Queries are dealt into groups that fit a byte budget and
+stay there; KB vectors are sent to every group, and only they are copied. A
+task reads its group's queries, then streams the KB past them in tiles of bounded bytes
+with a running top-k, so memory depends on neither side's size and nothing passes the
+driver. Each query's k rows come from one task, already ranked.
+
+Distances are squared L2 in float64. Candidates of a tile are selected by the matrix
+product form with a small tolerance; they are re-scored with the direct difference formula
 and ordered by (distance, id), so ties and rounding match a direct evaluation.
 """
 
@@ -23,16 +17,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MAX_TOP_K
 
-KB_BROADCAST_ROWS = 250_000
-KB_BROADCAST_BYTES = 512 * 1024 * 1024  # float64 matrix held by every executor
-KB_BLOCK_ROWS = 8192
-Q_BLOCK_ROWS = 8192
+#: Bytes of query vectors a task holds, and of a tile of distances.
+GROUP_BYTES = 32 << 20
+TILE_BYTES = 32 << 20
 
 RESULT = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -48,38 +41,29 @@ def squared_l2(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
-def clamp_k(k: int, kb_size: int) -> int:
-    """O2: k clamped to [1, 10], then to the KB size."""
-    return max(0, min(max(1, min(int(k), MAX_TOP_K)), kb_size))
+def clamp_k(k: int) -> int:
+    """O2: k clamped to [1, 10]; a smaller KB gives fewer rows."""
+    return min(max(1, int(k)), MAX_TOP_K)
 
 
-def _topk_block(q_ids, q_mat, kb_ids, kb_mat, k, exclude_self):
-    """Per-query top-k of one query block against one KB block."""
-    if len(q_ids) == 0 or len(kb_ids) == 0:
-        return pd.DataFrame({"query_id": [], "id": [], "distance": [], "rank": []})
-    q2 = np.einsum("ij,ij->i", q_mat, q_mat)
-    k2 = np.einsum("ij,ij->i", kb_mat, kb_mat)
-    approx = q2[:, None] + k2[None, :] - 2.0 * (q_mat @ kb_mat.T)
+def _tile(q_ids, q_mat, kb_ids, kb_mat, best: pd.DataFrame, bound: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """``best`` (q, id, distance; k rows a query) with the rows of one tile merged
+    in. ``bound``: each query's k-th distance so far, updated in place."""
+    approx = np.einsum("ij,ij->i", q_mat, q_mat)[:, None] + np.einsum("ij,ij->i", kb_mat, kb_mat)[None, :] - 2.0 * (q_mat @ kb_mat.T)
     if exclude_self:
         approx[q_ids[:, None] == kb_ids[None, :]] = np.inf
     kk = min(k, kb_mat.shape[0])
-    # Candidate set: everything within a small tolerance of the k-th smallest
-    # approximate distance, so no tie or rounding can drop a true member.
-    part = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-    qs, ks, rs = [], [], []
-    for i in range(len(q_ids)):
-        cand = np.nonzero(approx[i] <= part[i] + 1e-9 * max(1.0, abs(part[i])))[0]
-        cand = cand[np.isfinite(approx[i, cand])]
-        exact = ((kb_mat[cand] - q_mat[i]) ** 2).sum(axis=1)
-        order = np.array(sorted(range(len(cand)), key=lambda j: (exact[j], kb_ids[cand[j]]))[:kk], dtype=int)
-        qs.append(np.full(len(order), i))
-        ks.append(cand[order])
-        rs.append(np.arange(1, len(order) + 1))
-    qi = np.concatenate(qs) if qs else np.array([], dtype=int)
-    ki = np.concatenate(ks) if ks else np.array([], dtype=int)
-    ri = np.concatenate(rs) if rs else np.array([], dtype=int)
-    d = ((kb_mat[ki] - q_mat[qi]) ** 2).sum(axis=1)
-    return pd.DataFrame({"query_id": q_ids[qi], "id": kb_ids[ki], "distance": d, "rank": ri.astype("int32")})
+    limit = np.minimum(bound, np.partition(approx, kk - 1, axis=1)[:, kk - 1] if kk == k else np.inf)
+    limit = np.where(np.isfinite(limit), limit + 1e-9 * np.maximum(1.0, np.abs(limit)), limit)
+    qi, ki = np.nonzero((approx <= limit[:, None]) & np.isfinite(approx))
+    exact = np.concatenate([((kb_mat[ki[a:a + 65536]] - q_mat[qi[a:a + 65536]]) ** 2).sum(axis=1) for a in range(0, len(qi), 65536)] or [np.empty(0)])
+    both = pd.concat([best, pd.DataFrame({"q": qi, "id": kb_ids[ki], "distance": exact})], ignore_index=True)
+    best = both.sort_values(["q", "distance", "id"]).groupby("q", sort=False).head(k).reset_index(drop=True)
+    size = np.bincount(best["q"], minlength=len(bound))
+    kth = best.groupby("q")["distance"].max()
+    full = kth[size[kth.index] == k]
+    bound[full.index] = full.to_numpy()
+    return best
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -91,65 +75,57 @@ def _prepare(df: DataFrame, id_col: str, vec_col: str, out_id: str) -> DataFrame
         .filter(F.col("vec").isNotNull())
 
 
+def _scored(k: int, exclude_self: bool, tile_bytes: int):
+    def run(batches):
+        group, ids, mats, state = None, [], [], None
+
+        def result():
+            best = state[2]
+            if len(best):
+                rank = best.groupby("q").cumcount() + 1
+                yield pd.DataFrame({"query_id": state[0][best["q"].to_numpy(dtype=int)], "id": best["id"], "distance": best["distance"],
+                                    "rank": rank.astype("int32")})
+
+        for batch in batches:
+            for (g, side), part in batch.groupby(["g", "side"], sort=True):
+                if g != group:
+                    if state is not None:
+                        yield from result()
+                    group, ids, mats, state = g, [], [], None
+                if side == 0:
+                    ids.append(part["id"].to_numpy(dtype=object))
+                    mats.append(_matrix(part["vec"]))
+                    continue
+                if not ids:
+                    continue
+                if state is None:
+                    empty = pd.DataFrame({"q": np.empty(0, int), "id": np.empty(0, object), "distance": np.empty(0)})
+                    state = [np.concatenate(ids), np.vstack(mats), empty, np.full(sum(map(len, ids)), np.inf)]
+                rows = max(1, tile_bytes // (8 * len(state[0])))
+                for a in range(0, len(part), rows):
+                    tile = part.iloc[a:a + rows]
+                    state[2] = _tile(state[0], state[1], tile["id"].to_numpy(dtype=object), _matrix(tile["vec"]), state[2], state[3], k, exclude_self)
+        if state is not None:
+            yield from result()
+
+    return run
+
+
 def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id",
         query_vec: str = "embedding", kb_id: str = "id", kb_vec: str = "embedding",
-        exclude_self: bool = False, kb_broadcast_rows: int = KB_BROADCAST_ROWS,
-        kb_block_rows: int = KB_BLOCK_ROWS, q_block_rows: int = Q_BLOCK_ROWS) -> DataFrame:
-    """J7 + O2: (query_id, id, distance, rank) for the k nearest KB rows per query."""
-    spark = queries.sparkSession
-    q = _prepare(queries, query_id, query_vec, "query_id")
+        exclude_self: bool = False, group_bytes: int = GROUP_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """J7 + O2: (query_id, id, distance, rank) for the k nearest KB rows per query.
+    Rows with a null vector are no neighbours and get none."""
+    q = _prepare(queries, query_id, query_vec, "id")
     b = _prepare(kb, kb_id, kb_vec, "id")
-    probe = b.limit(kb_broadcast_rows + 1).count()
-    if probe <= kb_broadcast_rows:
-        # Rows are bounded; bound the bytes too (vector width is data-defined).
-        dim = b.limit(kb_broadcast_rows).agg(F.max(F.size("vec"))).first()[0] or 0
-        if probe * dim * 8 > KB_BROADCAST_BYTES:
-            probe = kb_broadcast_rows + 1
-    if probe <= kb_broadcast_rows:
-        kk = clamp_k(k, probe)
-        if kk == 0:
-            return spark.createDataFrame([], RESULT)
-        pdf = b.toPandas()  # bounded by the probe above
-        ids = pdf["id"].to_numpy(dtype=object)
-        mat = _matrix(pdf["vec"])
-        bc = spark.sparkContext.broadcast((ids, mat))
-
-        def score(batches):
-            kb_ids, kb_mat = bc.value
-            for batch in batches:
-                if len(batch) == 0:
-                    continue
-                yield _topk_block(batch["query_id"].to_numpy(dtype=object), _matrix(batch["vec"]),
-                                  kb_ids, kb_mat, kk, exclude_self)
-
-        # Each query's k rows come from one task, already ranked: no shuffle.
-        return q.mapInPandas(score, RESULT)
-
-    # Large KB: blocked exact join.
-    n_kb = b.count()
-    n_q = q.count()
-    kk = clamp_k(k, n_kb)
-    nb = max(1, math.ceil(n_kb / kb_block_rows))
-    nq = max(1, math.ceil(n_q / q_block_rows))
-    qb = q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(nq))) \
-        .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)).cast("array<bigint>")))
-    kbb = b.withColumn("kb_block", F.pmod(F.xxhash64("id"), F.lit(nb))) \
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
-
-    def pair(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
-        return _topk_block(qpdf["query_id"].to_numpy(dtype=object), _matrix(qpdf["vec"]),
-                           kpdf["id"].to_numpy(dtype=object), _matrix(kpdf["vec"]), kk, exclude_self)
-
-    cand = (qb.groupBy("q_block", "kb_block")
-            .cogroup(kbb.groupBy("q_block", "kb_block"))
-            .applyInPandas(pair, RESULT))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return cand.drop("rank").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
+    size = q.agg(F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)) * 8).first()[0]
+    groups = max(1, math.ceil(size / group_bytes), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = q.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("side"), "id", "vec").unionByName(
+        b.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("side"), "id", "vec"))
+    return rows.repartition(groups, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(clamp_k(k), exclude_self, tile_bytes), RESULT)
 
 
 def best_match(hits: DataFrame) -> DataFrame:
-    """The single nearest KB row per query (min by (distance, id)), as an
-    aggregation so it is reduced before the shuffle."""
-    return hits.groupBy("query_id").agg(
-        F.min_by(F.struct("id", "distance"), F.struct("distance", "id")).alias("m")) \
-        .select("query_id", F.col("m.id").alias("id"), F.col("m.distance").alias("distance"))
+    """The single nearest KB row per query: rank 1 of the hits, which come
+    one row per (query, rank)."""
+    return hits.where(F.col("rank") == 1).select("query_id", "id", "distance")

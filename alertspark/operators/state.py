@@ -79,6 +79,11 @@ def claim(alerts: DataFrame, n: int = 1) -> DataFrame:
     return oldest.withColumn("analysis_status", F.lit(STATUS_PROCESSING))
 
 
+def claim_pending(alerts: DataFrame) -> DataFrame:
+    """Every Pending alert, flipped to Processing: what repeated claims take in the end."""
+    return status_filter(alerts, STATUS_PENDING).withColumn("analysis_status", F.lit(STATUS_PROCESSING))
+
+
 def recover(alerts: DataFrame) -> DataFrame:
     """Every Processing alert back to Pending (startup recovery, no age limit)."""
     s = F.col("analysis_status")
@@ -120,7 +125,7 @@ def apply_ti(alerts: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFram
     ``updates`` holds (alert_id, threat_intelligence); one update per id is
     kept (the last by ``seq`` when given). Status is untouched.
     """
-    u = updates.select("alert_id", F.col("threat_intelligence").alias("_new_ti"))
+    u = last_per_id(updates, ["threat_intelligence"]).select("alert_id", F.col("threat_intelligence").alias("_new_ti"))
     out = (alerts.join(u, "alert_id", "left")
            .withColumn("threat_intelligence",
                        F.when(F.col("_new_ti").isNotNull(), F.col("_new_ti"))
@@ -133,7 +138,9 @@ def apply_ti(alerts: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFram
 
 def apply_verdicts(alerts: DataFrame, verdicts: DataFrame, now) -> DataFrame:
     """Overwrite the verdict fields by id, set ``analyzed_at = now`` and status
-    Processed. No guard on the previous status; unknown ids change nothing."""
+    Processed. No guard on the previous status; unknown ids change nothing; of
+    several verdicts for an id the last by ``seq`` counts."""
+    verdicts = last_per_id(verdicts, ["llm_classification", "llm_confidence", "llm_reason", "llm_recommendation", "triage_status"])
     v = verdicts.select(
         "alert_id",
         F.col("llm_classification").alias("_c"),
@@ -197,7 +204,7 @@ def fold(log: DataFrame) -> DataFrame:
     Base columns come from the first ``inserted`` event (primary key: later
     inserts of the same id are ignored); status from the latest event that
     sets one; TI from the latest insert/TI update; the verdict group from the
-    latest insert/verdict. One hash aggregation, partial before the shuffle.
+    latest insert/verdict. One aggregation (sort-based: its buffers hold text).
     """
     order = F.struct("event_ts", "seq")
     kind = F.col("kind")
@@ -215,9 +222,16 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def first_per_id(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Keep the first row per ``alert_id`` by ``order_cols`` (aggregation, not a
-    window, so duplicates are reduced before the shuffle)."""
+    """Keep the first row per ``alert_id`` by ``order_cols``, ties by the row's
+    own text (aggregation, not a window, so duplicates are reduced before the shuffle)."""
     cols = [c for c in df.columns if c != "alert_id"]
     g = df.groupBy("alert_id").agg(
-        F.min_by(F.struct(*cols), F.struct(*order_cols)).alias("_r"))
+        F.min_by(F.struct(*cols), F.struct(*order_cols, F.to_json(F.struct(*cols)))).alias("_r"))
+    return g.select("alert_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def last_per_id(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per ``alert_id``: the last by ``seq`` where there is one, ties by value."""
+    order = (["seq"] if "seq" in df.columns else []) + cols
+    g = df.groupBy("alert_id").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return g.select("alert_id", *[F.col(f"_r.{c}").alias(c) for c in cols])

@@ -9,13 +9,15 @@ documented in SURVEY §7.4), so it runs natively inside the plan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (CLASS_FP, CLASS_NR, CLASS_TP, CLASSIFICATIONS, FAILSAFE_RECOMMENDATION,
                          FAILSAFE_RETURNED_REASON_PREFIX, FAILSAFE_STORED_REASON_PREFIX,
-                         FAILSAFE_STORED_REASON_SUFFIX, NOTIFY_FAILURE_REASON,
-                         NOTIFY_FAILURE_RECOMMENDATION, NOTIFY_FOOTER, NOTIFY_HEADER,
+                         FAILSAFE_STORED_REASON_SUFFIX, NOTIFY_ACTION_MAIL, NOTIFY_FAILURE_MAIL,
+                         NOTIFY_FAILURE_REASON, NOTIFY_FAILURE_RECOMMENDATION,
                          REASON_WORD_LIMIT, RECOMMENDATION_WORD_LIMIT, TRIAGE_FAILED,
                          TRIAGE_SUCCEEDED)
 from ..functions.ti import ti_malicious
@@ -150,13 +152,14 @@ def notifications(results: DataFrame) -> DataFrame:
     reason = F.when(fail & sys_err, F.lit(NOTIFY_FAILURE_REASON)).otherwise(F.col("analysis_reason"))
     recommendation = F.when(fail & sys_err, F.lit(NOTIFY_FAILURE_RECOMMENDATION)) \
         .otherwise(F.col("llm_recommendation"))
-    body = F.concat(
-        F.lit(f"<h2>{NOTIFY_HEADER}</h2>\n<p><strong>Alert ID:</strong> "), F.col("alert_id"),
-        F.lit("</p>\n<p><strong>Classification:</strong> "), F.col("llm_classification"),
-        F.lit("</p>\n<p><strong>Confidence:</strong> "), F.col("llm_confidence").cast("string"),
-        F.lit("%</p>\n<h3>Technical Reason</h3>\n<p>"), F.coalesce(reason, F.lit("")),
-        F.lit("</p>\n<h3>Recommended Action</h3>\n<p>"), F.coalesce(recommendation, F.lit("")),
-        F.lit(f"</p>\n<p><em>{NOTIFY_FOOTER}</em></p>"))
+    values = {"alert_id": F.col("alert_id"), "classification": F.col("llm_classification"),
+              "confidence": F.col("llm_confidence").cast("string"), "reason": F.coalesce(reason, F.lit("")),
+              "recommendation": F.coalesce(recommendation, F.lit(""))}
+
+    def mail(text: str) -> Column:
+        return F.concat(*[values[p[1:-1]] if p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", text) if p])
+
+    body = F.when(fail, mail(NOTIFY_FAILURE_MAIL)).otherwise(mail(NOTIFY_ACTION_MAIL))
     return (results.withColumn("route", r).filter(F.col("route") != "none")
             .select("alert_id", "route",
                     F.concat(F.col("llm_classification"), F.lit(" Alert - "), F.col("alert_id")).alias("subject"),

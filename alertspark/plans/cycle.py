@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_table_path
 from ..constants import NO_CONTEXT_MESSAGE, STATUS_PENDING, STATUS_PROCESSED, STATUS_PROCESSING
 from ..functions.context import context_blocks
 from ..functions.ip import classify_cols
 from ..functions.normalize import build_query
 from ..operators import enrich, state, triage
-from ..operators.joins import broadcast_if_bounded
 from ..operators.knowledge import fit_text_embedder
 from ..operators.similarity import knn
 from ..sources.alerts import load_alerts
@@ -54,16 +54,22 @@ def historical_kb(alerts: DataFrame) -> DataFrame:
         F.avg(F.col("llm_confidence").cast("double")).alias("conf"))
     value = F.format_string("%d prior alerts: %d True Positive, %d False Positive, %d Needs Review; "
                             "mean confidence %.2f.", "n", "tp", "fp", "nr", "conf")
-    return g.select(F.sha2("query_text", 256).substr(1, 16).alias("id"), F.col("query_text").alias("key"),
+    return g.select(F.sha2("query_text", 256).alias("id"), F.col("query_text").alias("key"),
                     value.alias("value"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1) -> DataFrame:
     """F16 + J7 + F7 over distinct query texts: (query_text, has_context, context_block)."""
-    # Both sets are bounded by the sentence vocabulary and each is read by the
-    # IDF fit, the size probe and the context join: keep them in memory.
-    texts = queries.select("query_text").distinct().cache()
-    kb = kb.cache()
+    # Both are read by the IDF fit, the kNN and the context join: written once,
+    # so nothing stays cached after a batch.
+    texts = _written(queries.select("query_text").distinct(), "query-texts")
+    kb = _written(kb, "knowledge")
     if kb.limit(1).count() == 0:
         # Empty store: every query gets the "no context" answer.
         return texts.select("query_text", F.lit(False).alias("has_context"),
@@ -91,7 +97,7 @@ def run_cycle(spark: SparkSession, alerts: DataFrame, now: str = "2024-02-01 00:
     ctx = retrieve_context(with_q, historical_kb(alerts))
     abuse, vt = enrich.ti_snapshots_from_alerts(alerts)
     with_ti = enrich.ti_merge(with_q, abuse, vt, dedupe=False).withColumn("threat_intelligence", F.col("ti_merged")).drop("ti_merged")
-    with_ctx = with_ti.join(broadcast_if_bounded(ctx, 1_000_000), "query_text", "left")
+    with_ctx = with_ti.join(ctx, "query_text", "left")
     features = enrich.evidence_features(with_ctx, ref)
     keep = ["has_context", "matched_playbooks", "seg_status", "approved_endpoint"]
     if scorer is triage.rule_verdict:

@@ -7,6 +7,8 @@ with the Spark implementation.
 
 from __future__ import annotations
 
+import re
+
 from ..constants import (IPV4_PRIVATE_EXCEPTIONS, IPV4_PRIVATE_NETWORKS, PORT_SERVICES,
                          RFC1918_NETWORKS)
 from ..functions.ip import net_bounds
@@ -125,7 +127,7 @@ import json as _json  # noqa: E402
 
 from ..constants import (FAILSAFE_RECOMMENDATION, IPV4_PRIVATE_NETWORKS as _PRIV,  # noqa: E402
                          NO_CONTEXT_MESSAGE, NO_USABLE_CONTEXT_MESSAGE, NOTIFY_FAILURE_REASON,
-                         NOTIFY_FAILURE_RECOMMENDATION, NOTIFY_FOOTER, NOTIFY_HEADER,
+                         NOTIFY_ACTION_MAIL, NOTIFY_FAILURE_MAIL, NOTIFY_FAILURE_RECOMMENDATION,
                          UNTRUSTED_FOOTER, UNTRUSTED_HEADER)
 from ..operators.ingest import IPV6_RE  # noqa: E402
 from ..functions.ip import CIDR_RE  # noqa: E402
@@ -248,6 +250,7 @@ def src_num_sql(col: str) -> str:
 
 _CLAIMED = (f"claimed AS (SELECT * FROM alerts WHERE analysis_status = 'Pending' "
             f"ORDER BY alert_time, alert_id LIMIT {CLAIM_N})")
+_PENDING = "claimed AS (SELECT * FROM alerts WHERE analysis_status = 'Pending')"
 _SNAP = """abuse AS (
   SELECT src_ip AS ip,
     max(TRY_CAST(json_extract_string(threat_intelligence, '$.abuseipdb.abuseConfidenceScore') AS INTEGER)) AS score,
@@ -325,7 +328,7 @@ ORACLE["o1_fifo_claim"] = with_alerts(
 ORACLE["p3_ti_projection"] = with_alerts(
     f"SELECT alert_id, rule_name, severity, {py_ts_sql('alert_time')} AS alert_time, log_source, "
     f"NULLIF(src_ip, '') AS src_ip, NULLIF(dest_ip, '') AS dest_ip, protocol, destination_ports, event_count, "
-    f"time_window, sample_logs, asset, threat_intelligence FROM claimed", _CLAIMED)
+    f"time_window, sample_logs, asset, threat_intelligence FROM claimed", _PENDING)
 ORACLE["p5_retrieval_input"] = with_alerts(
     "SELECT alert_id, rule_name, src_ip, dest_ip, protocol, destination_ports, event_count, time_window FROM alerts")
 ORACLE["p7_ti_flatten"] = with_alerts(f"SELECT alert_id, {ti_flat_sql('threat_intelligence')} FROM alerts")
@@ -357,18 +360,20 @@ _STORED = ("stored AS (SELECT alert_id, llm_classification, CAST(llm_confidence
            "ELSE 'failure_mail' END AS route FROM stored)")
 ORACLE["p12_notification_route"] = with_alerts("SELECT alert_id, route FROM routed", _STORED)
 _sys = "starts_with(analysis_reason, 'System error')"
+_reason = f"COALESCE(CASE WHEN {_sys} AND route = 'failure_mail' THEN {sql_str(NOTIFY_FAILURE_REASON)} ELSE analysis_reason END, '')"
+_advice = f"COALESCE(CASE WHEN {_sys} AND route = 'failure_mail' THEN {sql_str(NOTIFY_FAILURE_RECOMMENDATION)} ELSE llm_recommendation END, '')"
+
+
+def _mail(text: str) -> str:
+    """A mail text with its placeholders as a SQL concatenation."""
+    values = {"alert_id": "alert_id", "classification": "llm_classification", "confidence": "CAST(llm_confidence AS VARCHAR)",
+              "reason": _reason, "recommendation": _advice}
+    return " || ".join(values[p[1:-1]] if p[:1] == "{" else sql_str(p) for p in re.split(r"(\{\w+\})", text) if p)
+
+
 ORACLE["f9_notification"] = with_alerts(
     "SELECT alert_id, route, llm_classification || ' Alert - ' || alert_id AS subject, "
-    f"{sql_str('<h2>' + NOTIFY_HEADER + '</h2>' + chr(10) + '<p><strong>Alert ID:</strong> ')} || alert_id || "
-    f"{sql_str('</p>' + chr(10) + '<p><strong>Classification:</strong> ')} || llm_classification || "
-    f"{sql_str('</p>' + chr(10) + '<p><strong>Confidence:</strong> ')} || CAST(llm_confidence AS VARCHAR) || "
-    f"{sql_str('%</p>' + chr(10) + '<h3>Technical Reason</h3>' + chr(10) + '<p>')} || "
-    f"COALESCE(CASE WHEN route = 'failure_mail' AND {_sys} THEN {sql_str(NOTIFY_FAILURE_REASON)} "
-    f"ELSE analysis_reason END, '') || "
-    f"{sql_str('</p>' + chr(10) + '<h3>Recommended Action</h3>' + chr(10) + '<p>')} || "
-    f"COALESCE(CASE WHEN route = 'failure_mail' AND {_sys} THEN {sql_str(NOTIFY_FAILURE_RECOMMENDATION)} "
-    f"ELSE llm_recommendation END, '') || "
-    f"{sql_str('</p>' + chr(10) + '<p><em>' + NOTIFY_FOOTER + '</em></p>')} AS body "
+    f"CASE WHEN route = 'failure_mail' THEN {_mail(NOTIFY_FAILURE_MAIL)} ELSE {_mail(NOTIFY_ACTION_MAIL)} END AS body "
     "FROM routed WHERE route <> 'none'", _STORED)
 
 ORACLE["f1_classify_ip"] = with_alerts(
@@ -380,7 +385,7 @@ ORACLE["f4_event_volume"] = with_alerts(f"SELECT alert_id, {volume_sql('event_co
 ORACLE["f5_build_query"] = with_alerts(f"SELECT alert_id, {query_text_sql()} AS query_text FROM alerts")
 ORACLE["f10_failsafe_reason"] = with_alerts(
     f"SELECT alert_id, {_FS_REASON} AS llm_reason, 'System error: no verdict returned' AS analysis_reason "
-    f"FROM claimed", _CLAIMED)
+    f"FROM claimed", _PENDING)
 ORACLE["f11_window_seconds"] = with_alerts(
     f"SELECT alert_id, {window_seconds_sql('time_window')} AS window_seconds FROM alerts")
 ORACLE["f13_confidence_band"] = with_alerts(
@@ -429,7 +434,7 @@ ORACLE["j5_verdict_apply"] = with_alerts(
     "CASE WHEN c.alert_id IS NOT NULL THEN CAST(0 AS DECIMAL(5,2)) ELSE a.llm_confidence END AS llm_confidence, "
     "CASE WHEN c.alert_id IS NOT NULL THEN 'Failed' ELSE a.triage_status END AS triage_status, "
     f"CASE WHEN c.alert_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE a.analyzed_at END AS analyzed_at "
-    "FROM alerts a LEFT JOIN claimed c ON a.alert_id = c.alert_id", _CLAIMED)
+    "FROM alerts a LEFT JOIN claimed c ON a.alert_id = c.alert_id", _PENDING)
 ORACLE["g5_state_fold"] = with_alerts(
     "SELECT a.alert_id, CASE WHEN c.alert_id IS NOT NULL THEN 'Processed' ELSE a.analysis_status END AS analysis_status, "
     "CASE WHEN c.alert_id IS NOT NULL THEN 'Needs Review' ELSE a.llm_classification END AS llm_classification, "
@@ -440,7 +445,7 @@ ORACLE["g5_state_fold"] = with_alerts(
     "COALESCE(TRY_CAST(json_extract_string(a.threat_intelligence, '$.abuseipdb.abuseConfidenceScore') AS INTEGER), "
     "TRY_CAST(json_extract_string(a.threat_intelligence, '$.abuseipdb.score') AS INTEGER), 0) END AS abuse_score "
     "FROM alerts a LEFT JOIN claimed c ON a.alert_id = c.alert_id LEFT JOIN abuse ab ON a.src_ip = ab.ip",
-    _CLAIMED + "," + _SNAP)
+    _PENDING + "," + _SNAP)
 ORACLE["j8_asset_lookup"] = with_alerts(
     "SELECT a.alert_id, d.name AS dest_asset_name, d.type AS dest_asset_type, d.criticality AS dest_asset_criticality, "
     "d.zone AS dest_asset_zone, s.name AS src_asset_name FROM alerts a LEFT JOIN assets d ON a.dest_ip = d.ip "
@@ -548,7 +553,7 @@ _FEAT0 = (
     f"{_ti_int('a.threat_intelligence', '$.abuseipdb.abuseConfidenceScore', '$.abuseipdb.score')} AS abuse_score, "
     f"{_ti_int('a.threat_intelligence', '$.virustotal.malicious')} AS vt_malicious, "
     f"COALESCE({_approved_cond('d')}, false) OR COALESCE({_approved_cond('s')}, false) AS approved_endpoint, "
-    "d.ip IS NOT NULL AS dest_listed_approved, sx.seg_status, sx.seg_rule, "
+    "sx.seg_status, sx.seg_rule, "
     f"{LOG_MEASURES} "
     "FROM (SELECT *, COALESCE(json_extract(sample_logs, '$[*]'), []::JSON[]) AS logs FROM alerts) a "
     "LEFT JOIN approved d ON a.dest_ip = d.ip LEFT JOIN approved s ON a.src_ip = s.ip "
@@ -559,8 +564,8 @@ _FEAT = (
     "CASE WHEN source_type = 'External source' AND failed_logins > 20 AND COALESCE(wsec <= 60, false) "
     f"AND len(list_intersect({_PORTS}, [22, 3389])) > 0 THEN 'brute_force' END, "
     "CASE WHEN sqli_hits > 0 THEN 'sqli' END, CASE WHEN xss_hits > 0 THEN 'xss' END, "
-    "CASE WHEN total_bytes > 1000000000 AND COALESCE(protocol = 'HTTPS', false) AND NOT dest_listed_approved "
-    "AND destination_type = 'External destination' THEN 'data_exfiltration' END, "
+    "CASE WHEN total_bytes > 1000000000 AND COALESCE(protocol = 'HTTPS', false) AND NOT approved_endpoint "
+    "THEN 'data_exfiltration' END, "
     "CASE WHEN probed_ports > 10 AND COALESCE(wsec <= 30, false) THEN 'port_scan' END], lambda x: x IS NOT NULL) "
     "AS matched_playbooks FROM (SELECT *, "
     "CASE WHEN failed_log_count > 0 THEN COALESCE(event_count, 0) ELSE 0 END AS failed_logins, "
@@ -590,7 +595,7 @@ ORACLE["j6_failsafe"] = with_alerts(
     "SELECT c.alert_id, v.llm_classification, "
     "CASE WHEN v.llm_classification = 'Needs Review' THEN 'Failed' ELSE 'Succeeded' END AS triage_status, "
     "CASE WHEN v.llm_classification = 'Needs Review' THEN 'failsafe_executed' ELSE 'success' END AS request_status "
-    "FROM claimed c JOIN verd v ON c.alert_id = v.alert_id", _CLAIMED + "," + _FEAT_CTES)
+    "FROM claimed c JOIN verd v ON c.alert_id = v.alert_id", _PENDING + "," + _FEAT_CTES)
 
 ORACLE["s8_kb_point_lookup"] = (f"WITH {_KB} SELECT id, key, COALESCE(value, '') AS value FROM kb "
                                 "WHERE id = 'pattern_1_0'")

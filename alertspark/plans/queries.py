@@ -111,7 +111,7 @@ def o1_fifo_claim(spark, sf):
 
 
 def p3_ti_projection(spark, sf):
-    return state.ti_updated_projection(state.claim(_alerts(spark, sf), CLAIM_N))
+    return state.ti_updated_projection(state.claim_pending(_alerts(spark, sf)))
 
 
 def p5_retrieval_input(spark, sf):
@@ -179,7 +179,7 @@ def f5_build_query(spark, sf):
 
 
 def f10_failsafe_reason(spark, sf):
-    res = triage.with_failsafe(state.claim(_alerts(spark, sf), CLAIM_N),
+    res = triage.with_failsafe(state.claim_pending(_alerts(spark, sf)),
                                spark.createDataFrame([], "alert_id string, llm_classification string, "
                                                      "llm_confidence double, llm_reason string, "
                                                      "llm_recommendation string, triage_status string, "
@@ -238,7 +238,7 @@ def j4_ti_update(spark, sf):
 
 def j5_verdict_apply(spark, sf):
     a = _alerts(spark, sf)
-    claimed = state.claim(a, CLAIM_N)
+    claimed = state.claim_pending(a)
     v = triage.with_failsafe(claimed, spark.createDataFrame(
         [], "alert_id string, llm_classification string, llm_confidence double, llm_reason string, "
             "llm_recommendation string, triage_status string, error string"))
@@ -249,7 +249,7 @@ def j5_verdict_apply(spark, sf):
 
 def j6_failsafe(spark, sf):
     a = _alerts(spark, sf)
-    claimed = state.claim(a, CLAIM_N)
+    claimed = state.claim_pending(a)
     verdicts = enrich.evidence_features(claimed, load_reference(spark))
     v = triage.rule_verdict(verdicts).filter(F.col("llm_classification") != "Needs Review")
     return triage.with_failsafe(claimed, v).select("alert_id", "llm_classification", "triage_status",
@@ -332,7 +332,7 @@ def o4_startup_recovery(spark, sf):
 
 def g5_state_fold(spark, sf):
     a = _alerts(spark, sf)
-    claimed = state.claim(a, CLAIM_N)
+    claimed = state.claim_pending(a)
     abuse, vt = enrich.ti_snapshots_from_alerts(a)
     ti = enrich.ti_merge(claimed, abuse, vt, dedupe=False).select("alert_id", F.col("ti_merged").alias("threat_intelligence"))
     v = triage.with_failsafe(claimed, spark.createDataFrame(

@@ -1,8 +1,7 @@
 """SparkSession construction and shared-storage helpers.
 
-On a cluster the session is created by the platform; ``get_spark`` only
-fills in settings that are still unset, so cluster-provided values such as
-``spark.checkpoint.dir`` and ``spark.sql.shuffle.partitions`` always win.
+On a cluster the session is created by the platform and is used as it is;
+``get_spark`` builds one with its own defaults only where none is active (tests, bench).
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings this library relies on. Applied only where the session has none.
+# Settings of a session that get_spark builds itself.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -60,6 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="alertspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext

@@ -107,10 +107,8 @@ _CACHE: dict = {}
 
 
 def load_reference(spark: SparkSession, path: str | None = None) -> dict[str, DataFrame]:
-    """The four dimensions. Loaded once per session and path, cached, and
-    their row counts recorded so joins can broadcast them without re-probing."""
-    from ..operators.joins import mark_bounded
-
+    """The four dimensions. Loaded once per session and path and cached, so
+    joins know their bytes."""
     key = (spark.sparkContext.applicationId, os.path.abspath(path or DEFAULT_REFERENCE))
     if key in _CACHE:
         return _CACHE[key]
@@ -119,7 +117,8 @@ def load_reference(spark: SparkSession, path: str | None = None) -> dict[str, Da
             "segmentation": segmentation(raw), "approved": approved_endpoints(raw)}
     for name, df in dims.items():
         df = df.cache()
-        dims[name] = mark_bounded(df, df.count())
+        df.count()  # from now on its size is known
+        dims[name] = df
     _CACHE[key] = dims
     return dims
 
@@ -136,7 +135,8 @@ def reference_documents(path: str | None = None) -> dict[str, str]:
 
 
 def playbook_thresholds(path: str | None = None) -> dict:
-    """Playbook match thresholds as configuration values (numbers parsed like F12)."""
+    """Playbook match thresholds: volumes and counts as tests of a column, with
+    the comparator the document states (numbers parsed like F12)."""
     import re
     docs = json.loads(reference_documents(path)["playbooks"])
     units = {"": 1, "B": 1, "KB": 1e3, "MB": 1e6, "GB": 1e9, "TB": 1e12}
@@ -144,7 +144,9 @@ def playbook_thresholds(path: str | None = None) -> dict:
 
     def num(text):
         m = re.match(r"^\s*(>=|>|<=|<|=)?\s*([0-9]+(?:\.[0-9]+)?)\s*([KMGT]?B)?\s*$", str(text))
-        return float(m.group(2)) * units[m.group(3) or ""]
+        bound = float(m.group(2)) * units[m.group(3) or ""]
+        return {">": lambda c: c > bound, ">=": lambda c: c >= bound, "<": lambda c: c < bound,
+                "<=": lambda c: c <= bound}.get(m.group(1), lambda c: c == bound)
 
     def win(text):
         m = re.match(r"^\s*([0-9]+)\s*([smhd])\s*$", str(text))

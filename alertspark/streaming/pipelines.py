@@ -103,7 +103,9 @@ def start_cycle(stream_of_alerts: DataFrame, log_path: str, now_col: str = "proc
         now = F.current_timestamp().cast("timestamp_ntz")
         inserted = state.inserted_events(batch.drop("direction") if "direction" in batch.columns else batch)
         _write_batch(inserted.withColumn("seq", F.lit(batch_id * 10).cast("long")), log_path, batch_id, ("kind",))
-        log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
+        # A replay must not see this batch's own claims and verdicts.
+        log = spark.read.schema(LOG_SCHEMA).parquet(log_path).where(
+            (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & (F.col("kind") == "inserted")))
         current = state.fold(log.drop("batch_id"))
         from ..functions.ip import with_direction
         out = run_cycle(spark, with_direction(current), n=n)
