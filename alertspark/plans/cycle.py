@@ -58,7 +58,7 @@ def historical_kb(alerts: DataFrame) -> DataFrame:
                     value.alias("value"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -68,8 +68,8 @@ def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1) -> DataFrame
     """F16 + J7 + F7 over distinct query texts: (query_text, has_context, context_block)."""
     # Both are read by the IDF fit, the kNN and the context join: written once,
     # so nothing stays cached after a batch.
-    texts = _written(queries.select("query_text").distinct(), "query-texts")
-    kb = _written(kb, "knowledge")
+    texts = written(queries.select("query_text").distinct(), "query-texts")
+    kb = written(kb, "knowledge")
     if kb.limit(1).count() == 0:
         # Empty store: every query gets the "no context" answer.
         return texts.select("query_text", F.lit(False).alias("has_context"),

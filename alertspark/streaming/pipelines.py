@@ -10,16 +10,16 @@ storage on a cluster).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import state
+from ..operators import state, triage
 from ..operators.enrich import log_measures
 from ..operators.ingest import ingest_alerts
 
 from ..schemas import ALERTS
-from ..session import new_table_path
+from ..session import new_table_path, path_exists
 
 PAYLOAD_SCHEMA = "payload string"
 
@@ -55,15 +55,28 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, by: tuple = ()) -> Non
 
 def start_ingest(stream: DataFrame, valid_path: str, rejected_path: str, checkpoint: str | None = None,
                  trigger: dict | None = None, now=None):
-    """T1 + S11: validate every micro-batch (S2/S3) and write valid alerts and
-    rejected payloads to their sinks; idempotent by ``batch_id``."""
+    """T1 + S11: validate every micro-batch (S2/S3), keep the first alert of each id
+    (J3: by time within the batch, and not if an earlier batch has it), and write
+    accepted alerts and rejected payloads to their sinks; a duplicate is a reject
+    with its reason. Idempotent by ``batch_id``."""
     spark = stream.sparkSession
     checkpoint = checkpoint or new_table_path(spark, "ingest-checkpoint")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         valid, rejected = ingest_alerts(batch, now=now)
-        _write_batch(valid, valid_path, batch_id)
-        _write_batch(rejected, rejected_path, batch_id)
+        whole = F.to_json(F.struct(*valid.columns))
+        order = Window.partitionBy("alert_id").orderBy("alert_time", whole)
+        numbered = valid.withColumn("_n", F.row_number().over(order)).withColumn("payload", whole)
+        if batch_id > 0 and path_exists(spark, valid_path):
+            stored = spark.read.schema("alert_id string, batch_id long").parquet(valid_path).where(
+                F.col("batch_id") < batch_id).select("alert_id", F.lit(True).alias("_stored")).distinct()
+            numbered = numbered.join(stored, "alert_id", "left")
+        else:
+            numbered = numbered.withColumn("_stored", F.lit(None).cast("boolean"))
+        new = (F.col("_n") == 1) & F.col("_stored").isNull()
+        _write_batch(numbered.where(new).select(valid.columns), valid_path, batch_id)
+        again = numbered.where(~new).select("alert_id", "src_ip", F.array(F.lit("alert_id already exists")).alias("reasons"), "payload")
+        _write_batch(rejected.unionByName(again), rejected_path, batch_id)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -87,14 +100,18 @@ def dedup_stream(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
 # --------------------------------------------------------------------------- T3
 
 def start_cycle(stream_of_alerts: DataFrame, log_path: str, now_col: str = "processing_time",
-                checkpoint: str | None = None, trigger: dict | None = None, n: int | None = None):
+                checkpoint: str | None = None, trigger: dict | None = None, n: int | None = None,
+                notifications_path: str | None = None):
     """The processing cycle per micro-batch. Each batch of new alerts is
     appended to the event log as ``inserted``; the current state is folded
     from the log (G5); the cycle claims, scores and applies verdicts; the
-    resulting ``claimed`` and ``verdict`` events are appended, keyed by
-    ``batch_id`` so a replay overwrites its own output. A failed cycle raises
+    resulting ``claimed``, ``ti_updated`` and ``verdict`` events are appended (and
+    the mails written, if a path is given), keyed by ``batch_id`` so a replay
+    overwrites its own output. The gate (G3) is obeyed: nothing is claimed while
+    alerts are in flight or none is pending. A failed cycle raises
     and the query restarts from its checkpoint — nothing is half-applied."""
-    from ..plans.cycle import run_cycle
+    from ..functions.ip import with_direction
+    from ..plans.cycle import run_cycle, written
 
     spark = stream_of_alerts.sparkSession
     checkpoint = checkpoint or new_table_path(spark, "cycle-checkpoint")
@@ -107,13 +124,18 @@ def start_cycle(stream_of_alerts: DataFrame, log_path: str, now_col: str = "proc
         log = spark.read.schema(LOG_SCHEMA).parquet(log_path).where(
             (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & (F.col("kind") == "inserted")))
         current = state.fold(log.drop("batch_id"))
-        from ..functions.ip import with_direction
-        out = run_cycle(spark, with_direction(current), n=n)
-        res = out["results"]
-        claimed = state.status_events(res, "claimed", state.STATUS_PROCESSING, now, batch_id * 10 + 1)
-        verdicts = state.verdict_events(res, now, batch_id * 10 + 2)
-        events = state.union_events(claimed, verdicts)
+        current = with_direction(current)
+        if state.queue_gate(current).first()["decision"] != "trigger":
+            return
+        out = run_cycle(spark, current, n=n)
+        res = written(out["results"], "cycle-results")
+        ti = out["features"].select("alert_id", "threat_intelligence")
+        events = state.union_events(
+            state.status_events(res, "claimed", state.STATUS_PROCESSING, now, batch_id * 10 + 1),
+            state.ti_events(ti, now, batch_id * 10 + 2), state.verdict_events(res, now, batch_id * 10 + 3))
         _write_batch(events, log_path, batch_id, ("kind",))
+        if notifications_path:
+            _write_batch(triage.notifications(res), notifications_path, batch_id)
 
     w = stream_of_alerts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
@@ -128,11 +150,13 @@ def lifecycle_state(log_stream: DataFrame) -> DataFrame:
     return state.fold(log_stream)
 
 
-def stuck_alerts(current: DataFrame, now, max_age: str = "10 minutes") -> DataFrame:
-    """O4 with an age limit (optional; the reference has none): Processing
-    alerts whose claim is older than ``max_age`` — candidates for recovery."""
-    return current.filter((F.col("analysis_status") == state.STATUS_PROCESSING)
-                          & (F.col("created_at") < state.ts_lit(now) - F.expr(f"INTERVAL {max_age}")))
+def stuck_alerts(log: DataFrame, now, max_age: str = "10 minutes") -> DataFrame:
+    """O4 with an age limit (optional; the reference has none): alerts whose
+    latest status is a claim older than ``max_age`` — candidates for recovery."""
+    last = log.where(F.col("analysis_status").isNotNull()).groupBy("alert_id").agg(
+        F.max(F.struct("event_ts", "seq", "analysis_status")).alias("s"))
+    return last.select("alert_id", F.col("s.event_ts").alias("claimed_at"), F.col("s.analysis_status").alias("analysis_status")).where(
+        (F.col("analysis_status") == state.STATUS_PROCESSING) & (F.col("claimed_at") < state.ts_lit(now) - F.expr(f"INTERVAL {max_age}")))
 
 
 # --------------------------------------------------------------------------- T5

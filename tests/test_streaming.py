@@ -83,7 +83,7 @@ def test_stream_cycle_appends_claim_and_verdict_events(spark):
     a.filter("analysis_status = 'Pending'").limit(40).write.mode("overwrite").parquet(src)
     log = tempfile.mkdtemp(prefix="alertspark-eventlog-")
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    q = P.start_cycle(stream, log, checkpoint=f"{log}-ckpt", trigger={"availableNow": True})
+    q = P.start_cycle(stream, log, checkpoint=f"{log}-ckpt", trigger={"availableNow": True}, notifications_path=f"{log}-mails")
     q.awaitTermination(600)
     assert q.exception() is None
     events = spark.read.schema(LOG_SCHEMA).parquet(log)
@@ -91,3 +91,31 @@ def test_stream_cycle_appends_claim_and_verdict_events(spark):
     assert kinds["inserted"] == 40 and kinds["claimed"] == 40 and kinds["verdict"] == 40
     cur = fold(events.drop("batch_id"))
     assert {r.analysis_status for r in cur.collect()} == {"Processed"}
+    assert kinds["ti_updated"] == 40
+    mails = spark.read.parquet(f"{log}-mails")
+    assert 0 < mails.count() <= 40 and mails.count() == mails.select("alert_id").distinct().count()
+
+
+def test_stream_ingest_keeps_the_first_of_an_id(spark):
+    src, _ = _payload_dir(spark, 1)
+    with open(os.path.join(src, "part-0.json")) as fh:
+        line = fh.readline()
+    for name in ("part-1.json", "part-2.json"):
+        with open(os.path.join(src, name), "w") as fh:
+            fh.write(line * 2)
+    out = tempfile.mkdtemp(prefix="alertspark-sink-")
+    q = P.start_ingest(P.read_payload_stream(spark, src, max_files=1), f"{out}/valid", f"{out}/rejected", checkpoint=f"{out}/ckpt")
+    q.awaitTermination(300)
+    valid = spark.read.parquet(f"{out}/valid")
+    once = ingest_alerts(spark.read.schema("payload string").json(f"{src}/part-0.json"))[0]
+    assert valid.count() == valid.select("alert_id").distinct().count() == once.count()
+    assert spark.read.parquet(f"{out}/rejected").where("reasons[0] = 'alert_id already exists'").count() == 4
+
+
+def test_stuck_alerts_go_by_their_claim(spark):
+    log = spark.createDataFrame([("A", "2024-01-01 00:00:00", 0, "Pending"), ("A", "2024-01-01 09:58:00", 1, "Processing"),
+                                 ("B", "2024-01-01 00:00:00", 1, "Processing"), ("C", "2024-01-01 01:00:00", 1, "Processing"),
+                                 ("C", "2024-01-01 02:00:00", 2, "Processed")],
+                                "alert_id string, event_ts string, seq long, analysis_status string").withColumn(
+        "event_ts", F.col("event_ts").cast("timestamp_ntz"))
+    assert [r.alert_id for r in P.stuck_alerts(log, "2024-01-01 10:00:00").collect()] == ["B"]
