@@ -48,9 +48,9 @@ from .common import saved, whole_text
 from .shingles import mix
 
 LENGTH = 400
-#: Anchors: gram and window of their places, bytes of their digest. In the
-#: first GRAM + WINDOW - 1 bytes of a string there is one, whose digest fits in.
-GRAM, ANCHOR_WINDOW, ANCHOR_BYTES = 32, 150, 200
+#: Anchors: gram and window of their places, bytes of their digest. Among the
+#: first ANCHOR_WINDOW places of a string is one, and its bytes end within LENGTH.
+GRAM, ANCHOR_WINDOW, ANCHOR_BYTES = 32, 150, 250
 #: Phrases: gram and window; none is longer than the window.
 PHRASE_GRAM, PHRASE_WINDOW = 16, 100
 BUFFER = 2_000_000
@@ -154,7 +154,7 @@ def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("pos", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([("key", pa.binary()), ("pos", pa.int32()), ("h", pa.int64())])
     seen: set[bytes] = set()
     for b in batches:
         texts = [t for t in _utf8(b.column(0)) if len(t) >= LENGTH]
@@ -171,9 +171,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buf = Buffer(mine)
             p, h = buf.anchors()
             who, pos = buf.text[p], p - buf.start[buf.text[p]]
-            short = np.frombuffer(b"".join(k[:8] for k in keys), _U)
-            ids = mix(short[who] + pos.astype(_U) * _U(_R))
-            yield _batch(schema, pa.array(keys, pa.binary()).take(pa.array(who)), ids.view(np.int64), pos, h.view(np.int64))
+            yield _batch(schema, pa.array(keys, pa.binary()).take(pa.array(who)), pos.astype(np.int32), h.view(np.int64))
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +282,13 @@ def suffix_ranks(rows: DataFrame, need: int, level: int = 0) -> DataFrame:
         deeper = named.select((F.col("s") * 2 + F.col("x") % 3 - 1).alias("s"), F.floor(F.col("x") / 3).alias("x"), F.col("name").alias("sym"))
         deeper = suffix_ranks(deeper, need, level + 1)
         rank = deeper.select(F.floor(F.col("s") / 2).alias("s"), (F.col("x") * 3 + F.pmod("s", F.lit(2)) + 1).alias("x"), "rank")
-    full = rows.join(rank, ["s", "x"], "left").withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))
-    after = lambda k: F.coalesce(F.lead("rank", k).over(seq), F.lit(0))
-    full = saved(full.select("s", "x", "m", "sym", "sym1", "rank", after(1).alias("r1"), after(2).alias("r2")), "suffix-merge")
+    # Places and ranks meet in one window by sequence: the ranks at x, x + 1 and x + 2.
+    no = F.lit(None).cast("long").alias
+    both = rows.select("s", "x", "m", "sym", "sym1", no("rank")).unionByName(
+        rank.select("s", "x", F.lit(None).cast("int").alias("m"), no("sym"), no("sym1"), "rank"))
+    rank_at = lambda k: F.coalesce(F.max("rank").over(seq.rangeBetween(k, k)), F.lit(0))
+    full = both.select("s", "x", "m", "sym", "sym1", rank_at(0).alias("rank"), rank_at(1).alias("r1"), rank_at(2).alias("r2"))
+    full = saved(full.where("m is not null"), "suffix-merge")
     at = ["s", "x"]
     kind = lambda m: F.when(F.col("m") == m, 1).otherwise(0).alias("cls")
     ones = ranked(full.where("m < 2").select(*at, "m", "sym", "r1", kind(1)), ["sym", "r1", *at], 2)
@@ -482,10 +484,11 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # 1. Anchors whose digest occurs at more than one place of different texts or one.
     anchors = saved(d.where(F.octet_length("text") >= LENGTH).select("text").mapInArrow(
-        _anchors, "key binary, id long, pos long, h long"), "suffix-anchors")
-    again = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
+        _anchors, "key binary, pos int, h long"), "suffix-anchors")
+    place = F.xxhash64("key", "pos")
+    again = anchors.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
     marked = anchors.select("key", "pos", "h").join(again, "h", "left_semi").distinct().groupBy("key").agg(
-        F.collect_list(F.struct("pos", "h")).alias("list"))
+        F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "h")).alias("list"))
     texts = d.select(key.alias("key"), "text").dropDuplicates(["key"]).join(marked, "key")
     texts = saved(texts.mapInArrow(_pack, "key binary, text string, anchors binary").withColumn(
         "tid", F.monotonically_increasing_id()), "suffix-texts")
