@@ -17,10 +17,9 @@ fell into parts that hold a difference, less likely than 1e-14 for any pair.
 
 Steps, each a Spark job over all rows: equal sets fall together as classes.
 Signatures are sent in blocks. A signature of up to PAIRS classes gives their
-pairs; a more common one is *open*: it links its classes to the least and
-keeps the list of them. The pairs are verified, components are formed, and for
-classes of open signatures that are still in different components are tested
-further: first against the class that shares most with its fellows, then
+pairs; a more common one is *open* and keeps the list of its classes. The pairs are verified,
+components are formed, and classes of open signatures that are in different components are
+tested further: first against the class that shares most with its fellows, then
 pair by pair, each pair at the least signature it shares. A feature that no other
 such class has cannot be common, so pairs with too few shared features left are out
 without a test. A group of thousands of near copies so costs a few verifications a
@@ -165,12 +164,6 @@ def _groups(sig: np.ndarray, key: np.ndarray, open_: np.ndarray) -> tuple[np.nda
     return np.stack([sig.view(np.int64), key], 1), np.repeat(wide, size), np.repeat(at, size)
 
 
-def _stars(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(key, least key of its signature)."""
-    pair = np.stack([rows[:, 1], rows[first, 1]], 1)
-    return _distinct(pair[pair[:, 0] != pair[:, 1]])
-
-
 def _all_pairs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Pairs (greater key, lesser key) within signatures of at most PAIRS records."""
     out = [np.empty((0, 2), np.int64)]
@@ -212,8 +205,7 @@ def _send(bins: int, n_words: int, pct: int):
                 rows, wide, first = _groups(sig, _short(keys)[d], np.empty(0, _U))
                 own = np.arange(len(rows)) == first
                 out = [(i, kind, x) for kind, part_ in (
-                    (RECORD, rows[~wide]), (OPEN, rows[wide & own]), (PAIR, _stars(rows, np.where(wide, first, np.arange(len(rows))))),
-                    (MEMBER, rows[wide])) for i, x in _blocks(np.ascontiguousarray(part_), bins)]
+                    (RECORD, rows[~wide]), (OPEN, rows[wide & own]), (MEMBER, rows[wide])) for i, x in _blocks(np.ascontiguousarray(part_), bins)]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bin", "kind", "data"])
@@ -222,15 +214,13 @@ def _send(bins: int, n_words: int, pct: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    got = {k: [np.empty((0, 2), np.int64)] for k in (RECORD, OPEN, PAIR, MEMBER)}
+    got = {k: [np.empty((0, 2), np.int64)] for k in (RECORD, OPEN, MEMBER)}
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data")):
         got[kind].append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 2))
     got = {k: np.concatenate(v) for k, v in got.items()}
     both = np.concatenate([got[RECORD], got[OPEN]])
     rows, wide, first = _groups(both[:, 0].copy().view(_U), both[:, 1].copy(), got[OPEN][:, 0].copy().view(_U))
-    here = np.arange(len(rows))
-    pairs = _distinct(np.concatenate([got[PAIR], _stars(rows, np.where(wide, first, here)),
-                                      _all_pairs(rows, np.where(wide, here, first))]))
+    pairs = _all_pairs(rows, np.where(wide, np.arange(len(rows)), first))
     members = _distinct(np.concatenate([got[MEMBER], rows[wide]]))
     out = np.concatenate([pairs, members])
     return pa.table({"kind": pa.array(np.repeat([PAIR, MEMBER], [len(pairs), len(members)]), pa.int32()),
@@ -371,8 +361,10 @@ def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: Data
         if step == "center":
             best = rows.groupBy("sig").agg(F.max(F.struct("shared", "key", "component", "size")).alias("z")).select(
                 "sig", F.col("z.key").alias("zkey"), F.col("z.component").alias("zcomponent"), F.col("z.shared").alias("zshared"), F.col("z.size").alias("zsize"))
-            pairs = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & able("", "z")).select(
-                F.least("key", "zkey").alias("a"), F.greatest("key", "zkey").alias("b"))
+            # One centre for each class: this step need not find all, the next one does.
+            one = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & able("", "z")).groupBy("key").agg(
+                F.max(F.struct("zshared", "zkey")).alias("z")).select("key", F.col("z.zkey").alias("zkey"))
+            pairs = one.select(F.least("key", "zkey").alias("a"), F.greatest("key", "zkey").alias("b"))
         else:
             sigs = open_.join(rest.select("sig").distinct(), F.col("a") == F.col("sig"), "left_semi").groupBy(F.col("b").alias("short")).agg(
                 F.sort_array(F.collect_set("a")).alias("sigs"))
@@ -405,8 +397,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _meet, "kind int, a long, b long").distinct(), "partenum-met")
     near, open_ = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") == MEMBER)
 
-    # The sets of the classes that are in a pair, read from one row of each.
-    in_pair = near.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    # The sets of the classes that share a signature, read from one row of each.
+    in_pair = near.select(F.explode(F.array("a", "b")).alias("short")).unionByName(open_.select(F.col("b").alias("short"))).distinct()
     one = members.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("doc_id")).join(in_pair, "short", "left_semi")
     one = saved(one.select("doc_id", "key"), "partenum-one")
     texts = d.join(broadcast_if_small(one.select("doc_id").distinct(), 8), "doc_id", "left_semi")
