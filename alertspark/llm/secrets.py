@@ -60,6 +60,17 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+# A key goes with its body: through the END line of the same name, if no other
+# BEGIN or END comes before it; else (cut off) through its header fields and the lines, or long
+# words, of base64 that follow. Line ends may be written out as \n.
+_LINE = r"(?:\r\n?|\n|\\r\\n|\\n)[\x20\t>]*+"
+_FIELDS = rf"(?:{_LINE}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+|\s++(?:Proc-Type|DEK-Info):\s*+\S++|(?:{_LINE})(?=\s|\\))*+"
+_BASE64 = rf"(?:{_LINE}[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t]*+(?:[\r\n\\\"']|\z))|[\s\"'\\,]*+[A-Za-z0-9+/]{{16,}}+={{0,2}})"
+_PRIVATE_KEY = (r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END \1-----"
+                rf"|{_FIELDS}{_BASE64}++)?+")
+#: The rules of redaction; the ledger's listing keeps the header alone as private_key.
+REDACT_RULES = tuple(Rule("private_key", 2, _PRIVATE_KEY) if r.kind == "private_key" else r for r in RULES)
+
 LEDGER_SCHEMA = ("blob string, scanned array<string>, "
                  "found array<struct<rule:string,ord:int,gap:int,len:int,ok:boolean>>")
 
@@ -159,7 +170,7 @@ def redacted(text, findings, mask: str = "[SECRET]"):
         F.substring(text, (F.element_at(m, -1)["e"] + 1).cast("int"), F.length(text))))), 1)
 
 
-def redact_documents(docs: DataFrame, ledger_path: str | None = None, rules=RULES, text_col: str = "text",
+def redact_documents(docs: DataFrame, ledger_path: str | None = None, rules=REDACT_RULES, text_col: str = "text",
                      length_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with every secret masked; their other columns stay,
     but for the length of a changed text. Null texts stay null."""
