@@ -54,6 +54,8 @@ GRAM, ANCHOR_WINDOW, ANCHOR_BYTES = 32, 150, 250
 #: Phrases: gram and window; none is longer than the window.
 PHRASE_GRAM, PHRASE_WINDOW = 16, 100
 BUFFER = 2_000_000
+#: Windows whose minima are taken together; their places fit PLACE_BITS.
+SPAN, PLACE_BITS = 1 << 22, 24
 #: A repeated string holds a phrase cut in its first PHRASE_WINDOW places, and
 #: another this far or further from its start; whole phrases lie between.
 LAST_CUT = LENGTH - PHRASE_GRAM - PHRASE_WINDOW + 1
@@ -92,24 +94,26 @@ class Digests:
 
 def _minima(d: Digests, n: int, end: np.ndarray, gram: int, window: int) -> np.ndarray:
     """Places that hold the least gram digest of some window, the leftmost on
-    ties; ``end`` is the end of each place's text."""
-    m = n - gram + 1
-    if m < window:
-        return np.empty(0, np.int64)
-    at = np.arange(m)
-    h = d.of(at, at + gram)
-    # The place in the low bits: unique, and leftmost on ties.
-    key = (h >> _U(24) << _U(24)) | at.astype(_U)
-    rows = -(-m // window)
-    padded = np.full(rows * window, np.iinfo(np.uint64).max, _U)
-    padded[:m] = key
-    grid = padded.reshape(rows, window)
-    left = np.minimum.accumulate(grid, 1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    s = np.arange(m - window + 1)
-    least = (np.minimum(right[s], left[s + window - 1]) & _U(0xFFFFFF)).astype(np.int64)
-    least = least[s + window + gram - 1 <= end[s]]
-    return np.unique(least)
+    ties; ``end`` is the end of each place's text. A text of any length: the
+    windows are taken SPAN at a time, and places count from the span's first."""
+    windows = n - gram - window + 2
+    out = [np.empty(0, np.int64)]
+    for first in range(0, max(0, windows), SPAN):
+        s = np.arange(min(SPAN, windows - first))
+        m = len(s) + window - 1
+        at = np.arange(first, first + m)
+        h = d.of(at, at + gram)
+        # The place in the low bits: unique, and leftmost on ties.
+        key = (h >> _U(PLACE_BITS) << _U(PLACE_BITS)) | np.arange(m).astype(_U)
+        rows = -(-m // window)
+        padded = np.full(rows * window, np.iinfo(np.uint64).max, _U)
+        padded[:m] = key
+        grid = padded.reshape(rows, window)
+        left = np.minimum.accumulate(grid, 1).ravel()
+        right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+        least = (np.minimum(right[s], left[s + window - 1]) & _U((1 << PLACE_BITS) - 1)).astype(np.int64) + first
+        out.append(np.unique(least[first + s + window + gram - 1 <= end[first + s]]))
+    return np.unique(np.concatenate(out))
 
 
 class Buffer:

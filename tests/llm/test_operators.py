@@ -168,6 +168,22 @@ def test_repeated_strings_match_brute_force(spark, edge_docs, no_docs):
     assert suffix_dedup.repeated_strings(no_docs).count() == 0
 
 
+def test_repeats_beyond_sixteen_mib_of_a_text(spark):
+    rnd = random.Random(5)
+    text = lambda n: rnd.randbytes(n * 3 // 4 + 3).hex()[:n]
+    one, two = "(" + text(600) + ")", "<" + text(450) + ">"
+    early = text(1 << 24) + "\n" + one + "\t" + text(3000)
+    texts = [early + two + "\r" + text(2000) + two + text(999), text(700) + one + text(800)]
+    want = []
+    for t, gone in zip(texts, ([one, two], [one])):
+        kept = t
+        for x in gone:
+            kept = kept.replace(x, "")
+        want.append((len(t), len(t) - len(kept), sum(t.count(x) for x in gone), hashlib.sha256(kept.encode()).hexdigest()))
+    out = suffix_dedup.repeated_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [tuple(r)[1:] for r in sorted(out)] == want
+
+
 # -- op4
 
 
