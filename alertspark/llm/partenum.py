@@ -231,14 +231,14 @@ def _members(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = WordDigests()
         for b in batches:
-            texts, ids = b.column(1).to_pylist(), b.column(0)
+            texts, ids, nameless = b.column(1).to_pylist(), b.column(0), b.column(2)
             for part in parts(texts):
                 doc, h = shingle_sets(texts[part], n_words, digests)
                 n = part.stop - part.start
                 keys = _keys(doc, h, n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[part.start:part.stop], pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array(np.bincount(doc, minlength=n))],
-                    ["doc_id", "key", "short", "n_shingles"])
+                    [ids[part.start:part.stop], nameless[part.start:part.stop], pa.array(keys, pa.binary()), pa.array(_short(keys)),
+                     pa.array(np.bincount(doc, minlength=n))], ["doc_id", "nameless", "key", "short", "n_shingles"])
 
     return run
 
@@ -390,8 +390,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark, pct = docs.sparkSession, threshold_pct
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # A row without an id is found again by its text's digest.
+    d = d.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     id_type = d.schema["doc_id"].dataType.simpleString()
-    members = saved(d.mapInArrow(_members(n_words), f"doc_id {id_type}, key binary, short long, n_shingles long"), "partenum-members")
+    members = saved(d.mapInArrow(_members(n_words), f"doc_id {id_type}, nameless long, key binary, short long, n_shingles long"), "partenum-members")
     bins = BINS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = saved(d.select("text").mapInArrow(_send(bins, n_words, pct), _BLOCKS).groupBy("bin").applyInArrow(
         _meet, "kind int, a long, b long").distinct(), "partenum-met")
@@ -399,10 +401,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # The sets of the classes that share a signature, read from one row of each.
     in_pair = near.select(F.explode(F.array("a", "b")).alias("short")).unionByName(open_.select(F.col("b").alias("short"))).distinct()
-    one = members.where("n_shingles > 0").groupBy("key", "short").agg(F.min("doc_id").alias("doc_id")).join(in_pair, "short", "left_semi")
-    one = saved(one.select("doc_id", "key"), "partenum-one")
-    texts = d.join(broadcast_if_small(one.select("doc_id").distinct(), 8), "doc_id", "left_semi")
-    sets = saved(texts.select("text").mapInArrow(_sets(n_words), "key binary, short long, brief binary, features binary").join(
+    one = members.where("n_shingles > 0").groupBy("key", "short").agg(
+        F.min("doc_id").alias("doc_id"), F.min("nameless").alias("nameless")).join(in_pair, "short", "left_semi")
+    one = saved(one.select("doc_id", "nameless", "key"), "partenum-one")
+    texts = d.join(broadcast_if_small(one.where("doc_id is not null").select("doc_id").distinct(), 8), "doc_id", "left_semi").select("text")
+    alone = one.where("doc_id is null").select("nameless").distinct()
+    if not alone.isEmpty():
+        # Classes that have null ids only: copies fall together, as one row stands for a class.
+        texts = texts.unionByName(d.where("doc_id is null").join(broadcast_if_small(alone, 8), "nameless", "left_semi").dropDuplicates(
+            ["nameless", "text"]).select("text"))
+    sets = saved(texts.mapInArrow(_sets(n_words), "key binary, short long, brief binary, features binary").join(
         broadcast_if_small(one.select("key"), 16), "key", "left_semi"), "partenum-sets")
     names = sets.select("short", "key").distinct()
     first = near.join(names.select(F.col("short").alias("a"), F.col("key").alias("ka")), "a").join(
@@ -414,7 +422,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     _, label = _more_links(open_, names, sets, first, links, label, bins, pct)
 
-    group = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    group = members.drop("nameless").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return group.join(least, "component").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -473,6 +473,20 @@ def test_similar_sets_match_brute_force(spark, edge_docs, corpus, no_docs):
     assert partenum.similar_sets(no_docs).count() == 0
 
 
+def test_near_copies_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(100)]
+    # 1 and 2 are linked through the null-id text alone; 3 by nothing.
+    step = lambda k: " ".join([f"n{i}" for i in range(k)] + words[k:])
+    rows = [(1, step(0)), (None, step(6)), (None, step(6)), (2, step(12)), (3, step(60))]
+    none = [(None, step(0)), (None, step(6)), (None, None)]
+    for made in (rows, none):
+        docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+        assert sorted(str(tuple(r)) for r in partenum.similar_sets(docs).collect()) == groups_of(made)
+    assert {r.component_id for r in partenum.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
+    kept = partenum.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3]
+
+
 def test_signatures_meet_for_every_pair_that_links():
     """No seed luck: many pairs at the threshold, at every size band."""
     import numpy as np
