@@ -1,21 +1,26 @@
 """Main-text extraction with site template removal.
 
 A page is parsed into a tree of elements. Every subtree gets a digest of its
-tags and text; Spark counts, per host, the pages that hold each digest, and a
+tags and text; Spark counts, per host, the different pages that hold each digest, and a
 subtree on at least MIN_PAGES pages and MIN_SHARE of a host's pages is the
-site's template and is deleted there. What stands for itself by its
+site's template and is deleted there. Pages whose main part (all of the page, if it marks none)
+has the same tags and text are copies and count as one, so an article isn't taken for a template because it
+is held many times; the chosen article or main element itself never is one. Words within a
+sentence, list items, cells, headings and the paragraphs of a marked article recur by themselves (in
+near copies, quotations): they need PART_SHARE.
+What stands for itself by its
 element or name (menus, page headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) goes as well, recurring or not. What is left
 of the article (of the body, if the page marks none) gives the blocks.
 
 A host has at most its pages' mean number of subtrees / MIN_SHARE templates, so the
-list a page is joined with stays small whatever the host's size. Counts are
+list a page is joined with has a bound that the host's size doesn't move. Counts are
 combined before the shuffle. The templates are broadcast if their bytes,
 counted, allow it; else pages are dealt by host and a salt, so a host that has a
-third of all pages is spread over SALT tasks.
+third of all pages is spread over SALT tasks. Hosts and subtrees are told apart by 64-bit digests.
 
 Defined results: null and empty html give an empty text; pages without a
-valid url share the host ""; repeated rows each give a row and each count as a page; an
+valid url share the host ""; repeated rows each give a row and count as one page; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -26,14 +31,17 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved
 
-MIN_PAGES, MIN_SHARE = 10, 0.5
+MIN_PAGES, MIN_SHARE, PART_SHARE = 10, 0.5, 0.5
 SALT = 32
+#: In the place of a digest: the page itself, counted with its subtrees.
+PAGE = 0
 
 #: Elements without content, and those whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +51,10 @@ BLOCK = frozenset("address article aside blockquote body dd details dialog div d
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
                   "thead tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a list, table or section, and elements that stand in a sentence.
+PART = HEADING | frozenset("li dt dd tr td th tbody thead tfoot caption figcaption summary option legend".split())
+PHRASE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
+                   "strong sub sup time tt u var".split())
 #: Elements, roles and names that are not main text.
 CHROME = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object "
                    "svg canvas video audio dialog menu title".split())
@@ -174,10 +186,12 @@ def _mains(root: Node) -> list[Node]:
     return [root]
 
 
-def main_text(root: Node, templates: set[int]) -> str:
-    """The blocks of the main text; needs the digests of subtree_digests()."""
+def main_text(root: Node, templates: set[int], strong: set[int] | None = None) -> str:
+    """The blocks of the main text; needs the digests of subtree_digests().
+    Parts and phrases go only if they are among the ``strong`` templates."""
     blocks: list[str] = []
     open_: list[str] = []
+    strong = templates if strong is None else strong
 
     def close() -> None:
         if t := " ".join("".join(open_).split()):
@@ -185,15 +199,19 @@ def main_text(root: Node, templates: set[int]) -> str:
         open_.clear()
 
     for main in _mains(root):
-        todo: list = [(main, main.tag == "article", False)]
+        # The last: whether the element is within a part, or a text of its own.
+        todo: list = [(main, main.tag == "article", False, False)]
         while todo:
-            x, in_article, headings = todo.pop()
+            x, in_article, headings, within = todo.pop()
             if x is None:
                 close()
-            elif type(x) is str:
+                continue
+            if type(x) is str:
                 if not headings:
                     open_.append(x)
-            elif is_chrome(x, in_article) or int.from_bytes(x.digest[0], "little", signed=True) in templates:
+                continue
+            part = x.tag in PART or within and x.tag in PHRASE or x.tag == "p" and main is not root
+            if is_chrome(x, in_article) or x is not main and _number(x.digest[0]) in (strong if part else templates):
                 if x.tag in BLOCK:
                     close()
             else:
@@ -201,49 +219,71 @@ def main_text(root: Node, templates: set[int]) -> str:
                     open_.append(" ")
                 if x.tag in BLOCK:
                     close()
-                    todo.append((None, False, False))
+                    todo.append((None, False, False, False))
                 headings = (headings or x.tag == "header") and x.tag not in HEADING
-                todo.extend((p, in_article, headings) for p in reversed(x.parts))
+                within = part or any(type(p) is str and not p.isspace() for p in x.parts)
+                todo.extend((p, in_article, headings, within) for p in reversed(x.parts))
         close()
     return "\n\n".join(blocks)
 
 
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, main, digests): of each page the digest of its main part, and those of its subtrees."""
+    for b in batches:
+        mains, out = [], []
+        for source in b.column(1):
+            root = parse(source.as_py() or "")
+            d = subtree_digests(root)
+            mains.append(_number(hashlib.blake2b(b"".join(x.digest[0] for x in _mains(root)), digest_size=8).digest()))
+            out.append(np.sort(np.fromiter(d, np.int64, len(d))).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mains, pa.int64()), pa.array(out, pa.binary())], ["host", "main", "digests"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, digest) of the subtrees, and one PAGE for each page."""
     for b in batches:
-        hosts, out_h, out_d = b.column(0).to_pylist(), [], []
-        for host, source in zip(hosts, b.column(1)):
-            d = subtree_digests(parse(source.as_py() or ""))
-            out_d.extend(d)
-            out_h.extend([host] * len(d))
-        yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.string()), pa.array(out_d, pa.int64())], ["host", "digest"])
+        d = [np.append(np.frombuffer(x.as_buffer(), np.int64), PAGE) for x in b.column(1)]
+        if d:
+            host = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in d])
+            yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(np.concatenate(d))], ["host", "digest"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for source, templates in zip(b.column("html"), b.column("templates")):
+        for source, templates, strong in zip(b.column("html"), b.column("templates"), b.column("strong")):
             root = parse(source.as_py() or "")
             subtree_digests(root)
-            texts.append(main_text(root, set(templates.as_py() or ())))
+            texts.append(main_text(root, set(templates.as_py() or ()), set(strong.as_py() or ())))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates) of pages (host, html): digests of the template subtrees."""
-    per_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return pages.select("host", "html").mapInArrow(_digests, "host string, digest long").groupBy("host", "digest").agg(
-        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).join(per_host, "host").where(
-        F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("digest").alias("templates"))
+    """(host, templates, strong) of pages (host, html): digests of the template
+    subtrees, and of those on PART_SHARE of the host's pages."""
+    # Copies of a main part fall together before the shuffle.
+    different = pages.select("host", "html").mapInArrow(_digests, "host long, main long, digests binary").groupBy("host", "main").agg(
+        F.min("digests").alias("digests"))
+    counts = saved(different.select("host", "digests").mapInArrow(_each, "host long, digest long").groupBy("host", "digest").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "site-counts")
+    per_host = counts.where(F.col("digest") == PAGE).select("host", F.col("n").alias("pages"))
+    strong = F.col("n") >= F.col("pages") * max(min_share, PART_SHARE)
+    return counts.where(F.col("digest") != PAGE).join(per_host, "host").where(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(
+        F.collect_list("digest").alias("templates"), F.collect_list(F.when(strong, F.col("digest"))).alias("strong"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     url = F.col(url_col).cast("string")
-    p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))).alias("host"),
+    p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.xxhash64(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))).alias("host"),
                      F.col(html_col).cast("string").alias("html"))
     templates = saved(site_templates(p, min_pages, min_share), "site-templates")
-    size = templates.agg(F.sum(F.octet_length("host") + 8 * F.size("templates"))).first()[0] or 0
+    size = templates.agg(F.sum(8 + 8 * F.size("templates") + 8 * F.size("strong"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         found = p.join(F.broadcast(templates), "host", "left")
     else:
@@ -251,5 +291,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         found = p.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")).join(
             templates.withColumn("salt", salts), ["host", "salt"], "left")
     id_type = p.schema["page_id"].dataType.simpleString()
-    return found.select("page_id", "url", "html", "templates").mapInArrow(_texts, f"page_id {id_type}, url string, text string").withColumn(
+    return found.select("page_id", "url", "html", "templates", "strong").mapInArrow(_texts, f"page_id {id_type}, url string, text string").withColumn(
         "n_chars", F.length("text").cast("long"))

@@ -210,6 +210,17 @@ def test_template_subtrees_go_and_articles_stay(spark):
     assert got[3] == "Story 3 is told here" and got[104] == "Join our club today\n\nRare"
 
 
+def test_copies_of_a_page_keep_their_article(spark):
+    page = lambda i, body: f"<body><nav>menu {i}</nav><article><h1>T</h1>{body}</article></body>"
+    rows = [(i, page(0, "<p>The one story</p>")) for i in range(15)]  # the same page
+    rows += [(20 + i, page(i, "<p>A story with other menus</p>")) for i in range(15)]
+    rows += [(40 + i, page(0, f"<p>Story {i}</p>")) for i in range(5)]
+    df = spark.createDataFrame([(i, "http://h.example/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_templates.extract(df).collect()}
+    assert got[3] == "T\n\nThe one story" and got[23] == "T\n\nA story with other menus" and got[42] == "T\n\nStory 2"
+    assert [site_templates.main_text(r, site_templates.subtree_digests(r)) for r in [site_templates.parse("<article>bare text</article>")]] == ["bare text"]
+
+
 def test_pages_of_the_corpus(spark):
     import html
 
