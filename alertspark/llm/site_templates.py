@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, saved
 
-MIN_PAGES, MIN_SHARE, PART_SHARE = 10, 0.5, 0.5
+MIN_PAGES, MIN_SHARE, PART_SHARE = 10, 0.05, 0.5
 SALT = 32
 #: In the place of a digest: the page itself, counted with its subtrees.
 PAGE = 0

@@ -221,6 +221,20 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert [site_templates.main_text(r, site_templates.subtree_digests(r)) for r in [site_templates.parse("<article>bare text</article>")]] == ["bare text"]
 
 
+def test_notices_on_a_part_of_the_pages_go(spark):
+    notice = ["<div>Subscribe to us</div>", "<section><p>Read our offers</p></section>", "<ul><li>Sports<li>News</ul>"]
+    rows = [(i, "http://h.example/", f"<article>{notice[i % 3]}<p>Story {i} is <b>{'not' if i % 4 else 'now'}</b> told</p><ul><li>salt<li>item {i}</ul></article>"
+             + (f"<p>x{i}</p>" if i % 2 else "")) for i in range(60)]
+    # Without a marked article a notice may be a paragraph; in one, paragraphs are its own.
+    rows += [(100 + i, "http://g.example/", f"<body><p>Notice {i % 3}</p><p>Story {i}</p></body>") for i in range(60)]
+    rows += [(200 + i, "http://f.example/", f"<article><p>Quote {i % 3}</p><p>Story {i}</p></article>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in site_templates.extract(df).collect():
+        kind, i = divmod(r.page_id, 100)
+        # Words of a sentence stay under half of the pages, items too.
+        assert r.text == (f"Story {i} is {'' if i % 4 else 'now '}told\n\nitem {i}", f"Story {i}", f"Quote {i % 3}\n\nStory {i}")[kind]
+
+
 def test_pages_of_the_corpus(spark):
     import html
 
