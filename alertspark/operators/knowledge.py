@@ -9,7 +9,7 @@ KB keys, so KB and query vectors share one vocabulary weighting.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import CountVectorizer, IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from ..functions.normalize import py_strip
 from ..schemas import KB
 
 EMBED_DIM = 1024
+#: Terms of a fitted vocabulary, which the driver holds.
+MAX_TERMS = 1 << 18
 
 
 class KBValidationError(ValueError):
@@ -93,11 +95,16 @@ def kb_count(kb: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- F16
 
-def fit_text_embedder(kb: DataFrame, text_col: str = "key", dim: int = EMBED_DIM):
+def fit_text_embedder(kb: DataFrame, text_col: str = "key", dim: int | None = EMBED_DIM):
     """F16: fit the IDF weights on the KB texts; returns a transform function
-    ``(df, text_col) → df + embedding ARRAY<FLOAT>`` (unit L2 norm)."""
+    ``(df, text_col) → df + embedding ARRAY<FLOAT>`` (unit L2 norm). Terms are hashed
+    to ``dim`` numbers; with ``dim=None`` each term of the KB has a number of its own
+    (up to MAX_TERMS, the most common ones), and terms the KB lacks count for none."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
+    if dim is None:
+        tf = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=MAX_TERMS).fit(tok.transform(kb))
+    else:
+        tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
     idf_model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf.transform(tok.transform(kb)))
     norm = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)
 

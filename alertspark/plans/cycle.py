@@ -32,8 +32,6 @@ from ..operators.similarity import knn
 from ..sources.alerts import load_alerts
 from ..sources.reference import load_reference
 
-TEXT_DIM = 256
-
 
 def with_query_text(alerts: DataFrame) -> DataFrame:
     """F1 + F5: the retrieval sentence per alert."""
@@ -74,7 +72,7 @@ def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1) -> DataFrame
         # Empty store: every query gets the "no context" answer.
         return texts.select("query_text", F.lit(False).alias("has_context"),
                             F.lit(NO_CONTEXT_MESSAGE).alias("context_block"))
-    embed = fit_text_embedder(kb, "key", TEXT_DIM)
+    embed = fit_text_embedder(kb, "key", dim=None)
     kbv = embed(kb, "key").select("id", "embedding")
     qv = embed(texts.withColumnRenamed("query_text", "key"), "key").select(
         F.col("key").alias("query_id"), "embedding")

@@ -153,3 +153,12 @@ def test_mails_differ_by_route(spark):
     body = {r.alert_id: r.body for r in triage.notifications(res).collect()}
     assert "automatically triaged" in body["A"] and "<p>because</p>" in body["A"]
     assert "automatically processed" in body["B"] and "technical issue" in body["B"]
+
+
+def test_retrieval_tells_all_terms_apart(spark):
+    """600 records of one own term each: every query finds its own."""
+    from alertspark.plans.cycle import retrieve_context
+
+    kb = spark.createDataFrame([(f"id{i:04d}", f"common term{i}", f"value{i}.") for i in range(600)], "id string, key string, value string")
+    got = retrieve_context(kb.select(F.concat_ws(" ", "key", F.lit("unknown")).alias("query_text")), kb).collect()
+    assert len(got) == 600 and all(f"value{r.query_text.split()[1][4:]}." in r.context_block for r in got)

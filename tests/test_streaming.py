@@ -53,6 +53,20 @@ def test_dedup_stream(spark):
     assert got.count() == got.distinct().count() == load_alerts(spark, SF_SMALL).count() + 2
 
 
+def test_dedup_stream_keeps_late_alerts(spark):
+    src = tempfile.mkdtemp(prefix="alertspark-late-")
+    # Late by hours: a first alert, then an id from before the watermark again.
+    for i, rows in enumerate(([("A", "10:00")], [("B", "20:00")], [("C", "01:00")], [("A", "20:30"), ("D", "20:30")])):
+        path = os.path.join(src, f"part-{i}.json")
+        with open(path, "w") as fh:
+            fh.writelines(json.dumps({"alert_id": a, "alert_time": f"2024-01-01 {t}:00"}) + "\n" for a, t in rows)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("alert_id string, alert_time timestamp").option("maxFilesPerTrigger", 1).json(src)
+    q = P.dedup_stream(stream).writeStream.format("memory").queryName("late_t").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert sorted(r.alert_id for r in spark.sql("SELECT alert_id FROM late_t").collect()) == ["A", "B", "C", "D"]
+
+
 def test_lifecycle_stream_equals_batch_fold(spark):
     a = load_alerts(spark, SF_SMALL)
     d = tempfile.mkdtemp(prefix="alertspark-log-")
