@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from oracle import compare, duck
 
 SF = os.environ.get("ALERTSPARK_ORACLE_SF", SF_SMALL)

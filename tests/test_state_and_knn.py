@@ -9,7 +9,7 @@ from alertspark.operators.ingest import ingest_alerts, submissions_from_alerts
 from alertspark.operators.similarity import best_match, knn
 from alertspark.sources.alerts import load_alerts
 from alertspark.sources.tables import read_table
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_ingest_partition_law(spark):

@@ -9,7 +9,7 @@ from alertspark.operators.ingest import ingest_alerts, submissions_from_alerts
 from alertspark.operators.state import fold, inserted_events
 from alertspark.sources.alerts import load_alerts
 from alertspark.streaming import pipelines as P
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _payload_dir(spark, n_files=3):
