@@ -24,7 +24,6 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,15 +48,21 @@ _U = np.uint64
 _PLANE = 0x10000
 
 
-@functools.lru_cache(1)
+#: Tables made once in a worker (a plain dict: cached functions can't be sent by value).
+_TABLES: dict = {}
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Lower case, and whether it is a letter or digit, of every character of the basic plane."""
+    if "chars" in _TABLES:
+        return _TABLES["chars"]
     low, word = np.arange(_PLANE, dtype=np.uint32), np.zeros(_PLANE, bool)
     for i in range(_PLANE):
         c = chr(i)
         if len(l := c.lower()) == 1:
             low[i] = ord(l)
         word[i] = c.isalnum()
+    _TABLES["chars"] = low, word
     return low, word
 
 

@@ -34,7 +34,6 @@ kept; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -64,19 +63,26 @@ _U = np.uint64
 _R = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(1)
+#: Tables made once in a worker (a plain dict: cached functions can't be sent by value).
+_TABLES: dict = {}
+
+
 def _bytes_table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+    if "bytes" not in _TABLES:
+        _TABLES["bytes"] = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+    return _TABLES["bytes"]
 
 
-@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for r in (_R, pow(_R, -1, 1 << 64)):
-        p = np.full(n, r, _U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """Powers of a factor and of its inverse, ``n`` or more of each."""
+    if len(_TABLES.get("powers", ((),))[0]) < n:
+        out = []
+        for r in (_R, pow(_R, -1, 1 << 64)):
+            p = np.full(n, r, _U)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _TABLES["powers"] = out[0], out[1]
+    return _TABLES["powers"]
 
 
 class Digests:
