@@ -17,13 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own switch to drop a query's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    and a lost executor costs a re-read instead of a recomputation."""
+    and a lost executor costs a re-read instead of a recomputation. The shuffle files of
+    the write go with its end: nothing reads them again."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``saved`` gave and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "saved_path", None):
+            spark = t.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def whole_text(col: Column | str) -> Column:

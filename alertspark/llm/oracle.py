@@ -84,8 +84,58 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT doc_id, b FRO
 SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+_MERKLE = """
+WITH RECURSIVE x AS (
+  SELECT doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+f AS (SELECT doc_id, coalesce('s' || source, 'n') AS source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(low) || ':' || low, '-') AS body2 FROM x),
+-- CRC-32, a bit at a time: eight shifts for each byte of the id.
+crc(doc_id, s, i, c) AS (
+  SELECT doc_id, doc_id::VARCHAR, 0, 4294967295 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce([xor(c, ascii(substr(s, i + 1, 1))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                                       lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)
+  FROM crc WHERE i < length(s)),
+t AS (SELECT doc_id FROM crc WHERE i = length(s) AND xor(c, 4294967295) % 5 = 0),
+l AS (SELECT doc_id, source, sha256(head || body) AS leaf, CASE WHEN doc_id IN (SELECT doc_id FROM t) THEN sha256(head || body2) ELSE sha256(head || body) END AS changed FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+nodes(source, lv, pos, d) AS (
+  SELECT source, 0, pos, leaf FROM p
+  UNION ALL
+  SELECT source, lv + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes) WHERE n > 1 GROUP BY source, lv + 1, pos // 16),
+height AS (SELECT source, max(lv) AS h FROM nodes GROUP BY source),
+sub AS (SELECT source, d AS subroot, h, row_number() OVER (ORDER BY source) - 1 AS pos
+        FROM nodes JOIN height USING (source) WHERE lv = h),
+tops(lv, pos, d) AS (
+  SELECT 0, pos, subroot FROM sub
+  UNION ALL
+  SELECT lv + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY lv + 1, pos // 16),
+root AS (SELECT d AS root, lv AS h FROM tops ORDER BY lv DESC LIMIT 1),
+-- Every level of every document's way: the run's nodes, in order, and the own place.
+steps AS (
+  SELECT p.doc_id, p.leaf, n.lv, n.pos, n.d, p.pos // (16 ** n.lv)::BIGINT AS own FROM p JOIN nodes n
+    ON p.source = n.source AND p.pos // (16 ** (n.lv + 1))::BIGINT = n.pos // 16 JOIN sub ON sub.source = p.source AND n.lv < sub.h
+  UNION ALL
+  SELECT p.doc_id, p.leaf, sub.h + n.lv, n.pos, n.d, sub.pos // (16 ** n.lv)::BIGINT FROM p JOIN sub USING (source) JOIN tops n
+    ON sub.pos // (16 ** (n.lv + 1))::BIGINT = n.pos // 16 JOIN root ON n.lv < root.h),
+proof AS (SELECT doc_id, leaf, sha256(coalesce(string_agg(d, '' ORDER BY lv, pos) FILTER (pos <> own), '')) AS proof_sha256 FROM steps GROUP BY ALL),
+runs AS (SELECT doc_id, leaf, lv, coalesce(string_agg(d, '' ORDER BY pos) FILTER (pos < own), '') AS before,
+                coalesce(string_agg(d, '' ORDER BY pos) FILTER (pos > own), '') AS after FROM steps GROUP BY ALL),
+fold(doc_id, leaf, lv, d) AS (
+  SELECT doc_id, leaf, 0, changed FROM p
+  UNION ALL
+  SELECT fold.doc_id, fold.leaf, fold.lv + 1, sha256(before || d || after) FROM fold JOIN runs USING (doc_id, leaf, lv)),
+last AS (SELECT doc_id, leaf, d AS folded_root FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, leaf ORDER BY lv DESC) = 1)
+SELECT p.doc_id, p.leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified,
+       (sub.h + root.h)::INT AS n_copied
+FROM p JOIN sub USING (source) CROSS JOIN root LEFT JOIN proof USING (doc_id, leaf) JOIN last USING (doc_id, leaf)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_ledger": _SECRETS,
     "op8_risk_rules": _RULES,
     "op10_partenum_join": _JOIN,
+    "op11_merkle_manifest": _MERKLE,
 }

@@ -89,6 +89,12 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_brown_classes": op2_brown_classes,
@@ -100,4 +106,5 @@ QUERIES = {
     "op8_risk_rules": op8_risk_rules,
     "op9_kd_shards": op9_kd_shards,
     "op10_partenum_join": op10_partenum_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
