@@ -95,6 +95,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_brown_classes": op2_brown_classes,
@@ -107,4 +113,5 @@ QUERIES = {
     "op9_kd_shards": op9_kd_shards,
     "op10_partenum_join": op10_partenum_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_language_mixture": op13_language_mixture,
 }
