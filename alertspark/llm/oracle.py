@@ -133,9 +133,22 @@ SELECT p.doc_id, p.leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS pr
 FROM p JOIN sub USING (source) CROSS JOIN root LEFT JOIN proof USING (doc_id, leaf) JOIN last USING (doc_id, leaf)
 """
 
+_NEGATIVES = """
+WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256.0 * c::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM x a JOIN x b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_ledger": _SECRETS,
     "op8_risk_rules": _RULES,
     "op10_partenum_join": _JOIN,
     "op11_merkle_manifest": _MERKLE,
+    "op12_cover_negatives": _NEGATIVES,
 }

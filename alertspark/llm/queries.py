@@ -95,6 +95,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_cover_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -113,5 +119,6 @@ QUERIES = {
     "op9_kd_shards": op9_kd_shards,
     "op10_partenum_join": op10_partenum_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_cover_negatives": op12_cover_negatives,
     "op13_language_mixture": op13_language_mixture,
 }
