@@ -82,42 +82,66 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return c[keep], who[keep]
 
 
+def _digests(c: np.ndarray) -> np.ndarray:
+    n = len(c) - ORDER + 1
+    h = np.zeros(max(0, n), _U)
+    for k in range(ORDER if n > 0 else 0):
+        h = h * _U(0x9E3779B97F4A7C15) + c[k:k + n]
+    return mix(h)
+
+
 def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every gram."""
     c, who = codes(texts)
     n = len(c) - ORDER + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.zeros(n, _U)
-    for k in range(ORDER):
-        h = h * _U(0x9E3779B97F4A7C15) + c[k:k + n]
     # The blank that ends a text is the next one's first: a gram must not reach past it.
     inner = c[ORDER - 1:] != 0
     for k in range(1, ORDER - 1):
         inner |= c[k:k + n] != 0
     same = (who[:n] == who[ORDER - 1:]) | ((c[ORDER - 1:] == 0) & (who[:n] == who[ORDER - 2:ORDER - 2 + n]))
     ok = inner & same
-    return who[:n][ok], (mix(h[ok]) % _U(buckets)).astype(np.int64)
-
-
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Rows and their texts, about PIECE characters at a time; a longer text comes in
-    pieces of its own, which overlap by ORDER - 1 characters."""
-    rows, part, n = [], [], 0
+    return who[:n][ok], (_digests(c)[ok] % _U(buckets)).astype(np.int64)
+
+
+def _long(text: str, buckets: int) -> np.ndarray:
+    """Counts by bucket of a text of any length, PIECE characters at a time."""
+    out, carry = np.zeros(buckets, np.int64), np.zeros(1, np.uint32)
+    for a in range(0, len(text), PIECE):
+        c = np.concatenate([carry, _letters()[np.frombuffer(text[a:a + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)],
+                            np.zeros(int(a + PIECE >= len(text)), np.uint32)])
+        keep = np.ones(len(c), bool)
+        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+        c = c[keep]
+        out += np.bincount((_digests(c) % _U(buckets)).astype(np.int64), minlength=buckets)
+        carry = c[1 - ORDER:]
+    return out
+
+
+def counted(texts: list[str | None], buckets: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, text number, bucket, count) about PIECE characters at a time: the text numbers, in
+    order, index the rows. A longer text comes alone."""
+    def some() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        who, g = grams([texts[i] or "" for i in rows], buckets)
+        key, n = np.unique(who * buckets + g, return_counts=True)
+        return rows, key // buckets, key % buckets, n
+
+    rows, n = [], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        if len(t) > PIECE:
-            for a in range(0, len(t), PIECE):
-                yield [i], [t[max(0, a - ORDER + 1):a + PIECE]]
+        size = len(t or "")
+        if size > PIECE:
+            t = _long(t, buckets)
+            at = np.flatnonzero(t)
+            yield [i], np.zeros(len(at), np.int64), at, t[at]
             continue
-        if n + len(t) > PIECE:
-            yield rows, part
-            rows, part, n = [], [], 0
+        if n + size > PIECE:
+            yield some()
+            rows, n = [], 0
         rows.append(i)
-        part.append(t)
-        n += len(t) + 1
+        n += size + 1
     if rows:
-        yield rows, part
+        yield some()
 
 
 def _count(buckets: int):
@@ -132,15 +156,14 @@ def _count(buckets: int):
 
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            for rows, part in _pieces(texts):
-                who, g = grams(part, buckets)
+            for rows, who, g, n in counted(texts, buckets):
                 names = sorted({langs[i] for i in rows})
                 mine = np.array([names.index(langs[i]) for i in rows])[who]
                 for k, name in enumerate(names):
                     if name not in sums and len(sums) >= 64:
                         yield from out()
                     t = sums.setdefault(name, np.zeros(buckets, np.int64))
-                    t += np.bincount(g[mine == k], minlength=buckets)
+                    np.add.at(t, g[mine == k], n[mine == k])
         yield from out()
 
     return run
@@ -193,19 +216,8 @@ class Model:
         out = [none] * len(texts)
         if not self.langs:
             return out
-        buckets = len(self.p)
-        long: dict[int, np.ndarray] = {}
-        for rows, part in _pieces(texts):
-            who, g = grams(part, buckets)
-            if len(part) == 1 and len(texts[rows[0]] or "") > PIECE:
-                t = long.setdefault(rows[0], np.zeros(buckets, np.int64))
-                t += np.bincount(g, minlength=buckets)
-                continue
-            key, n = np.unique(who * buckets + g, return_counts=True)
-            self._decide(out, np.array(rows), key // buckets, key % buckets, n)
-        for i, t in long.items():
-            at = np.flatnonzero(t)
-            self._decide(out, np.array([i]), np.zeros(len(at), np.int64), at, t[at])
+        for rows, who, g, n in counted(texts, len(self.p)):
+            self._decide(out, np.array(rows), who, g, n)
         return out
 
     def _decide(self, out: list, rows: np.ndarray, who: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> None:
