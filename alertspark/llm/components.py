@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,16 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
     e = saved(edges.select("a", "b").where("a <> b").distinct(), "component-edges")
     mark = None
     while True:
+        last = e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: every larger neighbour of a hangs on a's least.
-        e = saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                   .where("a <> b").distinct(), "component-large")
         # Small star: a and its smaller neighbours hang on the least of them.
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(least, "a")
         e = saved(moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                   .unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "component-small")
+        dropped(last, large)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break

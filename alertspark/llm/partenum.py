@@ -24,7 +24,13 @@ pair by pair, each pair at the least signature it shares. A feature that no othe
 such class has cannot be common, so pairs with too few shared features left are out
 without a test. A group of thousands of near copies so costs a few verifications a
 copy, not one a pair, and no pair that could link goes untested unless it is connected already.
-Verification first compares 16-bit digests of the features, which can only
+
+Before a pair is tested, its odd sketches are compared: bit i of a set's sketch is the parity of
+its features of digest i. Each feature that is in one set only flips a bit at most, so the
+bits that differ never exceed the difference of the sets, and a pair whose sketches differ in more than
+two linking sets may is out. Near copies of one text that do not link among
+themselves so cost a comparison of some words each, not a verification.
+Verification compares 16-bit digests of the features, which can only
 overrate the common part, then the features themselves.
 
 Each task forwards at most PAIRS classes of a signature from each batch of texts, so a
@@ -44,10 +50,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved
+from .common import broadcast_if_small, dropped, saved
 from .components import components
 from .shingles import WordDigests, mix, parts, shingle_sets
 
@@ -56,6 +62,8 @@ N_WORDS, THRESHOLD_PCT = 5, 80
 SMALL, SEEDS = 64, 3
 #: Reducers' blocks for each shuffle partition.
 BINS_PER_PARTITION = 4
+#: Words of 64 bits in a set's odd sketch.
+SKETCH = 16
 #: Classes that a signature may have for all their pairs to be verified at once.
 PAIRS = 8
 
@@ -243,6 +251,20 @@ def _members(n_words: int):
     return run
 
 
+def odd_sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """A row of SKETCH words for each set."""
+    bits = 64 * SKETCH
+    cell = doc * bits + (h % _U(bits)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=n_docs * bits).astype(np.uint8).reshape(n_docs, bits) & 1, axis=1).view(np.int64)
+
+
+def _close(x: str, y: str, pct: int) -> Column:
+    """Whether the sketches of two sets (columns ...odd, ...size) allow a link."""
+    apart = sum((F.bit_count(F.get(f"{x}odd", F.lit(i)).bitwiseXOR(F.get(f"{y}odd", F.lit(i)))) for i in range(1, SKETCH)),
+                F.bit_count(F.get(f"{x}odd", F.lit(0)).bitwiseXOR(F.get(f"{y}odd", F.lit(0)))))
+    return apart * (100 + pct) <= (F.col(f"{x}size") + F.col(f"{y}size")) * (100 - pct)
+
+
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = WordDigests()
@@ -255,9 +277,9 @@ def _sets(n_words: int):
                 keys = _keys(doc, h, n)
                 sets = [h[at[i]:at[i + 1]] for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(_short(keys)),
+                    [pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array(list(odd_sketches(doc, h, n)), pa.list_(pa.int64())),
                      pa.array([np.sort((x >> _U(48)).astype(np.uint16)).tobytes() for x in sets], pa.binary()),
-                     pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "short", "brief", "features"])
+                     pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "short", "odd", "brief", "features"])
 
     return run
 
@@ -282,17 +304,16 @@ def _verify(pct: int, kind: str):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs of keys (a, b) whose sets link."""
+    """The pairs of keys (a, b) whose sets link. Only sets in a pair are moved."""
+    steps = [pairs]
     for column, kind in (("brief", "u2"), ("features", "u8")):
-        x = sets.select(F.col("key").alias("a"), F.col(column).alias("x"))
-        y = sets.select(F.col("key").alias("b"), F.col(column).alias("y"))
-        if column == "features":
-            few = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-few")
-            few = broadcast_if_small(few, 16)
-            x, y = x.join(few.withColumnRenamed("key", "a"), "a", "left_semi"), y.join(few.withColumnRenamed("key", "b"), "b", "left_semi")
-        pairs = saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
-            _verify(pct, kind), "a binary, b binary"), f"partenum-{column}")
-    return pairs.distinct()
+        few = saved(steps[-1].select(F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-few")
+        own = sets.select("key", column).join(broadcast_if_small(few, 16), "key", "left_semi")
+        x, y = own.select(F.col("key").alias("a"), F.col(column).alias("x")), own.select(F.col("key").alias("b"), F.col(column).alias("y"))
+        steps.append(saved(steps[-1].join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
+            _verify(pct, kind), "a binary, b binary"), f"partenum-{column}"))
+        dropped(few, *steps[1:-1])
+    return steps[-1].distinct()
 
 
 def _deal(number: np.ndarray, rows: np.ndarray, bins: int) -> tuple[np.ndarray, list[bytes]]:
@@ -336,31 +357,32 @@ def _sum_shared(table: pa.Table) -> pa.Table:
 
 
 def _apart(open_: DataFrame, names: DataFrame, label: DataFrame) -> DataFrame:
-    """(sig, key, short, component) of open signatures with several components."""
-    rows = names.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rows = saved(open_.select(F.col("a").alias("sig"), F.col("b").alias("short")).join(rows, "short").select(
-        "sig", "key", "short", "component"), "partenum-apart")
+    """(sig, key, component) of open signatures with several components."""
+    rows = names.select("short", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = open_.select(F.col("a").alias("sig"), F.col("b").alias("short")).join(rows, "short").select("sig", "key", "component")
+    rows = saved(rows, "partenum-members")
     split = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    return rows.join(split, "sig", "left_semi")
+    out = saved(rows.join(split, "sig", "left_semi"), "partenum-apart")
+    dropped(rows)
+    return out
 
 
 def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: DataFrame, links: DataFrame, label: DataFrame,
-                bins: int, pct: int) -> tuple[DataFrame, DataFrame]:
-    """All links and the components, with the pairs of open signatures that
+                bins: int, pct: int) -> DataFrame:
+    """The components of all links, with the pairs of open signatures that
     are apart tested: first with the class that shares most, then each pair."""
     rest = _apart(open_, names, label)
     own = sets.join(broadcast_if_small(rest.select("key").distinct(), 16), "key", "left_semi").dropDuplicates(["key"])
     shared = own.select("short", "features").mapInArrow(_deal_features(bins), "bin int, data binary").groupBy("bin").applyInArrow(
         _count_shared(bins), "bin int, data binary").groupBy("bin").applyInArrow(_sum_shared, "short long, shared long")
-    sized = sets.select("key", "short", F.expr("cast(octet_length(features) div 8 as long)").alias("size")).distinct()
-    sized = saved(sized.join(shared, "short").select("key", "size", "shared"), "partenum-shared")
-    able = lambda x, y: (100 + pct) * F.least(f"{x}shared", f"{y}shared") >= pct * (F.col(f"{x}size") + F.col(f"{y}size"))
-    links_, tested = links, first
+    sized = saved(names.join(shared, "short"), "partenum-shared")
+    able = lambda x, y: ((100 + pct) * F.least(f"{x}shared", f"{y}shared") >= pct * (F.col(f"{x}size") + F.col(f"{y}size"))) & _close(x, y, pct)
+    links_, tested, done = links, first, []
     for step in ("center", "pair"):
         rows = rest.join(sized, "key")
         if step == "center":
-            best = rows.groupBy("sig").agg(F.max(F.struct("shared", "key", "component", "size")).alias("z")).select(
-                "sig", F.col("z.key").alias("zkey"), F.col("z.component").alias("zcomponent"), F.col("z.shared").alias("zshared"), F.col("z.size").alias("zsize"))
+            best = rows.groupBy("sig").agg(F.max(F.struct("shared", "key", "component", "size", "odd")).alias("z")).select(
+                "sig", *[F.col(f"z.{c}").alias(f"z{c}") for c in ("key", "component", "shared", "size", "odd")])
             # One centre for each class: this step need not find all, the next one does.
             one = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & able("", "z")).groupBy("key").agg(
                 F.max(F.struct("zshared", "zkey")).alias("z")).select("key", F.col("z.zkey").alias("zkey"))
@@ -368,7 +390,7 @@ def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: Data
         else:
             sigs = open_.join(rest.select("sig").distinct(), F.col("a") == F.col("sig"), "left_semi").groupBy(F.col("b").alias("short")).agg(
                 F.sort_array(F.collect_set("a")).alias("sigs"))
-            rows = rows.join(sigs, "short").select("sig", "key", "component", "shared", "size", "sigs")
+            rows = rows.join(sigs, "short").select("sig", "key", "component", "shared", "size", "odd", "sigs")
             x, y = (rows.select("sig", *[F.col(c).alias(p + c) for c in rows.columns if c != "sig"]) for p in "xy")
             # The condition is the join's: a pair is made once, at its least common signature.
             pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("xkey") < F.col("ykey")) & (F.col("xcomponent") != F.col("ycomponent"))
@@ -376,13 +398,16 @@ def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: Data
                 F.col("xkey").alias("a"), F.col("ykey").alias("b"))
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"partenum-{step}")
         found = saved(_linked(pairs, sets, pct), "partenum-links")
+        done += [rest, pairs, found]
         if not found.isEmpty():
             links_ = links_.unionByName(found)
+            done.append(label)
             label = saved(components(links_), "partenum-labels")
         tested = tested.unionByName(pairs)
         if step == "center":
             rest = _apart(open_, names, label)
-    return links_, label
+    dropped(sized, *done)
+    return label
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS,
@@ -410,17 +435,20 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # Classes that have null ids only: copies fall together, as one row stands for a class.
         texts = texts.unionByName(d.where("doc_id is null").join(broadcast_if_small(alone, 8), "nameless", "left_semi").dropDuplicates(
             ["nameless", "text"]).select("text"))
-    sets = saved(texts.mapInArrow(_sets(n_words), "key binary, short long, brief binary, features binary").join(
+    sets = saved(texts.mapInArrow(_sets(n_words), "key binary, short long, odd array<long>, brief binary, features binary").join(
         broadcast_if_small(one.select("key"), 16), "key", "left_semi"), "partenum-sets")
-    names = sets.select("short", "key").distinct()
-    first = near.join(names.select(F.col("short").alias("a"), F.col("key").alias("ka")), "a").join(
-        names.select(F.col("short").alias("b"), F.col("key").alias("kb")), "b").select(
-        F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).where("a <> b").distinct()
+    size = F.expr("cast(octet_length(features) div 8 as long)")
+    names = saved(sets.select("key", "short", "odd", size.alias("size")).dropDuplicates(["key"]), "partenum-names")
+    side = lambda c: names.select(F.col("short").alias(c), F.col("key").alias(f"{c}key"), F.col("odd").alias(f"{c}odd"), F.col("size").alias(f"{c}size"))
+    # Short digests that two classes share give pairs of both; a class is no pair with itself.
+    first = near.join(side("a"), "a").join(side("b"), "b").where((F.col("akey") != F.col("bkey")) & _close("a", "b", pct)).select(
+        F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
     first = saved(first, "partenum-first")
     links = saved(_linked(first, sets, pct), "partenum-links")
     label = saved(components(links), "partenum-labels")
 
-    _, label = _more_links(open_, names, sets, first, links, label, bins, pct)
+    label = _more_links(open_, names, sets, first, links, label, bins, pct)
+    dropped(met, one, sets, names, first, links)
 
     group = members.drop("nameless").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
