@@ -317,20 +317,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 
 def _deal(number: np.ndarray, rows: np.ndarray, bins: int) -> tuple[np.ndarray, list[bytes]]:
-    bin_ = (mix(number.view(_U)) % _U(bins)).astype(np.int64)
+    bin_ = (mix(number.astype(_U)) % _U(bins)).astype(np.int64)
     order = np.argsort(bin_, kind="stable")
     ids, at = np.unique(bin_[order], return_index=True)
     return ids, [x.tobytes() for x in np.split(rows[order], at[1:])]
 
 
+def _halves(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).reshape(-1, 2) for x in table.column("data")])
+
+
+# How many features of a class another class has too, by halves of the digests of both:
+# where two fall together the count is too high, which only rules out less.
+
+
 def _deal_features(bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("features")]
+            sets = [np.frombuffer(x.as_buffer(), _U).astype(np.uint32) for x in b.column("features")]
             if not sets:
                 continue
             f = np.concatenate(sets)
-            who = np.repeat(b.column("short").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            who = np.repeat(b.column("short").to_numpy(zero_copy_only=False).astype(np.uint32), [len(x) for x in sets])
             ids, data = _deal(f, np.stack([f, who], 1), bins)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
 
@@ -338,22 +346,22 @@ def _deal_features(bins: int):
 
 
 def _count_shared(bins: int):
-    """Of a bin of (feature, class): for each class its features that another has too."""
+    """Of a bin of (feature, class): for each class its features that occur again."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table.column("data")])
+        rows = _halves(table)
         _, inverse, n = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
         who, shared = np.unique(rows[n[inverse] > 1, 1], return_counts=True)
-        ids, data = _deal(who, np.stack([who, shared], 1), bins) if len(who) else ([], [])
+        ids, data = _deal(who, np.stack([who, shared.astype(np.uint32)], 1), bins) if len(who) else ([], [])
         return pa.table({"bin": pa.array(ids, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
 def _sum_shared(table: pa.Table) -> pa.Table:
-    rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in table.column("data")])
+    rows = _halves(table)
     who, inverse = np.unique(rows[:, 0], return_inverse=True)
-    return pa.table({"short": pa.array(who), "shared": pa.array(np.bincount(inverse, rows[:, 1]).astype(np.int64))})
+    return pa.table({"half": pa.array(who.astype(np.int64)), "shared": pa.array(np.bincount(inverse, rows[:, 1]).astype(np.int64))})
 
 
 def _apart(open_: DataFrame, names: DataFrame, label: DataFrame) -> DataFrame:
@@ -372,10 +380,10 @@ def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: Data
     """The components of all links, with the pairs of open signatures that
     are apart tested: first with the class that shares most, then each pair."""
     rest = _apart(open_, names, label)
-    own = sets.join(broadcast_if_small(rest.select("key").distinct(), 16), "key", "left_semi").dropDuplicates(["key"])
+    own = sets.select("key", "short", "features").join(broadcast_if_small(rest.select("key").distinct(), 16), "key", "left_semi")
     shared = own.select("short", "features").mapInArrow(_deal_features(bins), "bin int, data binary").groupBy("bin").applyInArrow(
-        _count_shared(bins), "bin int, data binary").groupBy("bin").applyInArrow(_sum_shared, "short long, shared long")
-    sized = saved(names.join(shared, "short"), "partenum-shared")
+        _count_shared(bins), "bin int, data binary").groupBy("bin").applyInArrow(_sum_shared, "half long, shared long")
+    sized = saved(names.withColumn("half", F.col("short").bitwiseAND(0xFFFFFFFF)).join(shared, "half").drop("half"), "partenum-shared")
     able = lambda x, y: ((100 + pct) * F.least(f"{x}shared", f"{y}shared") >= pct * (F.col(f"{x}size") + F.col(f"{y}size"))) & _close(x, y, pct)
     links_, tested, done = links, first, []
     for step in ("center", "pair"):
