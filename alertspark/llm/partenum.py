@@ -19,19 +19,17 @@ Steps, each a Spark job over all rows: equal sets fall together as classes.
 Signatures are sent in blocks. A signature of up to PAIRS classes gives their
 pairs; a more common one is *open* and keeps the list of its classes. The pairs are verified,
 components are formed, and classes of open signatures that are in different components are
-tested further: first against the class that shares most with its fellows, then
-pair by pair, each pair at the least signature it shares. A feature that no other
-such class has cannot be common, so pairs with too few shared features left are out
-without a test. A group of thousands of near copies so costs a few verifications a
-copy, not one a pair, and no pair that could link goes untested unless it is connected already.
+tested further: first against the class that is in most open signatures, then
+pair by pair, each pair at the least signature it shares. No pair that could link goes
+untested unless it is connected already.
 
 Before a pair is tested, its odd sketches are compared: bit i of a set's sketch is the parity of
 its features of digest i. Each feature that is in one set only flips a bit at most, so the
 bits that differ never exceed the difference of the sets, and a pair whose sketches differ in more than
-two linking sets may is out. Near copies of one text that do not link among
-themselves so cost a comparison of some words each, not a verification.
-Verification compares 16-bit digests of the features, which can only
-overrate the common part, then the features themselves.
+two linking sets may is out. A sketch has as many bits as the set features, or more (1024, 4096, 16384 and
+so on), and folds to the next narrower width by parity again, for sets on both sides of a limit.
+So near copies of one text that do not link among themselves cost a comparison of
+some words each; only for the few pairs left are the sets made and moved, and compared exactly.
 
 Each task forwards at most PAIRS classes of a signature from each batch of texts, so a
 signature common to a third of all rows stays small in its reducer.
@@ -62,8 +60,8 @@ N_WORDS, THRESHOLD_PCT = 5, 80
 SMALL, SEEDS = 64, 3
 #: Reducers' blocks for each shuffle partition.
 BINS_PER_PARTITION = 4
-#: Words of 64 bits in a set's odd sketch.
-SKETCH = 16
+#: Bits of the narrowest odd sketch, and ratio of neighbouring widths.
+SKETCH, WIDER = 1024, 4
 #: Classes that a signature may have for all their pairs to be verified at once.
 PAIRS = 8
 
@@ -251,21 +249,29 @@ def _members(n_words: int):
     return run
 
 
-def odd_sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    """A row of SKETCH words for each set."""
-    bits = 64 * SKETCH
-    cell = doc * bits + (h % _U(bits)).astype(np.int64)
-    return np.packbits(np.bincount(cell, minlength=n_docs * bits).astype(np.uint8).reshape(n_docs, bits) & 1, axis=1).view(np.int64)
+def odd_sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's sketch as words of 64 bits, and the same one width narrower (the narrowest as it is)."""
+    bits = SKETCH
+    while bits < len(h):
+        bits *= WIDER
+    wide = np.bincount((h % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    narrow = wide if bits == SKETCH else wide.reshape(WIDER, -1).sum(0, dtype=np.uint8) & 1
+    return np.packbits(wide).view(np.int64), np.packbits(narrow).view(np.int64)
 
 
 def _close(x: str, y: str, pct: int) -> Column:
-    """Whether the sketches of two sets (columns ...odd, ...size) allow a link."""
-    apart = sum((F.bit_count(F.get(f"{x}odd", F.lit(i)).bitwiseXOR(F.get(f"{y}odd", F.lit(i)))) for i in range(1, SKETCH)),
-                F.bit_count(F.get(f"{x}odd", F.lit(0)).bitwiseXOR(F.get(f"{y}odd", F.lit(0)))))
-    return apart * (100 + pct) <= (F.col(f"{x}size") + F.col(f"{y}size")) * (100 - pct)
+    """Whether sizes and sketches of two sets (columns ...size, ...odd, ...fold) allow a link."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    differ = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    wx, wy = F.size(c(x, "odd")), F.size(c(y, "odd"))
+    apart = F.when(wx == wy, differ(c(x, "odd"), c(y, "odd"))).when(wx > wy, differ(c(x, "fold"), c(y, "odd"))).otherwise(differ(c(x, "odd"), c(y, "fold")))
+    sizes = 100 * F.least(c(x, "size"), c(y, "size")) >= pct * F.greatest(c(x, "size"), c(y, "size"))
+    return F.when(sizes, apart * (100 + pct) <= (c(x, "size") + c(y, "size")) * (100 - pct)).otherwise(F.lit(False))
 
 
-def _sets(n_words: int):
+def _sets(n_words: int, sketches: bool):
+    """Of texts: (key, short, size, odd, fold), or (key, features)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = WordDigests()
         for b in batches:
@@ -276,92 +282,68 @@ def _sets(n_words: int):
                 at = np.searchsorted(doc, np.arange(n + 1))
                 keys = _keys(doc, h, n)
                 sets = [h[at[i]:at[i + 1]] for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array(list(odd_sketches(doc, h, n)), pa.list_(pa.int64())),
-                     pa.array([np.sort((x >> _U(48)).astype(np.uint16)).tobytes() for x in sets], pa.binary()),
-                     pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "short", "odd", "brief", "features"])
+                if sketches:
+                    odd, fold = zip(*map(odd_sketch, sets)) if n else ((), ())
+                    lists = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array([len(x) for x in sets], pa.int64()),
+                                                      pa.array(list(odd), lists), pa.array(list(fold), lists)], ["key", "short", "size", "odd", "fold"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "features"])
 
     return run
 
 
-def _verify(pct: int, kind: str):
+def _verify(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 if 100 * min(len(x), len(y)) < pct * max(len(x), len(y)):
                     ok.append(False)
                     continue
-                # Equal values are matched one to one: never fewer than the common features.
-                value, n = np.unique(np.concatenate([x, y]), return_counts=True)
-                in_x = np.searchsorted(x, value, "right") - np.searchsorted(x, value)
-                common = int(np.minimum(in_x, n - in_x).sum())
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= pct * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs of keys (a, b) whose sets link. Only sets in a pair are moved."""
-    steps = [pairs]
-    for column, kind in (("brief", "u2"), ("features", "u8")):
-        few = saved(steps[-1].select(F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-few")
-        own = sets.select("key", column).join(broadcast_if_small(few, 16), "key", "left_semi")
-        x, y = own.select(F.col("key").alias("a"), F.col(column).alias("x")), own.select(F.col("key").alias("b"), F.col(column).alias("y"))
-        steps.append(saved(steps[-1].join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
-            _verify(pct, kind), "a binary, b binary"), f"partenum-{column}"))
-        dropped(few, *steps[1:-1])
-    return steps[-1].distinct()
-
-
-def _deal(number: np.ndarray, rows: np.ndarray, bins: int) -> tuple[np.ndarray, list[bytes]]:
-    bin_ = (mix(number.astype(_U)) % _U(bins)).astype(np.int64)
-    order = np.argsort(bin_, kind="stable")
-    ids, at = np.unique(bin_[order], return_index=True)
-    return ids, [x.tobytes() for x in np.split(rows[order], at[1:])]
-
-
-def _halves(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).reshape(-1, 2) for x in table.column("data")])
-
-
-# How many features of a class another class has too, by halves of the digests of both:
-# where two fall together the count is too high, which only rules out less.
-
-
-def _deal_features(bins: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.frombuffer(x.as_buffer(), _U).astype(np.uint32) for x in b.column("features")]
-            if not sets:
-                continue
-            f = np.concatenate(sets)
-            who = np.repeat(b.column("short").to_numpy(zero_copy_only=False).astype(np.uint32), [len(x) for x in sets])
-            ids, data = _deal(f, np.stack([f, who], 1), bins)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["bin", "data"])
-
-    return run
-
-
-def _count_shared(bins: int):
-    """Of a bin of (feature, class): for each class its features that occur again."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = _halves(table)
-        _, inverse, n = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-        who, shared = np.unique(rows[n[inverse] > 1, 1], return_counts=True)
-        ids, data = _deal(who, np.stack([who, shared.astype(np.uint32)], 1), bins) if len(who) else ([], [])
-        return pa.table({"bin": pa.array(ids, pa.int32()), "data": pa.array(data, pa.binary())})
-
-    return run
-
-
-def _sum_shared(table: pa.Table) -> pa.Table:
-    rows = _halves(table)
-    who, inverse = np.unique(rows[:, 0], return_inverse=True)
-    return pa.table({"half": pa.array(who.astype(np.int64)), "shared": pa.array(np.bincount(inverse, rows[:, 1]).astype(np.int64))})
+class Texts:
+    """The text of one row of each class: of the one that ``one`` names by its id, or by its digest if it has none."""
+
+    def __init__(self, docs: DataFrame, one: DataFrame, n_words: int):
+        self.docs, self.one, self.n_words = docs, one, n_words
+
+    def of(self, keys: DataFrame | None) -> DataFrame:
+        one = self.one if keys is None else self.one.join(broadcast_if_small(keys, 16), "key", "left_semi")
+        texts = self.docs.join(broadcast_if_small(one.where("doc_id is not null").select("doc_id").distinct(), 8), "doc_id", "left_semi").select("text")
+        alone = one.where("doc_id is null").select("nameless").distinct()
+        if not alone.isEmpty():
+            # Classes that have null ids only: copies fall together, as one row stands for a class.
+            texts = texts.unionByName(self.docs.where("doc_id is null").join(broadcast_if_small(alone, 8), "nameless", "left_semi").dropDuplicates(
+                ["nameless", "text"]).select("text"))
+        return texts
+
+    def sketches(self) -> DataFrame:
+        """(key, short, size, odd, fold) of every class, once."""
+        got = self.of(None).mapInArrow(_sets(self.n_words, True), "key binary, short long, size long, odd array<long>, fold array<long>")
+        return got.join(broadcast_if_small(self.one.select("key"), 16), "key", "left_semi").dropDuplicates(["key"])
+
+    def features(self, keys: DataFrame) -> DataFrame:
+        """(key, features) of some classes."""
+        got = self.of(keys).mapInArrow(_sets(self.n_words, False), "key binary, features binary")
+        return got.join(broadcast_if_small(keys, 16), "key", "left_semi")
+
+
+def _linked(pairs: DataFrame, texts: Texts, pct: int) -> DataFrame:
+    """The pairs of keys (a, b) whose sets link. Only sets in a pair are made and moved."""
+    few = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-few")
+    own = saved(texts.features(few), "partenum-sets")
+    x, y = (own.select(F.col("key").alias(c), F.col("features").alias(f)) for c, f in (("a", "x"), ("b", "y")))
+    out = saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(pct), "a binary, b binary").distinct(), "partenum-links")
+    dropped(few, own)
+    return out
 
 
 def _apart(open_: DataFrame, names: DataFrame, label: DataFrame) -> DataFrame:
@@ -375,37 +357,32 @@ def _apart(open_: DataFrame, names: DataFrame, label: DataFrame) -> DataFrame:
     return out
 
 
-def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: DataFrame, links: DataFrame, label: DataFrame,
-                bins: int, pct: int) -> DataFrame:
+def _more_links(open_: DataFrame, names: DataFrame, texts: Texts, first: DataFrame, links: DataFrame, label: DataFrame, pct: int) -> DataFrame:
     """The components of all links, with the pairs of open signatures that
-    are apart tested: first with the class that shares most, then each pair."""
+    are apart tested: first with the class that is in most of them, then each pair."""
     rest = _apart(open_, names, label)
-    own = sets.select("key", "short", "features").join(broadcast_if_small(rest.select("key").distinct(), 16), "key", "left_semi")
-    shared = own.select("short", "features").mapInArrow(_deal_features(bins), "bin int, data binary").groupBy("bin").applyInArrow(
-        _count_shared(bins), "bin int, data binary").groupBy("bin").applyInArrow(_sum_shared, "half long, shared long")
-    sized = saved(names.withColumn("half", F.col("short").bitwiseAND(0xFFFFFFFF)).join(shared, "half").drop("half"), "partenum-shared")
-    able = lambda x, y: ((100 + pct) * F.least(f"{x}shared", f"{y}shared") >= pct * (F.col(f"{x}size") + F.col(f"{y}size"))) & _close(x, y, pct)
     links_, tested, done = links, first, []
     for step in ("center", "pair"):
-        rows = rest.join(sized, "key")
+        rows = rest.join(names.drop("short"), "key")
         if step == "center":
-            best = rows.groupBy("sig").agg(F.max(F.struct("shared", "key", "component", "size", "odd")).alias("z")).select(
-                "sig", *[F.col(f"z.{c}").alias(f"z{c}") for c in ("key", "component", "shared", "size", "odd")])
+            often = rest.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+            rows = rows.join(often, "key")
+            best = rows.groupBy("sig").agg(F.max(F.struct("often", "key", "component", "size", "odd", "fold")).alias("z")).select(
+                "sig", *[F.col(f"z.{c}").alias(f"z{c}") for c in ("key", "component", "often", "size", "odd", "fold")])
             # One centre for each class: this step need not find all, the next one does.
-            one = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & able("", "z")).groupBy("key").agg(
-                F.max(F.struct("zshared", "zkey")).alias("z")).select("key", F.col("z.zkey").alias("zkey"))
+            one = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & _close("", "z", pct)).groupBy("key").agg(
+                F.max(F.struct("zoften", "zkey")).alias("z")).select("key", F.col("z.zkey").alias("zkey"))
             pairs = one.select(F.least("key", "zkey").alias("a"), F.greatest("key", "zkey").alias("b"))
         else:
-            sigs = open_.join(rest.select("sig").distinct(), F.col("a") == F.col("sig"), "left_semi").groupBy(F.col("b").alias("short")).agg(
-                F.sort_array(F.collect_set("a")).alias("sigs"))
-            rows = rows.join(sigs, "short").select("sig", "key", "component", "shared", "size", "odd", "sigs")
+            sigs = rest.groupBy("key").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+            rows = rows.join(sigs, "key").select("sig", "key", "component", "size", "odd", "fold", "sigs")
             x, y = (rows.select("sig", *[F.col(c).alias(p + c) for c in rows.columns if c != "sig"]) for p in "xy")
             # The condition is the join's: a pair is made once, at its least common signature.
             pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("xkey") < F.col("ykey")) & (F.col("xcomponent") != F.col("ycomponent"))
-                           & able("x", "y") & (F.get(F.array_intersect("xsigs", "ysigs"), F.lit(0)) == x["sig"])).select(
+                           & _close("x", "y", pct) & (F.get(F.array_intersect("xsigs", "ysigs"), F.lit(0)) == x["sig"])).select(
                 F.col("xkey").alias("a"), F.col("ykey").alias("b"))
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"partenum-{step}")
-        found = saved(_linked(pairs, sets, pct), "partenum-links")
+        found = _linked(pairs, texts, pct)
         done += [rest, pairs, found]
         if not found.isEmpty():
             links_ = links_.unionByName(found)
@@ -414,7 +391,7 @@ def _more_links(open_: DataFrame, names: DataFrame, sets: DataFrame, first: Data
         tested = tested.unionByName(pairs)
         if step == "center":
             rest = _apart(open_, names, label)
-    dropped(sized, *done)
+    dropped(*done)
     return label
 
 
@@ -432,31 +409,22 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _meet, "kind int, a long, b long").distinct(), "partenum-met")
     near, open_ = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") == MEMBER)
 
-    # The sets of the classes that share a signature, read from one row of each.
+    # The classes that share a signature, each read from one row.
     in_pair = near.select(F.explode(F.array("a", "b")).alias("short")).unionByName(open_.select(F.col("b").alias("short"))).distinct()
     one = members.where("n_shingles > 0").groupBy("key", "short").agg(
         F.min("doc_id").alias("doc_id"), F.min("nameless").alias("nameless")).join(in_pair, "short", "left_semi")
     one = saved(one.select("doc_id", "nameless", "key"), "partenum-one")
-    texts = d.join(broadcast_if_small(one.where("doc_id is not null").select("doc_id").distinct(), 8), "doc_id", "left_semi").select("text")
-    alone = one.where("doc_id is null").select("nameless").distinct()
-    if not alone.isEmpty():
-        # Classes that have null ids only: copies fall together, as one row stands for a class.
-        texts = texts.unionByName(d.where("doc_id is null").join(broadcast_if_small(alone, 8), "nameless", "left_semi").dropDuplicates(
-            ["nameless", "text"]).select("text"))
-    sets = saved(texts.mapInArrow(_sets(n_words), "key binary, short long, odd array<long>, brief binary, features binary").join(
-        broadcast_if_small(one.select("key"), 16), "key", "left_semi"), "partenum-sets")
-    size = F.expr("cast(octet_length(features) div 8 as long)")
-    names = saved(sets.select("key", "short", "odd", size.alias("size")).dropDuplicates(["key"]), "partenum-names")
-    side = lambda c: names.select(F.col("short").alias(c), F.col("key").alias(f"{c}key"), F.col("odd").alias(f"{c}odd"), F.col("size").alias(f"{c}size"))
+    texts = Texts(d, one, n_words)
+    names = saved(texts.sketches(), "partenum-names")
     # Short digests that two classes share give pairs of both; a class is no pair with itself.
+    side = lambda c: names.select(F.col("short").alias(c), *[F.col(x).alias(f"{c}{x}") for x in ("key", "size", "odd", "fold")])
     first = near.join(side("a"), "a").join(side("b"), "b").where((F.col("akey") != F.col("bkey")) & _close("a", "b", pct)).select(
         F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
     first = saved(first, "partenum-first")
-    links = saved(_linked(first, sets, pct), "partenum-links")
+    links = _linked(first, texts, pct)
     label = saved(components(links), "partenum-labels")
-
-    label = _more_links(open_, names, sets, first, links, label, bins, pct)
-    dropped(met, one, sets, names, first, links)
+    label = _more_links(open_, names, texts, first, links, label, pct)
+    dropped(met, one, names, first, links)
 
     group = members.drop("nameless").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
