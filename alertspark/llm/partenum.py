@@ -27,7 +27,7 @@ Before a pair is tested, its odd sketches are compared: bit i of a set's sketch
 its features of digest i. Each feature that is in one set only flips a bit at most, so the
 bits that differ never exceed the difference of the sets, and a pair whose sketches differ in more than
 two linking sets may is out. A sketch has as many bits as the set features, or more (1024, 4096, 16384 and
-so on), and folds to the next narrower width by parity again, for sets on both sides of a limit.
+so on), and folds to the next narrower width by parity, for sets on both sides of a limit.
 So near copies of one text that do not link among themselves cost a comparison of
 some words each; only for the few pairs left are the sets made and moved, and compared exactly.
 
@@ -42,6 +42,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -249,28 +250,47 @@ def _members(n_words: int):
     return run
 
 
-def odd_sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's sketch as words of 64 bits, and the same one width narrower (the narrowest as it is)."""
+def odd_sketch(h: np.ndarray) -> np.ndarray:
+    """A set's sketch as words of 64 bits."""
     bits = SKETCH
     while bits < len(h):
         bits *= WIDER
-    wide = np.bincount((h % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-    narrow = wide if bits == SKETCH else wide.reshape(WIDER, -1).sum(0, dtype=np.uint8) & 1
-    return np.packbits(wide).view(np.int64), np.packbits(narrow).view(np.int64)
+    return np.packbits(np.bincount((h % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def _close(x: str, y: str, pct: int) -> Column:
-    """Whether sizes and sketches of two sets (columns ...size, ...odd, ...fold) allow a link."""
-    c = lambda side, name: F.col(f"{side}{name}")
-    differ = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
-    wx, wy = F.size(c(x, "odd")), F.size(c(y, "odd"))
-    apart = F.when(wx == wy, differ(c(x, "odd"), c(y, "odd"))).when(wx > wy, differ(c(x, "fold"), c(y, "odd"))).otherwise(differ(c(x, "odd"), c(y, "fold")))
-    sizes = 100 * F.least(c(x, "size"), c(y, "size")) >= pct * F.greatest(c(x, "size"), c(y, "size"))
-    return F.when(sizes, apart * (100 + pct) <= (c(x, "size") + c(y, "size")) * (100 - pct)).otherwise(F.lit(False))
+def _close(x_size: Column, x: Column, y_size: Column, y: Column, pct: int) -> Column:
+    """Whether the sizes and sketches of two sets allow a link."""
+    count = lambda u, v: F.bit_count(u.bitwiseXOR(v))
+    total = lambda words: F.aggregate(words, F.lit(0), lambda n, k: n + k)
+
+    def folded(wide: Column, narrow: Column) -> Column:
+        n = F.size(narrow)
+        return total(F.transform(narrow, lambda v, i: count(v, functools.reduce(Column.bitwiseXOR, [F.get(wide, i + n * k) for k in range(WIDER)]))))
+
+    # The narrowest sketches, nearly all, word by word: this much is compiled.
+    words = SKETCH // 64
+    narrowest = functools.reduce(lambda p, q: p + q, [count(F.get(x, F.lit(i)), F.get(y, F.lit(i))) for i in range(words)])
+    nx, ny = F.size(x), F.size(y)
+    apart = F.when((nx == words) & (ny == words), narrowest).when(nx == ny, total(F.zip_with(x, y, count))).when(nx > ny, folded(x, y)).otherwise(folded(y, x))
+    sizes = 100 * F.least(x_size, y_size) >= pct * F.greatest(x_size, y_size)
+    return F.when(sizes, apart * (100 + pct) <= (x_size + y_size) * (100 - pct)).otherwise(F.lit(False))
+
+
+def _near_pairs(pairs: DataFrame, names: DataFrame, on: str, pct: int) -> DataFrame:
+    """Of pairs (a, b) of classes, named by the column ``on`` of ``names``, those of keys that may link, in the same order."""
+    side = lambda c: names.select(F.col(on).alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("key", "size", "odd")])
+    c = F.col
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+        (c("a_key") != c("b_key")) & _close(c("a_size"), c("a_odd"), c("b_size"), c("b_odd"), pct)).select(
+        c("a_key").alias("a"), c("b_key").alias("b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(n_words: int, sketches: bool):
-    """Of texts: (key, short, size, odd, fold), or (key, features)."""
+    """Of texts: (key, short, size, odd), or (key, features)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = WordDigests()
@@ -283,10 +303,9 @@ def _sets(n_words: int, sketches: bool):
                 keys = _keys(doc, h, n)
                 sets = [h[at[i]:at[i + 1]] for i in range(n)]
                 if sketches:
-                    odd, fold = zip(*map(odd_sketch, sets)) if n else ((), ())
-                    lists = pa.list_(pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array([len(x) for x in sets], pa.int64()),
-                                                      pa.array(list(odd), lists), pa.array(list(fold), lists)], ["key", "short", "size", "odd", "fold"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, pa.binary()), pa.array(_short(keys)), pa.array([len(x) for x in sets], pa.int64()),
+                         pa.array(list(map(odd_sketch, sets)), pa.list_(pa.int64()))], ["key", "short", "size", "odd"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "features"])
 
@@ -326,8 +345,8 @@ class Texts:
         return texts
 
     def sketches(self) -> DataFrame:
-        """(key, short, size, odd, fold) of every class, once."""
-        got = self.of(None).mapInArrow(_sets(self.n_words, True), "key binary, short long, size long, odd array<long>, fold array<long>")
+        """(key, short, size, odd) of every class, once."""
+        got = self.of(None).mapInArrow(_sets(self.n_words, True), "key binary, short long, size long, odd array<long>")
         return got.join(broadcast_if_small(self.one.select("key"), 16), "key", "left_semi").dropDuplicates(["key"])
 
     def features(self, keys: DataFrame) -> DataFrame:
@@ -363,24 +382,20 @@ def _more_links(open_: DataFrame, names: DataFrame, texts: Texts, first: DataFra
     rest = _apart(open_, names, label)
     links_, tested, done = links, first, []
     for step in ("center", "pair"):
-        rows = rest.join(names.drop("short"), "key")
         if step == "center":
             often = rest.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-            rows = rows.join(often, "key")
-            best = rows.groupBy("sig").agg(F.max(F.struct("often", "key", "component", "size", "odd", "fold")).alias("z")).select(
-                "sig", *[F.col(f"z.{c}").alias(f"z{c}") for c in ("key", "component", "often", "size", "odd", "fold")])
+            best = rest.join(often, "key").groupBy("sig").agg(F.max(F.struct("often", "key", "component")).alias("z"))
+            stars = rest.join(best, "sig").where(F.col("component") != F.col("z.component")).select(F.col("key").alias("a"), F.col("z.key").alias("b")).distinct()
             # One centre for each class: this step need not find all, the next one does.
-            one = rows.join(best, "sig").where((F.col("component") != F.col("zcomponent")) & _close("", "z", pct)).groupBy("key").agg(
-                F.max(F.struct("zoften", "zkey")).alias("z")).select("key", F.col("z.zkey").alias("zkey"))
-            pairs = one.select(F.least("key", "zkey").alias("a"), F.greatest("key", "zkey").alias("b"))
+            near = _near_pairs(stars, names, "key", pct)
+            pairs = _ordered(near.groupBy("a").agg(F.min("b").alias("b")))
         else:
-            sigs = rest.groupBy("key").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-            rows = rows.join(sigs, "key").select("sig", "key", "component", "size", "odd", "fold", "sigs")
-            x, y = (rows.select("sig", *[F.col(c).alias(p + c) for c in rows.columns if c != "sig"]) for p in "xy")
-            # The condition is the join's: a pair is made once, at its least common signature.
-            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("xkey") < F.col("ykey")) & (F.col("xcomponent") != F.col("ycomponent"))
-                           & _close("x", "y", pct) & (F.get(F.array_intersect("xsigs", "ysigs"), F.lit(0)) == x["sig"])).select(
-                F.col("xkey").alias("a"), F.col("ykey").alias("b"))
+            # Only the sketch is moved besides; a pair that shares several signatures is made at each.
+            rows = saved(rest.join(names.select("key", "size", "odd"), "key"), "partenum-sketched")
+            done.append(rows)
+            c = F.col
+            pairs = rows.alias("x").join(rows.alias("y"), (c("x.sig") == c("y.sig")) & (c("x.key") < c("y.key")) & (c("x.component") != c("y.component"))
+                                         & _close(c("x.size"), c("x.odd"), c("y.size"), c("y.odd"), pct)).select(c("x.key").alias("a"), c("y.key").alias("b"))
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"partenum-{step}")
         found = _linked(pairs, texts, pct)
         done += [rest, pairs, found]
@@ -417,9 +432,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = Texts(d, one, n_words)
     names = saved(texts.sketches(), "partenum-names")
     # Short digests that two classes share give pairs of both; a class is no pair with itself.
-    side = lambda c: names.select(F.col("short").alias(c), *[F.col(x).alias(f"{c}{x}") for x in ("key", "size", "odd", "fold")])
-    first = near.join(side("a"), "a").join(side("b"), "b").where((F.col("akey") != F.col("bkey")) & _close("a", "b", pct)).select(
-        F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
+    first = _ordered(_near_pairs(near, names, "short", pct))
     first = saved(first, "partenum-first")
     links = _linked(first, texts, pct)
     label = saved(components(links), "partenum-labels")
