@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ip import classify_cols, ipv4_num
-from ..functions.normalize import SQLI_REGEX, XSS_REGEX, window_seconds
+from ..functions.normalize import SQLI_REGEX, XSS_REGEX
 from ..functions.ti import ti_flat
 from ..schemas import SAMPLE_LOGS
-from ..sources.reference import playbook_thresholds, reference_documents
+from ..sources.reference import reference_documents
 from .joins import broadcast_if_bounded
+from .playbooks import matched_names, with_rule_inputs
 
 # --------------------------------------------------------------------------- J1
 
@@ -160,9 +161,10 @@ def segmentation_check(alerts: DataFrame, segmentation: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- G12
 
-def log_measures(alerts: DataFrame) -> DataFrame:
+def log_measures(alerts: DataFrame, texts: bool = False) -> DataFrame:
     """Per-alert measures over ``sample_logs`` with higher-order functions
-    on the parsed array (no explode, no shuffle)."""
+    on the parsed array (no explode, no shuffle). With ``texts`` also ``log_texts``,
+    the text of each log that patterns are looked for in."""
     logs = F.coalesce(F.from_json("sample_logs", SAMPLE_LOGS), F.array().cast(SAMPLE_LOGS))
     text = lambda x: F.concat_ws(" ", x["url"], x["payload"], x["query"], x["command"])
     return alerts.withColumn("_logs", logs).select(
@@ -178,46 +180,38 @@ def log_measures(alerts: DataFrame) -> DataFrame:
         .cast("int").alias("deny_count"),
         F.size(F.filter(F.col("_logs"), lambda x: text(x).rlike(SQLI_REGEX))).cast("int").alias("sqli_hits"),
         F.size(F.filter(F.col("_logs"), lambda x: text(x).rlike(XSS_REGEX))).cast("int").alias("xss_hits"),
+        *([F.transform(F.col("_logs"), text).alias("log_texts")] if texts else []),
     ).drop("_logs")
 
 
 # --------------------------------------------------------------------------- J12, F17
 
-def evidence_features(alerts: DataFrame, ref: dict, path: str | None = None) -> DataFrame:
+def rule_inputs(alerts: DataFrame, ref: dict) -> DataFrame:
+    """What the playbook rules read: log measures and texts, the approved endpoint, address
+    classes. No shuffle, one small join."""
+    df = approved_match(log_measures(alerts, texts=True), ref["approved"])
+    if not {"source_type", "destination_type"} <= set(df.columns):
+        df = classify_cols(df)
+    return with_rule_inputs(df)
+
+
+def match_playbooks(alerts: DataFrame, ref: dict) -> DataFrame:
+    """J12 without the rest of the evidence: (alert_id, matched_playbooks)."""
+    return rule_inputs(alerts, ref).select("alert_id", matched_names(ref["playbooks"]).alias("matched_playbooks"))
+
+
+def evidence_features(alerts: DataFrame, ref: dict) -> DataFrame:
     """one evidence row per alert — TI flags, volume, management ports,
     approved endpoint, segmentation, asset criticality and playbook matches."""
-    th = playbook_thresholds(path)
-    df = log_measures(alerts)
+    df = rule_inputs(alerts, ref).withColumn("matched_playbooks", matched_names(ref["playbooks"])).drop("log_texts")
     df = df.select("*", *ti_flat(F.col("threat_intelligence")))
-    df = approved_match(df, ref["approved"])
     df = segmentation_check(df, ref["segmentation"])
     df = asset_lookup(df, ref["assets"])
     ports = F.coalesce(F.col("destination_ports"), F.array().cast("array<int>"))
-    failed_logins = F.when(F.col("failed_log_count") > 0, F.coalesce(F.col("event_count"), F.lit(0))).otherwise(0)
-    probed = F.size(F.array_distinct(F.concat(F.filter(ports, lambda p: p.isNotNull()), F.col("log_ports"))))
-    wsec = window_seconds(F.col("time_window"))
-    if not {"source_type", "destination_type"} <= set(df.columns):
-        df = classify_cols(df)
-    src_class = F.col("source_type")
-    bf_ports = F.array(*[F.lit(p) for p in th["brute_force_ports"]])
-    conds = {
-        "brute_force": (src_class == "External source") & th["brute_force_failed"](failed_logins)
-        & F.coalesce(wsec <= th["brute_force_window"], F.lit(False)) & F.arrays_overlap(ports, bf_ports),
-        "sqli": F.col("sqli_hits") > 0,
-        "xss": F.col("xss_hits") > 0,
-        "data_exfiltration": th["exfil_volume"](F.col("total_bytes"))
-        & F.coalesce(F.col("protocol") == th["exfil_protocol"], F.lit(False))
-        & ~F.col("approved_endpoint"),
-        "port_scan": th["scan_ports"](probed) & F.coalesce(wsec <= th["scan_window"], F.lit(False)),
-    }
-    matched = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conds.items()]))
     return df.select(
         "*",
-        failed_logins.cast("int").alias("failed_logins"), probed.cast("int").alias("probed_ports"),
-        wsec.alias("window_seconds"),
         (F.coalesce(F.col("event_count"), F.lit(0)) > 100).alias("high_volume"),
-        F.arrays_overlap(ports, F.array(F.lit(22), F.lit(23), F.lit(3389))).alias("management_port"),
-        matched.alias("matched_playbooks"))
+        F.arrays_overlap(ports, F.array(F.lit(22), F.lit(23), F.lit(3389))).alias("management_port"))
 
 
 def playbook_matches(features: DataFrame, playbooks: DataFrame) -> DataFrame:

@@ -49,13 +49,15 @@ def clamp_k(k: int) -> int:
 def _tile(q_ids, q_mat, kb_ids, kb_mat, best: pd.DataFrame, bound: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
     """``best`` (q, id, distance; k rows a query) with the rows of one tile merged
     in. ``bound``: each query's k-th distance so far, updated in place."""
-    approx = np.einsum("ij,ij->i", q_mat, q_mat)[:, None] + np.einsum("ij,ij->i", kb_mat, kb_mat)[None, :] - 2.0 * (q_mat @ kb_mat.T)
+    norms = np.einsum("ij,ij->i", q_mat, q_mat)[:, None] + np.einsum("ij,ij->i", kb_mat, kb_mat)[None, :]
+    # The rounding of |q|^2 + |k|^2 - 2qk is relative to the norms, not to the distance.
+    slack = 4 * (q_mat.shape[1] + 4) * np.finfo(float).eps * norms
+    approx = norms - 2.0 * (q_mat @ kb_mat.T)
     if exclude_self:
         approx[q_ids[:, None] == kb_ids[None, :]] = np.inf
     kk = min(k, kb_mat.shape[0])
-    limit = np.minimum(bound, np.partition(approx, kk - 1, axis=1)[:, kk - 1] if kk == k else np.inf)
-    limit = np.where(np.isfinite(limit), limit + 1e-9 * np.maximum(1.0, np.abs(limit)), limit)
-    qi, ki = np.nonzero((approx <= limit[:, None]) & np.isfinite(approx))
+    limit = np.minimum(bound, np.partition(approx + slack, kk - 1, axis=1)[:, kk - 1] if kk == k else np.inf)
+    qi, ki = np.nonzero((approx - slack <= limit[:, None]) & np.isfinite(approx))
     exact = np.concatenate([((kb_mat[ki[a:a + 65536]] - q_mat[qi[a:a + 65536]]) ** 2).sum(axis=1) for a in range(0, len(qi), 65536)] or [np.empty(0)])
     both = pd.concat([best, pd.DataFrame({"q": qi, "id": kb_ids[ki], "distance": exact})], ignore_index=True)
     best = both.sort_values(["q", "distance", "id"]).groupby("q", sort=False).head(k).reset_index(drop=True)

@@ -56,18 +56,21 @@ def historical_kb(alerts: DataFrame) -> DataFrame:
                     value.alias("value"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` as a table of its own; ``scratch`` gets its path, for the caller to delete."""
     path = new_table_path(df.sparkSession, name)
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1) -> DataFrame:
+def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1, scratch: list[str] | None = None) -> DataFrame:
     """F16 + J7 + F7 over distinct query texts: (query_text, has_context, context_block)."""
     # Both are read by the IDF fit, the kNN and the context join: written once,
     # so nothing stays cached after a batch.
-    texts = written(queries.select("query_text").distinct(), "query-texts")
-    kb = written(kb, "knowledge")
+    texts = written(queries.select("query_text").distinct(), "query-texts", scratch)
+    kb = written(kb, "knowledge", scratch)
     if kb.limit(1).count() == 0:
         # Empty store: every query gets the "no context" answer.
         return texts.select("query_text", F.lit(False).alias("has_context"),
@@ -82,7 +85,8 @@ def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1) -> DataFrame
 
 
 def run_cycle(spark: SparkSession, alerts: DataFrame, now: str = "2024-02-01 00:00:00", n: int | None = None,
-              scorer=triage.rule_verdict, ref: dict | None = None) -> dict[str, DataFrame]:
+              scorer=triage.rule_verdict, ref: dict | None = None,
+              scratch: list[str] | None = None) -> dict[str, DataFrame]:
     """One cycle over ``alerts`` (current state). Returns every stage's output."""
     ref = ref or load_reference(spark)
     gate = state.queue_gate(alerts)
@@ -92,7 +96,7 @@ def run_cycle(spark: SparkSession, alerts: DataFrame, now: str = "2024-02-01 00:
     # The retrieval sentence does not depend on TI, so it is built from the
     # claimed rows directly (F1 is computed once and reused by F17).
     with_q = with_query_text(claimed)
-    ctx = retrieve_context(with_q, historical_kb(alerts))
+    ctx = retrieve_context(with_q, historical_kb(alerts), scratch=scratch)
     abuse, vt = enrich.ti_snapshots_from_alerts(alerts)
     with_ti = enrich.ti_merge(with_q, abuse, vt, dedupe=False).withColumn("threat_intelligence", F.col("ti_merged")).drop("ti_merged")
     with_ctx = with_ti.join(ctx, "query_text", "left")

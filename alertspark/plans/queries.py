@@ -282,8 +282,7 @@ def j11_segmentation(spark, sf):
 
 def j12_playbook_match(spark, sf):
     ref = load_reference(spark)
-    feats = enrich.evidence_features(_alerts(spark, sf), ref)
-    m = enrich.playbook_matches(feats, ref["playbooks"])
+    m = enrich.playbook_matches(enrich.match_playbooks(_alerts(spark, sf), ref), ref["playbooks"])
     return m.select("alert_id", "playbook", "playbook_severity", F.size("actions").cast("bigint").alias("n_actions"))
 
 

@@ -132,30 +132,3 @@ def reference_documents(path: str | None = None) -> dict[str, str]:
                 row = json.loads(line)
                 out[row["reference_type"]] = json.dumps(row["data"], sort_keys=True)
     return out
-
-
-def playbook_thresholds(path: str | None = None) -> dict:
-    """Playbook match thresholds: volumes and counts as tests of a column, with
-    the comparator the document states (numbers parsed like F12)."""
-    import re
-    docs = json.loads(reference_documents(path)["playbooks"])
-    units = {"": 1, "B": 1, "KB": 1e3, "MB": 1e6, "GB": 1e9, "TB": 1e12}
-    win_units = {"s": 1, "m": 60, "h": 3600, "d": 86400}
-
-    def num(text):
-        m = re.match(r"^\s*(>=|>|<=|<|=)?\s*([0-9]+(?:\.[0-9]+)?)\s*([KMGT]?B)?\s*$", str(text))
-        bound = float(m.group(2)) * units[m.group(3) or ""]
-        return {">": lambda c: c > bound, ">=": lambda c: c >= bound, "<": lambda c: c < bound,
-                "<=": lambda c: c <= bound}.get(m.group(1), lambda c: c == bound)
-
-    def win(text):
-        m = re.match(r"^\s*([0-9]+)\s*([smhd])\s*$", str(text))
-        return int(m.group(1)) * win_units[m.group(2)]
-
-    bf, ex, ps = docs["brute_force"]["match"], docs["data_exfiltration"]["match"], docs["port_scan"]["match"]
-    return {
-        "brute_force_failed": num(bf["failed_logins"]), "brute_force_window": win(bf["window"]),
-        "brute_force_ports": [int(p) for p in bf["ports"]],
-        "exfil_volume": num(ex["volume"]), "exfil_protocol": ex["protocol"],
-        "scan_ports": num(ps["probed_ports"]), "scan_window": win(ps["window"]),
-    }

@@ -19,7 +19,7 @@ from ..operators.enrich import log_measures
 from ..operators.ingest import ingest_alerts
 
 from ..schemas import ALERTS
-from ..session import new_table_path, path_exists
+from ..session import delete_path, new_table_path, path_exists
 
 PAYLOAD_SCHEMA = "payload string"
 
@@ -32,6 +32,11 @@ LOG_SCHEMA = T.StructType(
     + [T.StructField("batch_id", T.LongType())])
 
 
+DEAD_LETTER_SCHEMA = T.StructType(
+    LOG_SCHEMA.fields[:-1] + [T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()), LOG_SCHEMA.fields[-1]])
+#: Partitions of a batch that a cycle writes.
+CYCLE_KINDS = ("kind=claimed", "kind=ti_updated", "kind=verdict")
+
 # --------------------------------------------------------------------------- S10, T1
 
 def read_payload_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
@@ -45,9 +50,13 @@ def read_payload_stream(spark: SparkSession, path: str, fmt: str = "json", max_f
     return r.schema(PAYLOAD_SCHEMA).json(path)
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int, by: tuple = ()) -> None:
+def _write_batch(df: DataFrame, path: str, batch_id: int, by: tuple = (), clear: tuple[str, ...] = ("",)) -> None:
     """Overwrite only this batch's partitions: a replayed batch replaces its own
-    output and never duplicates it."""
+    output and never duplicates it. ``clear`` names the partitions below the batch's that
+    this write stands for: they go first, so that a replay with fewer or no rows leaves
+    nothing stale. A failure in between is a failed batch, which is replayed."""
+    for part in clear:
+        delete_path(df.sparkSession, f"{path}/batch_id={batch_id}/{part}".rstrip("/"))
     (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("batch_id", *by).parquet(path))
@@ -102,7 +111,7 @@ def dedup_stream(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def start_cycle(stream_of_alerts: DataFrame, log_path: str, now_col: str = "processing_time",
                 checkpoint: str | None = None, trigger: dict | None = None, n: int | None = None,
-                notifications_path: str | None = None):
+                notifications_path: str | None = None, dead_letter_path: str | None = None, attempts: int = 2, scorer=triage.rule_verdict):
     """The processing cycle per micro-batch. Each batch of new alerts is
     appended to the event log as ``inserted``; the current state is folded
     from the log (G5); the cycle claims, scores and applies verdicts; the
@@ -110,38 +119,71 @@ def start_cycle(stream_of_alerts: DataFrame, log_path: str, now_col: str = "proc
     the mails written, if a path is given), keyed by ``batch_id`` so a replay
     overwrites its own output. The gate (G3) is obeyed: nothing is claimed while
     alerts are in flight or none is pending. A failed cycle raises
-    and the query restarts from its checkpoint — nothing is half-applied."""
+    and the query restarts from its checkpoint — nothing is half-applied.
+
+    With ``dead_letter_path`` the loop survives a failed cycle: the batch is tried ``attempts``
+    times, then its alerts are set aside there with the error, taken out of the log, and the
+    loop goes on; ``parole`` puts them back. Recovered claims (``start_recovery``) are read as well."""
     from ..functions.ip import with_direction
     from ..plans.cycle import run_cycle, written
 
     spark = stream_of_alerts.sparkSession
     checkpoint = checkpoint or new_table_path(spark, "cycle-checkpoint")
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
+    def cycle(batch_id: int, scratch: list[str]) -> None:
         now = F.current_timestamp().cast("timestamp_ntz")
-        inserted = state.inserted_events(batch.drop("direction") if "direction" in batch.columns else batch)
-        _write_batch(inserted.withColumn("seq", F.lit(batch_id * 10).cast("long")), log_path, batch_id, ("kind",))
         # A replay must not see this batch's own claims and verdicts.
         log = spark.read.schema(LOG_SCHEMA).parquet(log_path).where(
-            (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & (F.col("kind") == "inserted")))
-        current = state.fold(log.drop("batch_id"))
-        current = with_direction(current)
+            (F.col("batch_id") < batch_id) | (F.col("kind") == "recovered") | ((F.col("batch_id") == batch_id) & (F.col("kind") == "inserted")))
+        current = with_direction(state.fold(log.drop("batch_id")))
         if state.queue_gate(current).first()["decision"] != "trigger":
             return
-        out = run_cycle(spark, current, n=n)
-        res = written(out["results"], "cycle-results")
+        out = run_cycle(spark, current, n=n, scorer=scorer, scratch=scratch)
+        res = written(out["results"], "cycle-results", scratch)
         ti = out["features"].select("alert_id", "threat_intelligence")
         events = state.union_events(
             state.status_events(res, "claimed", state.STATUS_PROCESSING, now, batch_id * 10 + 1),
             state.ti_events(ti, now, batch_id * 10 + 2), state.verdict_events(res, now, batch_id * 10 + 3))
-        _write_batch(events, log_path, batch_id, ("kind",))
+        _write_batch(events, log_path, batch_id, ("kind",), CYCLE_KINDS)
         if notifications_path:
             _write_batch(triage.notifications(res), notifications_path, batch_id)
 
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        inserted = state.inserted_events(batch.drop("direction") if "direction" in batch.columns else batch)
+        _write_batch(inserted.withColumn("seq", F.lit(batch_id * 10).cast("long")), log_path, batch_id, ("kind",), ("kind=inserted", *CYCLE_KINDS))
+        for attempt in range(1, attempts + 1):
+            scratch: list[str] = []
+            try:
+                cycle(batch_id, scratch)
+                return
+            except Exception as error:
+                if dead_letter_path is None:
+                    raise
+                if attempt == attempts:
+                    set_aside(spark, log_path, dead_letter_path, batch_id, repr(error)[:2000], attempt)
+            finally:
+                for path in scratch:
+                    delete_path(spark, path)
+
     w = stream_of_alerts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def set_aside(spark: SparkSession, log_path: str, dead_letter_path: str, batch_id: int, error: str, attempts: int) -> None:
+    """The alerts of a batch, with the error, to the dead letters, and out of the log."""
+    rows = spark.read.schema(LOG_SCHEMA).parquet(log_path).where((F.col("batch_id") == batch_id) & (F.col("kind") == "inserted"))
+    _write_batch(rows.withColumns({"error": F.lit(error), "attempts": F.lit(attempts)}), dead_letter_path, batch_id)
+    for part in ("kind=inserted", *CYCLE_KINDS):
+        delete_path(spark, f"{log_path}/batch_id={batch_id}/{part}")
+
+
+def parole(spark: SparkSession, log_path: str, dead_letter_path: str, batch_id: int) -> None:
+    """Put the alerts of a batch that was set aside back in the log, as they came: a later cycle claims them."""
+    rows = spark.read.schema(DEAD_LETTER_SCHEMA).parquet(dead_letter_path).where(F.col("batch_id") == batch_id)
+    _write_batch(rows.drop("error", "attempts"), log_path, batch_id, ("kind",), ("kind=inserted",))
+    delete_path(spark, f"{dead_letter_path}/batch_id={batch_id}")
+
+
 # --------------------------------------------------------------------------- T4
 
 def lifecycle_state(log_stream: DataFrame) -> DataFrame:
