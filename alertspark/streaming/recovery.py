@@ -1,6 +1,6 @@
 """T4 / O4 with timers: claims that nobody finishes come back by themselves.
 
-A keyed processor holds the latest status of each alert that is in flight. A
+A keyed processor holds the claim of each alert that is in flight. A
 claim sets a timer at its own time plus the limit; a verdict, a recovery or a
 newer claim deletes it. When the timer fires, a ``recovered`` event is emitted,
 which the log's fold (G5) reads as Pending, so the alert is claimed again. State
@@ -28,38 +28,43 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class ClaimWatch(StatefulProcessor):
-    """Of one alert: its latest status, and the timer of its claim."""
+    """Of one alert: its open claim with the timer, and a mark of what closed the last one."""
 
     def __init__(self, limit_ms: int, processing: str):
         self.limit_ms, self.processing = limit_ms, processing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, at bigint, seq bigint, timer bigint", ttlDurationMs=MARK_LIMITS * self.limit_ms)
+        self.claim = handle.getValueState("claim", "at bigint, seq bigint, timer bigint")
+        self.mark = handle.getValueState("mark", "at bigint, seq bigint", ttlDurationMs=MARK_LIMITS * self.limit_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.last.get()
-        best = tuple(old)[:3] if old else None
+        claim, mark = self.claim.get(), self.mark.get()
+        known = max([tuple(x)[:2] for x in (claim, mark) if x], default=(-1 << 62, 0))
+        status = None
         for part in rows:
-            for status, at, seq in zip(part["analysis_status"], part["at"], part["seq"]):
-                if best is None or (int(at), int(seq)) > (best[1], best[2]):
-                    best = (status, int(at), int(seq))
-        if best is not None and (old is None or best != tuple(old)[:3]):
-            if old and old[3]:
-                self.handle.deleteTimer(old[3])
-            timer = 0
-            if best[0] == self.processing:
-                timer = max(best[1] // 1000 + self.limit_ms, timerValues.getCurrentProcessingTimeInMs() + 1)
+            for s, at, seq in zip(part["analysis_status"], part["at"], part["seq"]):
+                if (int(at), int(seq)) > known:
+                    status, known = s, (int(at), int(seq))
+        if status is not None:
+            if claim:
+                self.handle.deleteTimer(claim[2])
+            if status == self.processing:
+                timer = max(known[0] // 1000 + self.limit_ms, timerValues.getCurrentProcessingTimeInMs() + 1)
                 self.handle.registerTimer(timer)
-            self.last.update((*best, timer))
+                self.claim.update((*known, timer))
+            else:
+                self.claim.clear()
+                self.mark.update(known)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old = self.last.get()
-        if old and old[0] == self.processing and old[3] == expiredTimerInfo.getExpiryTimeInMs():
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.last.update(("recovered", now * 1000, old[2] + 1, 0))
-            yield pd.DataFrame({"alert_id": [key[0]], "claimed_at": [old[1]], "recovered_at": [now * 1000], "seq": [old[2] + 1]})
+        claim = self.claim.get()
+        if claim and claim[2] == expiredTimerInfo.getExpiryTimeInMs():
+            now, seq = timerValues.getCurrentProcessingTimeInMs() * 1000, claim[1] + 1
+            self.claim.clear()
+            self.mark.update((now, seq))
+            yield pd.DataFrame({"alert_id": [key[0]], "claimed_at": [claim[0]], "recovered_at": [now], "seq": [seq]})
 
     def close(self) -> None:
         pass
