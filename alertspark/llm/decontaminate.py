@@ -24,6 +24,7 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,8 +203,13 @@ def _occurrences(block: Block, codes: np.ndarray) -> set[tuple[int, int, int, in
             if got := block.align(i, codes[a + lo:a + hi]):
                 found.add((i, got[0], a + lo + got[1], a + lo + got[2]))
     kept: list[tuple[int, int, int, int]] = []
+    taken: dict[int, list[tuple[int, int]]] = {}
     for x in sorted(found):
-        if not any(y[0] == x[0] and y[2] < x[3] and x[2] < y[3] for y in kept[-8:]):
+        # Kept spans of an item don't overlap: only the neighbours can meet this one.
+        spans = taken.setdefault(x[0], [])
+        at = bisect.bisect(spans, (x[2], x[3]))
+        if not any(y[0] < x[3] and x[2] < y[1] for y in spans[max(0, at - 1):at + 1]):
+            spans.insert(at, (x[2], x[3]))
             kept.append(x)
     return set(kept)
 

@@ -106,6 +106,10 @@ def split_rows(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
     return rows
 
 
+#: Ids beyond this are ordered by their digest too, so that widths fit a long.
+_WIDEST = 1 << 61
+
+
 def _ordinal(c: str) -> Column:
     """A text dimension as a whole number; equal values stay together."""
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(-1)).cast("long")
@@ -114,13 +118,15 @@ def _ordinal(c: str) -> Column:
 def shard_rows(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id",
                text_col: str = "text", text_dims: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row. The dimensions
-    are the texts in ``text_dims``, the size and the id."""
-    text = whole_text(text_col)
+    are the texts in ``text_dims``, the size and the id (of any type; one that is no
+    whole number is ordered by its digest)."""
+    text, number = whole_text(text_col), F.col("doc_id").cast("string").try_cast("long")
     slim = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[_ordinal(c).alias(f"dim_{c}") for c in text_dims]).withColumns({
-            "dim_size": F.col("size"), "dim_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
+            "dim_size": F.col("size"), "dim_id": F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).when(
+                number.between(-_WIDEST, _WIDEST), number).otherwise(F.shiftright(F.xxhash64(F.col("doc_id").cast("string")), 2)),
             "rid": F.monotonically_increasing_id()})
     slim = saved(slim, "kd-rows")
     if n_shards is None:

@@ -537,3 +537,25 @@ def test_common_signatures_stay_exact(spark):
     rows += [(100 + k, " ".join(base[:-(k + 1)] + [f"z{j}" for j in range(k + 1)])) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert sorted(str(tuple(r)) for r in partenum.similar_sets(docs).collect()) == groups_of(rows)
+
+
+# -- op9, ids of any type
+
+
+def test_shards_of_text_ids(spark):
+    docs = spark.createDataFrame([(f"id-{i}" if i % 3 else None if i % 2 else str(i), "x" * (i % 50), "s", "en") for i in range(300)],
+                                 "doc_id string, text string, source string, lang string")
+    rows = kd_shards.shard_rows(docs, 8).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == 300 and set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 4 * 66
+
+
+def test_many_occurrences_of_an_item_do_not_overlap(spark):
+    item = "the quick brown fox jumps over lazy dogs"
+    text = " ".join([item] * 30)
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id int, text string")
+    got = sorted((r.start, r.end) for r in decontaminate.occurrences(docs, bench).collect())
+    assert len(got) == 30 and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
