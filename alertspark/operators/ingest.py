@@ -10,7 +10,7 @@ anti-join against the existing ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import STATUS_PENDING, VARCHAR_LIMITS
@@ -102,13 +102,15 @@ def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tup
     return valid, rejected
 
 
-def primary_key_guard(batch: DataFrame, existing_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First row per ``alert_id`` within the batch (by ``alert_time``), minus
-    ids already stored. Returns (accepted, duplicates)."""
-    first = first_per_id(batch, ["alert_time"])
-    accepted = first.join(existing_ids.select("alert_id"), "alert_id", "left_anti")
-    dup_existing = batch.join(existing_ids.select("alert_id"), "alert_id", "left_semi")
-    return accepted, dup_existing
+def primary_key_guard(batch: DataFrame, existing_ids: DataFrame, order: tuple = ("alert_time",)) -> tuple[DataFrame, DataFrame]:
+    """First row per ``alert_id`` within the batch (by ``order``, ties by the row's own text), minus
+    ids already stored. Returns (accepted, duplicates): each row of the batch is in one of them."""
+    whole = F.to_json(F.struct(*batch.columns))
+    known = existing_ids.select(F.col("alert_id").alias("_id")).distinct().withColumn("_stored", F.lit(True))
+    numbered = batch.withColumn("_n", F.row_number().over(Window.partitionBy("alert_id").orderBy(*order, whole))) \
+        .join(known, F.col("alert_id") == F.col("_id"), "left")
+    new = (F.col("_n") == 1) & F.col("_stored").isNull()
+    return numbered.where(new).select(batch.columns), numbered.where(~new).select(batch.columns)
 
 
 # --------------------------------------------------------------------------- P8–P10

@@ -206,19 +206,32 @@ def fold(log: DataFrame) -> DataFrame:
     sets one; TI from the latest insert/TI update; the verdict group from the
     latest insert/verdict. One aggregation (sort-based: its buffers hold text).
     """
-    order = F.struct("event_ts", "seq")
-    kind = F.col("kind")
-    base = F.min_by(F.struct(*BASE_COLS), F.when(kind == "inserted", order))
-    status = F.max_by(F.col("analysis_status"), F.when(F.col("analysis_status").isNotNull(), order))
-    ti = F.max_by(F.col("threat_intelligence"), F.when(kind.isin("inserted", "ti_updated"), order))
-    verdict = F.max_by(F.struct(*VERDICT_COLS), F.when(kind.isin("inserted", "verdict"), order))
-    g = (log.groupBy("alert_id")
-         .agg(base.alias("_b"), status.alias("analysis_status"), ti.alias("threat_intelligence"),
-              verdict.alias("_v"))
-         .filter(F.col("_b").isNotNull()))
-    return g.select(*[F.col(f"_b.{c}").alias(c) if c in BASE_COLS else
-                      F.col(f"_v.{c}").alias(c) if c in VERDICT_COLS else F.col(c)
-                      for c in ALERT_COLUMNS])
+    return finish(merge_partials(partials(log)))
+
+
+def partials(log: DataFrame) -> DataFrame:
+    """Of each event what it says of its alert, each part with its place in time: the first
+    insert (``_b``), status (``_s``), TI (``_t``), verdict (``_v``)."""
+    kind, at = F.col("kind"), ["event_ts", "seq"]
+    return log.select(
+        "alert_id",
+        F.when(kind == "inserted", F.struct(*at, *BASE_COLS)).alias("_b"),
+        F.when(F.col("analysis_status").isNotNull(), F.struct(*at, "analysis_status")).alias("_s"),
+        F.when(kind.isin("inserted", "ti_updated"), F.struct(*at, "threat_intelligence")).alias("_t"),
+        F.when(kind.isin("inserted", "verdict"), F.struct(*at, *VERDICT_COLS)).alias("_v"))
+
+
+def merge_partials(parts: DataFrame) -> DataFrame:
+    """One row per alert. Parts can be merged in any order and more than once (ties in time go by
+    the values), so states that are kept may be merged with later events."""
+    return parts.groupBy("alert_id").agg(F.min("_b").alias("_b"), *[F.max(c).alias(c) for c in ("_s", "_t", "_v")])
+
+
+def finish(parts: DataFrame) -> DataFrame:
+    """Alert rows of merged parts; ids without an insert are no alerts yet."""
+    where = {**{c: "_b" for c in BASE_COLS}, **{c: "_v" for c in VERDICT_COLS}, "analysis_status": "_s", "threat_intelligence": "_t"}
+    return parts.where(F.col("_b").isNotNull()).select(
+        *[F.col(c) if c == "alert_id" else F.col(f"{where[c]}.{c}").alias(c) for c in ALERT_COLUMNS])
 
 
 def first_per_id(df: DataFrame, order_cols: list[str]) -> DataFrame:

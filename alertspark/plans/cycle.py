@@ -41,19 +41,27 @@ def with_query_text(alerts: DataFrame) -> DataFrame:
         F.col("event_count"), source_type=F.col("source_type"), destination_type=F.col("destination_type")))
 
 
-def historical_kb(alerts: DataFrame) -> DataFrame:
-    """Historical knowledge: processed alerts rolled up by behaviour sentence."""
+def kb_rollup(alerts: DataFrame) -> DataFrame:
+    """Processed alerts by behaviour sentence, as sums: rollups can be added and taken off."""
     p = with_query_text(alerts.filter(F.col("analysis_status") == STATUS_PROCESSED))
-    g = p.groupBy("query_text").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("llm_classification") == "True Positive").alias("tp"),
-        F.count_if(F.col("llm_classification") == "False Positive").alias("fp"),
-        F.count_if(F.col("llm_classification") == "Needs Review").alias("nr"),
-        F.avg(F.col("llm_confidence").cast("double")).alias("conf"))
+    is_class = lambda c: F.count_if(F.col("llm_classification") == c)
+    return p.groupBy("query_text").agg(
+        F.count("*").alias("n"), is_class("True Positive").alias("tp"), is_class("False Positive").alias("fp"),
+        is_class("Needs Review").alias("nr"), F.coalesce(F.sum("llm_confidence"), F.lit(0)).cast("decimal(30,2)").alias("conf"),
+        F.count("llm_confidence").alias("conf_n"))
+
+
+def kb_records(rollup: DataFrame) -> DataFrame:
+    """The knowledge records of a rollup: (id, key, value)."""
+    mean = F.when(F.col("conf_n") > 0, F.col("conf").cast("double") / F.col("conf_n"))
     value = F.format_string("%d prior alerts: %d True Positive, %d False Positive, %d Needs Review; "
-                            "mean confidence %.2f.", "n", "tp", "fp", "nr", "conf")
-    return g.select(F.sha2("query_text", 256).alias("id"), F.col("query_text").alias("key"),
-                    value.alias("value"))
+                            "mean confidence %.2f.", "n", "tp", "fp", "nr", mean)
+    return rollup.select(F.sha2("query_text", 256).alias("id"), F.col("query_text").alias("key"), value.alias("value"))
+
+
+def historical_kb(alerts: DataFrame) -> DataFrame:
+    """Historical knowledge: processed alerts rolled up by behaviour sentence."""
+    return kb_records(kb_rollup(alerts))
 
 
 def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
@@ -86,8 +94,9 @@ def retrieve_context(queries: DataFrame, kb: DataFrame, k: int = 1, scratch: lis
 
 def run_cycle(spark: SparkSession, alerts: DataFrame, now: str = "2024-02-01 00:00:00", n: int | None = None,
               scorer=triage.rule_verdict, ref: dict | None = None,
-              scratch: list[str] | None = None) -> dict[str, DataFrame]:
-    """One cycle over ``alerts`` (current state). Returns every stage's output."""
+              scratch: list[str] | None = None, history: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """One cycle over ``alerts`` (current state). Returns every stage's output. ``history`` gives the
+    knowledge records (``kb``) and TI snapshots (``abuse``, ``vt``) where ``alerts`` is not the whole state."""
     ref = ref or load_reference(spark)
     gate = state.queue_gate(alerts)
     claimed = (state.claim(alerts, n) if n is not None
@@ -96,8 +105,8 @@ def run_cycle(spark: SparkSession, alerts: DataFrame, now: str = "2024-02-01 00:
     # The retrieval sentence does not depend on TI, so it is built from the
     # claimed rows directly (F1 is computed once and reused by F17).
     with_q = with_query_text(claimed)
-    ctx = retrieve_context(with_q, historical_kb(alerts), scratch=scratch)
-    abuse, vt = enrich.ti_snapshots_from_alerts(alerts)
+    ctx = retrieve_context(with_q, history["kb"] if history else historical_kb(alerts), scratch=scratch)
+    abuse, vt = (history["abuse"], history["vt"]) if history else enrich.ti_snapshots_from_alerts(alerts)
     with_ti = enrich.ti_merge(with_q, abuse, vt, dedupe=False).withColumn("threat_intelligence", F.col("ti_merged")).drop("ti_merged")
     with_ctx = with_ti.join(ctx, "query_text", "left")
     features = enrich.evidence_features(with_ctx, ref)

@@ -82,6 +82,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none if it isn't there), by the file system Spark itself uses."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it is there, in the file system Spark itself uses."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,6 +20,7 @@ from ..operators.ingest import ingest_alerts
 
 from ..schemas import ALERTS
 from ..session import delete_path, new_table_path, path_exists
+from .keyed import KeyedTable
 
 PAYLOAD_SCHEMA = "payload string"
 
@@ -62,28 +63,41 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, by: tuple = (), clear:
        .partitionBy("batch_id", *by).parquet(path))
 
 
+def id_index(spark: SparkSession, path: str, **tables) -> KeyedTable:
+    """Ids that are stored, with the batch that brought each, in buckets of the id."""
+    first = lambda rows: rows.groupBy("alert_id").agg(F.min("first_batch").alias("first_batch"))
+    return KeyedTable(spark, path, "alert_id", "alert_id string, first_batch bigint", first, **tables)
+
+
 def start_ingest(stream: DataFrame, valid_path: str, rejected_path: str, checkpoint: str | None = None,
-                 trigger: dict | None = None, now=None):
+                 trigger: dict | None = None, now=None, index_path: str | None = None, **tables):
     """T1 + S11: validate every micro-batch (S2/S3), keep the first alert of each id
     (J3: by time within the batch, and not if an earlier batch has it), and write
     accepted alerts and rejected payloads to their sinks; a duplicate is a reject
-    with its reason. Idempotent by ``batch_id``."""
+    with its reason. Idempotent by ``batch_id``.
+
+    Stored ids are in an index (``index_path``, by default next to the accepted alerts): a batch reads its own
+    ids' buckets, not every id. Where alerts are stored without an index, the first batch
+    builds it from them."""
     spark = stream.sparkSession
     checkpoint = checkpoint or new_table_path(spark, "ingest-checkpoint")
+    index = id_index(spark, index_path or f"{valid_path.rstrip('/')}-ids", **tables)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        if not path_exists(spark, f"{index.path}/delta") and path_exists(spark, valid_path):
+            earlier = spark.read.schema("alert_id string, batch_id long").parquet(valid_path).where(F.col("batch_id") < batch_id)
+            index.append(index.merge(earlier.select("alert_id", F.col("batch_id").alias("first_batch"))), batch_id - 1)
+        index.compact(batch_id)
         valid, rejected = ingest_alerts(batch, now=now)
         whole = F.to_json(F.struct(*valid.columns))
         order = Window.partitionBy("alert_id").orderBy("alert_time", whole)
         numbered = valid.withColumn("_n", F.row_number().over(order)).withColumn("payload", whole)
-        if batch_id > 0 and path_exists(spark, valid_path):
-            stored = spark.read.schema("alert_id string, batch_id long").parquet(valid_path).where(
-                F.col("batch_id") < batch_id).select("alert_id", F.lit(True).alias("_stored")).distinct()
-            numbered = numbered.join(stored, "alert_id", "left")
-        else:
-            numbered = numbered.withColumn("_stored", F.lit(None).cast("boolean"))
+        stored = index.read(batch_id, valid.select("alert_id")).select("alert_id", F.lit(True).alias("_stored"))
+        numbered = numbered.join(stored, "alert_id", "left")
         new = (F.col("_n") == 1) & F.col("_stored").isNull()
-        _write_batch(numbered.where(new).select(valid.columns), valid_path, batch_id)
+        accepted = numbered.where(new).select(valid.columns)
+        index.append(accepted.select("alert_id", F.lit(batch_id).cast("long").alias("first_batch")), batch_id)
+        _write_batch(accepted, valid_path, batch_id)
         again = numbered.where(~new).select("alert_id", "src_ip", F.array(F.lit("alert_id already exists")).alias("reasons"), "payload")
         _write_batch(rejected.unionByName(again), rejected_path, batch_id)
 
@@ -107,6 +121,30 @@ def dedup_stream(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
     return with_event_time(alerts).dropDuplicates(["alert_id"]).withWatermark("alert_time", delay)
 
 
+def dedup_with_rejects(alerts: DataFrame, accepted_path: str, rejected_path: str, index_path: str, checkpoint: str | None = None,
+                       trigger: dict | None = None, **tables):
+    """T2 with nothing lost from sight: the first alert of each id goes to one sink, each later one, with its
+    reason, to the other. Ids are kept in an index on shared storage (as T1), not in a state store."""
+    spark = alerts.sparkSession
+    index = id_index(spark, index_path, **tables)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        index.compact(batch_id)
+        whole = F.to_json(F.struct(*batch.columns))
+        stored = index.read(batch_id, batch.select("alert_id")).select(F.col("alert_id").alias("_id"), F.lit(True).alias("_stored"))
+        numbered = batch.withColumn("_n", F.row_number().over(Window.partitionBy("alert_id").orderBy("alert_time", whole))).join(
+            stored, F.col("alert_id").eqNullSafe(F.col("_id")), "left")
+        new = (F.col("_n") == 1) & F.col("_stored").isNull()
+        accepted = numbered.where(new).select(batch.columns)
+        index.append(accepted.select("alert_id", F.lit(batch_id).cast("long").alias("first_batch")), batch_id)
+        _write_batch(accepted, accepted_path, batch_id)
+        again = numbered.where(~new).select(*batch.columns, F.array(F.lit("alert_id already exists")).alias("reasons"))
+        _write_batch(again, rejected_path, batch_id)
+
+    w = alerts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint or new_table_path(spark, "dedup-checkpoint"))
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 # --------------------------------------------------------------------------- T3
 
 def start_cycle(stream_of_alerts: DataFrame, log_path: str, now_col: str = "processing_time",
