@@ -68,8 +68,9 @@ def _reasons(p: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(msg)) for cond, msg in checks]))
 
 
-def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """S2 + S3: (valid typed alerts, rejected rows with ``reasons``).
+def checked_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> DataFrame:
+    """S2 + S3 in one pass: every submission as a typed alert row with its ``reasons`` (none if it is valid)
+    and its ``payload``.
 
     The payload is parsed once per row and its fields come out of a generator
     (``inline``): the validity filter then reads materialised columns and is
@@ -79,12 +80,10 @@ def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tup
     parsed = raw.select(F.col(payload_col),
                         F.inline(F.array(F.from_json(F.col(payload_col), SUBMISSION))))
     parsed = parsed.select(F.col(payload_col), F.struct(*fields).alias("p"))
-    checked = parsed.withColumn("reasons", _reasons(F.col("p")))
-    ok = F.size("reasons") == 0
     p = F.col("p")
     created = ts_lit(now) if now is not None else p["alert_time"].try_cast("timestamp_ntz")
     ports = F.coalesce(F.from_json(p["destination_ports"], "array<int>"), F.array().cast("array<int>"))
-    valid = checked.filter(ok).select(
+    return parsed.select(
         p["alert_id"].alias("alert_id"), p["alert_name"].alias("alert_name"), p["rule_name"].alias("rule_name"),
         p["severity"].alias("severity"), p["alert_time"].try_cast("timestamp_ntz").alias("alert_time"),
         p["log_source"].alias("log_source"), p["src_ip"].alias("src_ip"), p["dest_ip"].alias("dest_ip"),
@@ -95,11 +94,20 @@ def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tup
         F.lit(None).cast("string").alias("llm_classification"), F.lit(None).cast("decimal(5,2)").alias("llm_confidence"),
         F.lit(None).cast("string").alias("llm_reason"), F.lit(None).cast("string").alias("llm_recommendation"),
         F.lit(None).cast("timestamp_ntz").alias("analyzed_at"), F.lit(STATUS_PENDING).alias("analysis_status"),
-        F.lit(None).cast("string").alias("triage_status"))
-    valid = with_direction(valid, "dest_ip", "direction")
-    rejected = checked.filter(~ok).select(p["alert_id"].alias("alert_id"), p["src_ip"].alias("src_ip"),
-                                          "reasons", F.col(payload_col).alias("payload"))
-    return valid, rejected
+        F.lit(None).cast("string").alias("triage_status"), _reasons(p).alias("reasons"), F.col(payload_col).alias("payload"))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid typed alerts, rejected rows with ``reasons``) of checked rows."""
+    ok = F.size("reasons") == 0
+    valid = with_direction(checked.where(ok).drop("reasons", "payload"), "dest_ip", "direction")
+    return valid, checked.where(~ok).select("alert_id", "src_ip", "reasons", "payload")
+
+
+def ingest_alerts(raw: DataFrame, now=None, payload_col: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """S2 + S3: (valid typed alerts, rejected rows with ``reasons``). Who uses both writes
+    ``checked_alerts`` once and splits that."""
+    return split_checked(checked_alerts(raw, now, payload_col))
 
 
 def primary_key_guard(batch: DataFrame, existing_ids: DataFrame, order: tuple = ("alert_time",)) -> tuple[DataFrame, DataFrame]:
@@ -154,5 +162,5 @@ def split_missing_id(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
-__all__ = ["ingest_alerts", "submissions_from_alerts", "primary_key_guard", "unwrap_payload",
+__all__ = ["ingest_alerts", "checked_alerts", "split_checked", "submissions_from_alerts", "primary_key_guard", "unwrap_payload",
            "retrieval_context", "split_missing_id", "ALERT_COLUMNS"]

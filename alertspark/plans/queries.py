@@ -18,7 +18,7 @@ from ..functions.normalize import (build_query, confidence_band, event_volume, p
                                    window_seconds)
 from ..functions.ti import ti_flat
 from ..operators import enrich, monitor, state, triage
-from ..operators.ingest import ingest_alerts, submissions_from_alerts
+from ..operators.ingest import checked_alerts, primary_key_guard, submissions_from_alerts
 from ..operators.joins import cidr_join
 from ..operators.knowledge import validate_records
 from ..operators.similarity import best_match, knn, squared_l2
@@ -41,18 +41,16 @@ def s1_alert_bulk_load(spark, sf):
 
 
 def s2_validated_ingest(spark, sf):
-    valid, rejected = ingest_alerts(submissions_from_alerts(_alerts(spark, sf)))
-    return valid.select("alert_id", "alert_time", "src_ip", "destination_ports", "event_count",
-                        "analysis_status", F.lit(None).cast("array<string>").alias("reasons")) \
-        .unionByName(rejected.select("alert_id", F.lit(None).cast("timestamp_ntz").alias("alert_time"),
-                                     "src_ip", F.lit(None).cast("array<int>").alias("destination_ports"),
-                                     F.lit(None).cast("int").alias("event_count"),
-                                     F.lit(None).cast("string").alias("analysis_status"), "reasons"))
+    # One pass: a rejected row shows its id, address and reasons only.
+    checked = checked_alerts(submissions_from_alerts(_alerts(spark, sf)))
+    ok = F.size("reasons") == 0
+    return checked.select("alert_id", "src_ip", *[F.when(ok, F.col(c)).alias(c) for c in ("alert_time", "destination_ports", "event_count", "analysis_status")],
+                          F.when(~ok, F.col("reasons")).alias("reasons"))
 
 
 def s3_constraint_check(spark, sf):
-    _, rejected = ingest_alerts(submissions_from_alerts(_alerts(spark, sf)))
-    return rejected.select("alert_id", F.explode("reasons").alias("reason")) \
+    checked = checked_alerts(submissions_from_alerts(_alerts(spark, sf)))
+    return checked.select("alert_id", F.explode("reasons").alias("reason")) \
         .groupBy("reason").agg(F.count("*").cast("bigint").alias("n"))
 
 
@@ -221,9 +219,9 @@ def j3_primary_key_guard(spark, sf):
     # Re-submission batch: ids re-keyed so consecutive events collide.
     eid = F.regexp_extract("alert_id", r"([0-9]+)$", 1).cast("bigint") - 100000
     incoming = a.withColumn("alert_id", F.concat(F.lit("ALT-"), (F.floor(eid / 2) * 2 + 100000).cast("string")))
-    first = state.first_per_id(incoming.select("alert_id", "alert_time", "rule_name", "src_ip"),
-                               ["alert_time", "rule_name", "src_ip"])
-    return first.join(existing, "alert_id", "left_anti")
+    accepted, _ = primary_key_guard(incoming.select("alert_id", "alert_time", "rule_name", "src_ip"), existing,
+                                    ("alert_time", "rule_name", "src_ip"))
+    return accepted
 
 
 def j4_ti_update(spark, sf):

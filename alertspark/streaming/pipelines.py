@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators import state, triage
 from ..operators.enrich import log_measures
-from ..operators.ingest import ingest_alerts
+from ..operators.ingest import checked_alerts, split_checked
 
 from ..schemas import ALERTS
 from ..session import delete_path, new_table_path, path_exists
@@ -69,6 +69,14 @@ def id_index(spark: SparkSession, path: str, **tables) -> KeyedTable:
     return KeyedTable(spark, path, "alert_id", "alert_id string, first_batch bigint", first, **tables)
 
 
+def _guarded(rows: DataFrame, index: KeyedTable, batch_id: int) -> DataFrame:
+    """``rows`` with ``_new``: the first of its id (by time, ties by the row's text), and no earlier batch has it."""
+    order = Window.partitionBy("alert_id").orderBy("alert_time", F.to_json(F.struct(*rows.columns)))
+    stored = index.read(batch_id, rows.select("alert_id")).select(F.col("alert_id").alias("_id"), F.lit(True).alias("_stored"))
+    numbered = rows.withColumn("_n", F.row_number().over(order)).join(stored, F.col("alert_id").eqNullSafe(F.col("_id")), "left")
+    return numbered.select(*rows.columns, ((F.col("_n") == 1) & F.col("_stored").isNull()).alias("_new"))
+
+
 def start_ingest(stream: DataFrame, valid_path: str, rejected_path: str, checkpoint: str | None = None,
                  trigger: dict | None = None, now=None, index_path: str | None = None, **tables):
     """T1 + S11: validate every micro-batch (S2/S3), keep the first alert of each id
@@ -88,18 +96,19 @@ def start_ingest(stream: DataFrame, valid_path: str, rejected_path: str, checkpo
             earlier = spark.read.schema("alert_id string, batch_id long").parquet(valid_path).where(F.col("batch_id") < batch_id)
             index.append(index.merge(earlier.select("alert_id", F.col("batch_id").alias("first_batch"))), batch_id - 1)
         index.compact(batch_id)
-        valid, rejected = ingest_alerts(batch, now=now)
-        whole = F.to_json(F.struct(*valid.columns))
-        order = Window.partitionBy("alert_id").orderBy("alert_time", whole)
-        numbered = valid.withColumn("_n", F.row_number().over(order)).withColumn("payload", whole)
-        stored = index.read(batch_id, valid.select("alert_id")).select("alert_id", F.lit(True).alias("_stored"))
-        numbered = numbered.join(stored, "alert_id", "left")
-        new = (F.col("_n") == 1) & F.col("_stored").isNull()
-        accepted = numbered.where(new).select(valid.columns)
-        index.append(accepted.select("alert_id", F.lit(batch_id).cast("long").alias("first_batch")), batch_id)
-        _write_batch(accepted, valid_path, batch_id)
-        again = numbered.where(~new).select("alert_id", "src_ip", F.array(F.lit("alert_id already exists")).alias("reasons"), "payload")
-        _write_batch(rejected.unionByName(again), rejected_path, batch_id)
+        # Parsed and checked once; the numbering, the probe and the sinks read that table.
+        path = new_table_path(spark, "ingest-checked")
+        try:
+            checked_alerts(batch, now=now).write.parquet(path)
+            valid, rejected = split_checked(spark.read.parquet(path))
+            numbered = _guarded(valid, index, batch_id).withColumn("payload", F.to_json(F.struct(*valid.columns)))
+            accepted = numbered.where("_new").select(valid.columns)
+            index.append(accepted.select("alert_id", F.lit(batch_id).cast("long").alias("first_batch")), batch_id)
+            _write_batch(accepted, valid_path, batch_id)
+            again = numbered.where("NOT _new").select("alert_id", "src_ip", F.array(F.lit("alert_id already exists")).alias("reasons"), "payload")
+            _write_batch(rejected.unionByName(again), rejected_path, batch_id)
+        finally:
+            delete_path(spark, path)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -130,15 +139,11 @@ def dedup_with_rejects(alerts: DataFrame, accepted_path: str, rejected_path: str
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         index.compact(batch_id)
-        whole = F.to_json(F.struct(*batch.columns))
-        stored = index.read(batch_id, batch.select("alert_id")).select(F.col("alert_id").alias("_id"), F.lit(True).alias("_stored"))
-        numbered = batch.withColumn("_n", F.row_number().over(Window.partitionBy("alert_id").orderBy("alert_time", whole))).join(
-            stored, F.col("alert_id").eqNullSafe(F.col("_id")), "left")
-        new = (F.col("_n") == 1) & F.col("_stored").isNull()
-        accepted = numbered.where(new).select(batch.columns)
+        numbered = _guarded(batch, index, batch_id)
+        accepted = numbered.where("_new").select(batch.columns)
         index.append(accepted.select("alert_id", F.lit(batch_id).cast("long").alias("first_batch")), batch_id)
         _write_batch(accepted, accepted_path, batch_id)
-        again = numbered.where(~new).select(*batch.columns, F.array(F.lit("alert_id already exists")).alias("reasons"))
+        again = numbered.where("NOT _new").select(*batch.columns, F.array(F.lit("alert_id already exists")).alias("reasons"))
         _write_batch(again, rejected_path, batch_id)
 
     w = alerts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint or new_table_path(spark, "dedup-checkpoint"))

@@ -126,9 +126,12 @@ def test_ids_are_guarded_by_the_index(spark, tmp_path):
     import os
     import time
 
-    from alertspark.operators.ingest import primary_key_guard, submissions_from_alerts
+    from alertspark.operators.ingest import ingest_alerts, primary_key_guard, submissions_from_alerts
 
-    lines = [json.dumps({"payload": r.payload}) for r in submissions_from_alerts(load_alerts(spark, SF_SMALL)).limit(40).collect()]
+    lines = [json.dumps({"payload": r.payload}) for r in submissions_from_alerts(load_alerts(spark, SF_SMALL)).limit(60).collect()]
+    good = ingest_alerts(spark.createDataFrame([(json.loads(x)["payload"],) for x in lines], "payload string"))[0]
+    good = {r.alert_id for r in good.select("alert_id").collect()}
+    lines = [x for x in lines if json.loads(json.loads(x)["payload"])["alert_id"] in good][:40]
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     os.makedirs(src)
 
@@ -143,7 +146,7 @@ def test_ids_are_guarded_by_the_index(spark, tmp_path):
         assert q.exception() is None
 
     sent = 0
-    for i, part in enumerate((lines[:10], lines[5:20], lines[15:20] * 2 + lines[20:30], lines[:1] + lines[30:])):
+    for i, part in enumerate((lines[:20], lines[15:20] * 2 + lines[20:30], lines[:1] + lines[30:])):
         run(i, part)
         sent += len(part)
     valid, rejected = spark.read.parquet(f"{out}/valid"), spark.read.parquet(f"{out}/rejected")
