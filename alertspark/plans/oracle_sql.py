@@ -599,3 +599,27 @@ ORACLE["j6_failsafe"] = with_alerts(
 
 ORACLE["s8_kb_point_lookup"] = (f"WITH {_KB} SELECT id, key, COALESCE(value, '') AS value FROM kb "
                                 "WHERE id = 'pattern_1_0'")
+
+# --------------------------------------------------------------------------- P8–P10, F12, T5
+
+ORACLE["p8_unwrap_payload"] = with_alerts(
+    "SELECT alert_id, CASE WHEN severity = 'High' THEN upper(rule_name) ELSE rule_name END AS rule_name, severity, protocol, event_count FROM alerts")
+ORACLE["p9_retrieval_context"] = with_alerts(
+    "SELECT alert_id, CASE WHEN analysis_status <> 'Pending' THEN COALESCE(protocol = 'TCP', false) ELSE COALESCE(severity = 'High', false) END AS has_context, "
+    "CASE WHEN analysis_status <> 'Pending' AND severity <> 'Low' THEN rule_name ELSE log_source END AS context_block FROM alerts")
+ORACLE["p10_missing_id"] = with_alerts(
+    "SELECT severity, severity IS NULL OR severity IN ('Low', 'Critical') AS rejected, count(*) AS n, "
+    "count(CASE WHEN severity <> 'Critical' THEN alert_id END) AS ids FROM alerts GROUP BY 1, 2")
+ORACLE["f12_threshold"] = with_alerts(
+    "SELECT alert_id, CASE WHEN event_count IS NOT NULL THEN ['>', '>=', '<', '<=', '=', '='][CAST(event_count % 6 AS INTEGER) + 1] END AS op, "
+    "CASE WHEN event_count % 6 <> 5 THEN CAST(event_count AS DOUBLE) * CASE WHEN event_count % 4 = 0 THEN 1e9 ELSE 1 END END AS bound FROM alerts")
+ORACLE["t5_threshold_windows"] = with_alerts(
+    f"SELECT w AS window_start, src_ip, count(DISTINCT alert_id) AS alerts, "
+    "CAST(sum(CASE WHEN i = 1 AND failed_log_count > 0 THEN COALESCE(event_count, 0) ELSE 0 END) AS BIGINT) AS failed_logins, "
+    "CAST(sum(CASE WHEN i = 1 THEN total_bytes END) AS BIGINT) AS bytes, count(DISTINCT port) AS probed_ports FROM ("
+    "SELECT *, unnest(ports) AS port, unnest(range(1, len(ports) + 1)) AS i FROM ("
+    "SELECT *, unnest([time_bucket(INTERVAL 30 SECOND, alert_time), time_bucket(INTERVAL 30 SECOND, alert_time) - INTERVAL 30 SECOND]) AS w, "
+    "CASE WHEN len(p) = 0 THEN [NULL] ELSE p END AS ports FROM ("
+    "SELECT *, list_concat(COALESCE(destination_ports, []), log_ports) AS p FROM ("
+    f"SELECT alert_id, alert_time, src_ip, event_count, destination_ports, {LOG_MEASURES} "
+    "FROM (SELECT *, COALESCE(json_extract(sample_logs, '$[*]'), []::JSON[]) AS logs FROM alerts) x)))) GROUP BY 1, 2")

@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from ..constants import IPV4_PRIVATE_NETWORKS, STATUS_PENDING, STATUS_PROCESSING
 from ..functions.context import context_blocks
 from ..functions.ip import classify_cols, ipv4_num, net_bounds, with_direction
-from ..functions.normalize import (build_query, confidence_band, event_volume, port_services,
-                                   window_seconds)
+from ..functions.normalize import (build_query, confidence_band, event_volume, port_services, threshold_op,
+                                   threshold_value, window_seconds)
 from ..functions.ti import ti_flat
 from ..operators import enrich, monitor, state, triage
-from ..operators.ingest import checked_alerts, primary_key_guard, submissions_from_alerts
+from ..operators.ingest import (checked_alerts, primary_key_guard, retrieval_context, split_missing_id,
+                                submissions_from_alerts, unwrap_payload)
 from ..operators.joins import cidr_join
 from ..operators.knowledge import validate_records
 from ..operators.similarity import best_match, knn, squared_l2
 from ..sources.alerts import load_alerts
 from ..sources.reference import load_reference
 from ..sources.tables import read_table
+from ..streaming.pipelines import threshold_windows
 
 NOW = "2024-02-01 00:00:00"
 CLAIM_N = 25
@@ -390,11 +392,53 @@ def f8_render_prompt(spark, sf):
     # P4 + J2 + P9 + F8: the model input and its rendered prompt for every alert
     # (rows-only check: the text embeds JSON renderings that differ by engine).
     from ..functions.context import model_input, render_prompt
-    from ..operators.ingest import retrieval_context
 
     p = model_input(enrich.attach_reference(retrieval_context(_alerts(spark, sf))))
     return p.select(F.col("_key").alias("alert_id"), render_prompt(p).alias("prompt"))
 
 
+def p8_unwrap_payload(spark, sf):
+    # Wrapped alerts whose direct fields override where they are given.
+    a = _alerts(spark, sf)
+    wrapped = a.select(F.struct("alert_id", "rule_name", "severity", "protocol").alias("alert"),
+                       F.when(F.col("severity") == "High", F.upper("rule_name")).alias("rule_name"),
+                       F.when(F.col("log_source") == "WAF", F.col("alert_id")).alias("alert_id"), "event_count")
+    return unwrap_payload(wrapped).select("alert_id", "rule_name", "severity", "protocol", "event_count")
+
+
+def p9_retrieval_context(spark, sf):
+    a = _alerts(spark, sf)
+    block = F.when(F.col("severity") != "Low", F.col("rule_name")).alias("context_block")
+    has = F.when(F.col("protocol").isNotNull(), F.col("protocol") == "TCP").alias("has_context")
+    nested = a.select("alert_id", F.when(F.col("analysis_status") != STATUS_PENDING, F.struct(has, block)).alias("rag"),
+                      (F.col("severity") == "High").alias("has_context"), F.col("log_source").alias("context_block"))
+    return retrieval_context(nested).select("alert_id", "has_context", "context_block")
+
+
+def p10_missing_id(spark, sf):
+    a = _alerts(spark, sf).withColumn("alert_id", F.when(F.col("severity") == "Low", "").when(F.col("severity") != "Critical", F.col("alert_id")))
+    good, bad = split_missing_id(a)
+    both = good.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True)))
+    return both.groupBy("severity", "rejected").agg(F.count("*").cast("bigint").alias("n"), F.count("alert_id").cast("bigint").alias("ids"))
+
+
+def f12_threshold(spark, sf):
+    # Threshold texts of every shape from the alerts' counts.
+    n = F.col("event_count")
+    text = F.concat(F.element_at(F.array(*[F.lit(x) for x in (">", ">= ", "<", "<=", "", "about ")]), F.pmod(n, F.lit(6)) + 1), n.cast("string"),
+                    F.when(n % 4 == 0, "GB").otherwise(""))
+    a = _alerts(spark, sf).select("alert_id", text.alias("t"))
+    return a.select("alert_id", threshold_op(F.col("t")).alias("op"), threshold_value(F.col("t")).alias("bound"))
+
+
+def t5_threshold_windows(spark, sf):
+    # The batch form of the stream: ports, failed logins and bytes per source on sliding windows.
+    ports, volume = threshold_windows(_alerts(spark, sf))
+    p = ports.select(F.col("w.start").alias("_w"), F.col("src_ip").alias("_s"), "probed_ports")
+    both = volume.join(p, (F.col("w.start") == F.col("_w")) & F.col("src_ip").eqNullSafe(F.col("_s")))
+    return both.select(F.col("_w").cast("timestamp_ntz").alias("window_start"), "src_ip", "alerts", "failed_logins", "bytes",
+                       F.col("probed_ports").cast("bigint").alias("probed_ports"))
+
+
 QUERIES = {name: fn for name, fn in globals().items()
-           if callable(fn) and name[:1] in "sfpjgo" and name[1:2].isdigit()}
+           if callable(fn) and name[:1] in "sfpjgot" and name[1:2].isdigit()}
