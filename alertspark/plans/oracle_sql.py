@@ -467,6 +467,24 @@ _nets = ", ".join(f"('{a}/{p}', {net_bounds(a, p)[0]}, {net_bounds(a, p)[1]})" f
 ORACLE["j10_cidr_containment"] = with_alerts(
     f"SELECT a.alert_id, n.network FROM alerts a JOIN nets n ON {_num('a.src_ip')} BETWEEN n.lo AND n.hi",
     f"nets(network, lo, hi) AS (VALUES {_nets})")
+# Both families as ranges of numbers: IPv4 whole, IPv6 by its first 48 bits.
+_hex6 = "'2002:' || printf('%x', {v} // 65536) || ':' || printf('%x', {v} % 65536) || '::/'"
+_dots = "concat_ws('.', {v} // 16777216, {v} // 65536 % 256, {v} // 256 % 256, {v} % 256)"
+_cut_nets = " UNION ".join(
+    [f"SELECT {_dots.format(v='c')} || '/{p}' AS network, 4 AS family, c AS lo, c + {2 ** (32 - p) - 1} AS hi "
+     f"FROM (SELECT n // {2 ** (32 - p)} * {2 ** (32 - p)} AS c FROM items WHERE n IS NOT NULL)" for p in (8, 16, 20)]
+    + [f"SELECT {_hex6.format(v='c')} || '{16 + p}', 6, {0x2002 << 32} + c, {0x2002 << 32} + c + {2 ** (32 - p) - 1} "
+       f"FROM (SELECT n // {2 ** (32 - p)} * {2 ** (32 - p)} AS c FROM items WHERE n IS NOT NULL)" for p in (8, 16)])
+ORACLE["j10_networks_in_networks"] = with_alerts(
+    "SELECT r.alert_id, r.item, n.network FROM ranges r JOIN cut_nets n "
+    "ON r.family = n.family AND r.lo >= n.lo AND r.hi <= n.hi",
+    f"items AS (SELECT alert_id, src_ip, {_num('src_ip')} AS n, CAST(regexp_extract(alert_id, '([0-9]+)$', 1) AS BIGINT) AS e FROM alerts), "
+    f"ranges AS (SELECT alert_id, src_ip AS item, 4 AS family, n AS lo, n AS hi FROM items WHERE n IS NOT NULL AND e % 3 = 0 "
+    "UNION ALL SELECT alert_id, src_ip || '/' || (8 + e % 25), 4, n // (1 << (24 - e % 25)) * (1 << (24 - e % 25)), "
+    "(n // (1 << (24 - e % 25)) + 1) * (1 << (24 - e % 25)) - 1 FROM items WHERE n IS NOT NULL AND e % 3 = 1 "
+    f"UNION ALL SELECT alert_id, {_hex6.format(v='n')} || (16 + e % 33), 6, {0x2002 << 32} + n // (1::BIGINT << (32 - e % 33)) * (1::BIGINT << (32 - e % 33)), "
+    f"{0x2002 << 32} + (n // (1::BIGINT << (32 - e % 33)) + 1) * (1::BIGINT << (32 - e % 33)) - 1 FROM items WHERE n IS NOT NULL AND e % 3 = 2), "
+    f"cut_nets AS ({_cut_nets})")
 ORACLE["j11_segmentation"] = with_alerts(
     f"SELECT alert_id, seg_rule, seg_status FROM (SELECT a.alert_id, s.rule_idx AS seg_rule, "
     f"CASE WHEN a.src_ip = s.exception_ip THEN 'exception' WHEN s.allowed THEN 'allowed' ELSE 'violation' END AS seg_status, "

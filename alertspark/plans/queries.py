@@ -8,7 +8,7 @@ its work grows with the data. Result columns are aliased to match
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import IPV4_PRIVATE_NETWORKS, STATUS_PENDING, STATUS_PROCESSING
@@ -22,6 +22,7 @@ from ..operators.ingest import (checked_alerts, primary_key_guard, retrieval_con
                                 submissions_from_alerts, unwrap_payload)
 from ..operators.joins import cidr_join
 from ..operators.knowledge import validate_records
+from ..operators.prefixes import prefix_join
 from ..operators.similarity import best_match, knn, squared_l2
 from ..sources.alerts import load_alerts
 from ..sources.reference import load_reference
@@ -275,6 +276,28 @@ def j10_cidr_containment(spark, sf):
     return cidr_join(a, ipv4_num(F.col("src_ip")), F.broadcast(nets)).select("alert_id", "network")
 
 
+def j10_networks_in_networks(spark, sf):
+    # Addresses, IPv4 networks and their 6to4 networks in the networks that the alerts' sources form.
+    a = _alerts(spark, sf).select("alert_id", "src_ip", ipv4_num(F.col("src_ip")).alias("n"),
+                                  F.regexp_extract("alert_id", r"([0-9]+)$", 1).cast("bigint").alias("e"))
+    num, e = F.col("n"), F.col("e")
+
+    def text6(value: Column, length: Column) -> Column:
+        return F.concat(F.lit("2002:"), F.lower(F.hex(F.shiftright(value, 16))), F.lit(":"),
+                        F.lower(F.hex(F.pmod(value, F.lit(65536)))), F.lit("::/"), length.cast("string"))
+
+    def text4(value: Column, length: int) -> Column:
+        octets = [F.pmod(F.shiftright(value, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]
+        return F.concat(F.concat_ws(".", *octets), F.lit(f"/{length}"))
+
+    item = F.when(num.isNull(), None).when(e % 3 == 0, F.col("src_ip")) \
+        .when(e % 3 == 1, F.concat("src_ip", F.lit("/"), (8 + e % 25).cast("string"))).otherwise(text6(num, 16 + e % 33))
+    cut = [F.shiftleft(F.shiftright(num, 32 - n), 32 - n) for n in (8, 16, 20)]
+    nets = F.array(text4(cut[0], 8), text4(cut[1], 16), text4(cut[2], 20), text6(cut[0], F.lit(24)), text6(cut[1], F.lit(32)))
+    networks = a.where("n is not null").select(F.explode(nets).alias("network")).distinct()
+    return prefix_join(a.select("alert_id", item.alias("item")), "item", networks)
+
+
 def j11_segmentation(spark, sf):
     out = enrich.segmentation_check(_alerts(spark, sf), load_reference(spark)["segmentation"])
     return out.filter(F.col("seg_status").isNotNull()).select("alert_id", "seg_rule", "seg_status")
