@@ -1,10 +1,17 @@
 """Exact top-k similarity join.
 
-One plan for every size. Queries are dealt into groups that fit a byte budget and
-stay there; KB vectors are sent to every group, and only they are copied. A
-task reads its group's queries, then streams the KB past them in tiles of bounded bytes
-with a running top-k, so memory depends on neither side's size and nothing passes the
-driver. Each query's k rows come from one task, already ranked.
+Work is dealt into 2-D tiles. Queries go into cells around pivots (cells over a byte budget
+are split), KB vectors into blocks; a task holds one cell's queries and streams one block past them in
+tiles of bounded bytes with a running top-k, and the blocks' answers are merged per query. Memory
+depends on neither side's size, and nothing passes the driver but pivots and their bounds.
+
+A KB vector goes only to cells that it can improve. With d the distance, p a pivot and K(p) the
+distance from p to its k-th nearest KB row, a query's k-th distance is at most d(q, p) + K(p) for every p; a cell
+keeps the greatest of these bounds and, per pivot, the range of its queries' distances. By the
+triangle inequality a vector whose distance to any pivot is further outside that range than the bound
+is no neighbour of any query of the cell. Nothing is lost: where bounds rule nothing out (random
+vectors of many dimensions), every vector goes to every cell. There are as many cells as
+the queries' bytes ask for and no more, so one cell's worth of queries copies no KB vector.
 
 Distances are squared L2 in float64. Candidates of a tile are selected by the matrix
 product form with a small tolerance; they are re-scored with the direct difference formula
@@ -17,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +33,16 @@ from ..constants import MAX_TOP_K
 #: Bytes of query vectors a task holds, and of a tile of distances.
 GROUP_BYTES = 32 << 20
 TILE_BYTES = 32 << 20
+#: Most bytes of KB vectors a task streams, and the least that are worth a task of their own.
+BLOCK_BYTES = 256 << 20
+LEAST_BLOCK_BYTES = 1 << 20
+#: Most pivots, and the bytes of query vectors they are picked from.
+PIVOTS = 64
+SAMPLE_BYTES = 32 << 20
+#: Relative rounding allowed for in bounds; a distance's own is below (dimensions + 2) * 2 ** -52.
+ROUNDING = 1e-9
 
-RESULT = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("distance", T.DoubleType()),
-    T.StructField("rank", T.IntegerType()),
-])
+HITS = "query_id string, vec_key long, copies long, id string, distance double, rank int"
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -79,30 +89,33 @@ def _prepare(df: DataFrame, id_col: str, vec_col: str, out_id: str) -> DataFrame
 
 def _scored(k: int, exclude_self: bool, tile_bytes: int):
     def run(batches):
-        group, ids, mats, state = None, [], [], None
+        group, ids, mats, keys, state = None, [], [], [], None
 
         def result():
             best = state[2]
             if len(best):
+                at = best["q"].to_numpy(dtype=int)
+                who = state[4].iloc[at].reset_index(drop=True)
                 rank = best.groupby("q").cumcount() + 1
-                yield pd.DataFrame({"query_id": state[0][best["q"].to_numpy(dtype=int)], "id": best["id"], "distance": best["distance"],
-                                    "rank": rank.astype("int32")})
+                yield pd.DataFrame({"query_id": state[0][at], "vec_key": who["vec_key"], "copies": who["copies"], "id": best["id"],
+                                    "distance": best["distance"], "rank": rank.astype("int32")})
 
         for batch in batches:
             for (g, side), part in batch.groupby(["g", "side"], sort=True):
                 if g != group:
                     if state is not None:
                         yield from result()
-                    group, ids, mats, state = g, [], [], None
+                    group, ids, mats, keys, state = g, [], [], [], None
                 if side == 0:
                     ids.append(part["id"].to_numpy(dtype=object))
                     mats.append(_matrix(part["vec"]))
+                    keys.append(part[["vec_key", "copies"]])
                     continue
                 if not ids:
                     continue
                 if state is None:
                     empty = pd.DataFrame({"q": np.empty(0, int), "id": np.empty(0, object), "distance": np.empty(0)})
-                    state = [np.concatenate(ids), np.vstack(mats), empty, np.full(sum(map(len, ids)), np.inf)]
+                    state = [np.concatenate(ids), np.vstack(mats), empty, np.full(sum(map(len, ids)), np.inf), pd.concat(keys)]
                 rows = max(1, tile_bytes // (8 * len(state[0])))
                 for a in range(0, len(part), rows):
                     tile = part.iloc[a:a + rows]
@@ -113,18 +126,149 @@ def _scored(k: int, exclude_self: bool, tile_bytes: int):
     return run
 
 
+# --------------------------------------------------------------------------- cells and bounds
+
+def _to_pivots(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Distances of vectors (rows) to pivots (columns), by the direct form."""
+    rows = max(1, TILE_BYTES // (8 * pivots.shape[1]))
+    parts = []
+    for a in range(0, len(vecs), rows):
+        mat = _matrix(vecs.iloc[a:a + rows])
+        parts.append(np.stack([np.sqrt(((mat - p) ** 2).sum(axis=1)) for p in pivots], axis=1))
+    return np.concatenate(parts) if parts else np.zeros((0, len(pivots)))
+
+
+def _pick_pivots(q: DataFrame, n: int) -> np.ndarray:
+    """Up to ``n`` query vectors far from one another, out of a sample of bounded bytes."""
+    width = q.agg(F.max(F.size("vec"))).first()[0]
+    sample = q.orderBy(F.xxhash64("id", F.lit(1)), "vec_key").limit(max(1, min(16 * n, SAMPLE_BYTES // (8 * max(width, 1))))).select("vec").collect()
+    mat = np.array([r.vec for r in sample], dtype=np.float64)
+    mat = mat[np.isfinite(mat).all(axis=1)]
+    if not len(mat):
+        return np.zeros((1, width))
+    picks, far = [0], ((mat - mat[0]) ** 2).sum(axis=1)
+    while len(picks) < n and far.max() > 0:
+        picks.append(int(far.argmax()))
+        far = np.minimum(far, ((mat - mat[picks[-1]]) ** 2).sum(axis=1))
+    return mat[picks]
+
+
+def _kth_of_pivots(b: DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
+    """Each pivot's distance to its k-th nearest id of the KB (infinite with fewer ids)."""
+    def nearest(batches):
+        best = pd.DataFrame({"c": np.empty(0, "int32"), "id": np.empty(0, object), "d": np.empty(0)})
+        for batch in batches:
+            d = _to_pivots(batch["vec"], pivots)
+            new = pd.DataFrame({"c": np.tile(np.arange(len(pivots), dtype="int32"), len(batch)), "id": np.repeat(batch["id"].to_numpy(dtype=object), len(pivots)), "d": d.ravel()})
+            kth = best.groupby("c")["d"].max().reindex(range(len(pivots))).to_numpy() if len(best) >= k * len(pivots) else np.full(len(pivots), np.inf)
+            new = new[np.isfinite(new["d"]) & (new["d"] <= kth[new["c"]])]
+            both = pd.concat([best, new], ignore_index=True).sort_values(["c", "d", "id"]).drop_duplicates(["c", "id"])
+            best = both.groupby("c", sort=False).head(k)
+        yield best
+
+    w = Window.partitionBy("c").orderBy("d", "id")
+    rows = b.mapInPandas(nearest, "c int, id string, d double").groupBy("c", "id").agg(F.min("d").alias("d")) \
+        .withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).where(F.col("n") == k).collect()
+    out = np.full(len(pivots), np.inf)
+    for r in rows:
+        out[r.c] = r.d
+    return out
+
+
+def _cell_bounds(q: DataFrame, pivots: np.ndarray, cells: int, kth: np.ndarray):
+    """Per cell: bytes, ranges of its queries' distances to each pivot, and a bound on
+    its queries' k-th distances. Cells x pivots rows reach the driver, at most PIVOTS squared."""
+    n = len(pivots)
+
+    def ranges(batches):
+        lo, hi = np.full((cells, n), np.inf), np.full((cells, n), -np.inf)
+        top, size = np.full(cells, -np.inf), np.zeros(cells)
+        for batch in batches:
+            d = _to_pivots(batch["vec"], pivots)
+            cell = d[:, :cells].argmin(axis=1)
+            np.add.at(size, cell, 8 * batch["vec"].map(len).to_numpy())
+            fine = np.isfinite(d).all(axis=1)
+            cell, d = cell[fine], d[fine]
+            np.minimum.at(lo, cell, d)
+            np.maximum.at(hi, cell, d)
+            np.maximum.at(top, cell, (d + kth).min(axis=1))
+        c, j = np.divmod(np.arange(cells * n), n)
+        yield pd.DataFrame({"c": c, "j": j, "lo": lo.ravel(), "hi": hi.ravel(), "top": top[c], "size": size[c]})
+
+    lo, hi = np.full((cells, n), np.inf), np.full((cells, n), -np.inf)
+    top, size = np.full(cells, -np.inf), np.zeros(cells)
+    for r in q.mapInPandas(ranges, "c int, j int, lo double, hi double, top double, size double").groupBy("c", "j").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"), F.sum("size").alias("size")).collect():
+        lo[r.c, r.j], hi[r.c, r.j], top[r.c], size[r.c] = r.lo, r.hi, r.top, r["size"]
+    return lo, hi, top, size
+
+
+def _deal(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, group_bytes: int) -> tuple[DataFrame, int, int]:
+    """Both sides' rows with the tile ``g`` they go to, the number of tiles and of blocks."""
+    spark = q.sparkSession
+    total = [df.agg(F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)) * 8).first()[0] for df in (q, b)]
+    groups = max(1, math.ceil(total[0] / group_bytes))
+    spare = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / groups)
+    blocks = max(1, math.ceil(total[1] / BLOCK_BYTES), min(spare, math.ceil(total[1] / LEAST_BLOCK_BYTES)))
+    q = q.withColumn("h", F.xxhash64("id", "vec_key"))
+    b = b.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
+    if groups == 1:
+        rows = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(0).alias("side"), "id", "vec", "vec_key", "copies") \
+            .unionByName(b.select(F.col("block").alias("g"), F.lit(1).alias("side"), "id", "vec"), allowMissingColumns=True)
+        return rows, blocks, blocks
+    pivots = _pick_pivots(q, min(PIVOTS, max(groups, 8)))
+    cells = min(groups, len(pivots))
+    kth = _kth_of_pivots(b, pivots, k + exclude_self)
+    lo, hi, top, size = _cell_bounds(q, pivots, cells, kth)
+    subs = np.maximum(1, np.ceil(size / group_bytes)).astype(int)
+    first = np.concatenate([[0], np.cumsum(subs)[:-1]])
+    vec = q.schema["vec"].dataType.simpleString()
+
+    def place_queries(batches):
+        for batch in batches:
+            cell = _to_pivots(batch["vec"], pivots)[:, :cells].argmin(axis=1)
+            group = first[cell] + batch["h"].to_numpy() % subs[cell]
+            for block in range(blocks):
+                yield pd.DataFrame({"g": (group * blocks + block).astype("int32"), "side": 0, "id": batch["id"], "vec": batch["vec"],
+                                    "vec_key": batch["vec_key"], "copies": batch["copies"]})
+
+    def place_kb(batches):
+        for batch in batches:
+            d = _to_pivots(batch["vec"], pivots)
+            for c in np.flatnonzero(size):
+                with np.errstate(invalid="ignore"):
+                    gap = np.maximum(lo[c] - d, d - hi[c]) - ROUNDING * (d + np.abs(hi[c]))
+                    part = batch[~(gap.max(axis=1) > top[c] * (1 + ROUNDING))]
+                for s in range(subs[c] if len(part) else 0):
+                    yield pd.DataFrame({"g": ((first[c] + s) * blocks + part["block"]).astype("int32"), "side": 1, "id": part["id"], "vec": part["vec"]})
+
+    rows = q.mapInPandas(place_queries, f"g int, side int, id string, vec {vec}, vec_key long, copies long").unionByName(
+        b.mapInPandas(place_kb, f"g int, side int, id string, vec {vec}"), allowMissingColumns=True)
+    return rows, int(subs.sum()) * blocks, blocks
+
+
+def _sides(queries: DataFrame, kb: DataFrame, query_id: str, query_vec: str, kb_id: str, kb_vec: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides' (id, vec), vectors of one type; equal query rows as one with their number."""
+    q, b = _prepare(queries, query_id, query_vec, "id"), _prepare(kb, kb_id, kb_vec, "id")
+    if q.schema["vec"].dataType != b.schema["vec"].dataType:
+        q, b = [df.withColumn("vec", F.col("vec").cast("array<double>")) for df in (q, b)]
+    q = q.groupBy("id", "vec").agg(F.count("*").alias("copies")).withColumn("vec_key", F.xxhash64("vec"))
+    return q, b
+
+
 def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id",
         query_vec: str = "embedding", kb_id: str = "id", kb_vec: str = "embedding",
         exclude_self: bool = False, group_bytes: int = GROUP_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """J7 + O2: (query_id, id, distance, rank) for the k nearest KB rows per query.
-    Rows with a null vector are no neighbours and get none."""
-    q = _prepare(queries, query_id, query_vec, "id")
-    b = _prepare(kb, kb_id, kb_vec, "id")
-    size = q.agg(F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)) * 8).first()[0]
-    groups = max(1, math.ceil(size / group_bytes), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = q.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("side"), "id", "vec").unionByName(
-        b.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("side"), "id", "vec"))
-    return rows.repartition(groups, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(clamp_k(k), exclude_self, tile_bytes), RESULT)
+    Rows with a null vector are no neighbours and get none; repeated query rows get their hits each."""
+    k = clamp_k(k)
+    q, b = _sides(queries, kb, query_id, query_vec, kb_id, kb_vec)
+    rows, tiles, blocks = _deal(q, b, k, exclude_self, group_bytes)
+    hits = rows.repartition(tiles, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(k, exclude_self, tile_bytes), HITS)
+    if blocks > 1:
+        w = Window.partitionBy("query_id", "vec_key").orderBy("distance", "id")
+        hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("query_id", "id", "distance", "rank")
 
 
 def best_match(hits: DataFrame) -> DataFrame:
