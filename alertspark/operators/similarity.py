@@ -11,7 +11,8 @@ keeps the greatest of these bounds and, per pivot, the range of its queries' dis
 triangle inequality a vector whose distance to any pivot is further outside that range than the bound
 is no neighbour of any query of the cell. Nothing is lost: where bounds rule nothing out (random
 vectors of many dimensions), every vector goes to every cell. There are as many cells as
-the queries' bytes ask for and no more, so one cell's worth of queries copies no KB vector.
+the queries' bytes ask for and no more; queries that fit one task need no pivots and are only split as far
+as it saves copies of the two sides together.
 
 Distances are squared L2 in float64. Candidates of a tile are selected by the matrix
 product form with a small tolerance; they are re-scored with the direct difference formula
@@ -33,9 +34,9 @@ from ..constants import MAX_TOP_K
 #: Bytes of query vectors a task holds, and of a tile of distances.
 GROUP_BYTES = 32 << 20
 TILE_BYTES = 32 << 20
-#: Most bytes of KB vectors a task streams, and the least that are worth a task of their own.
+#: Most bytes of KB vectors a task streams, and the side of the least tile that is worth a task of its own.
 BLOCK_BYTES = 256 << 20
-LEAST_BLOCK_BYTES = 1 << 20
+LEAST_TILE_BYTES = 1 << 20
 #: Most pivots, and the bytes of query vectors they are picked from.
 PIVOTS = 64
 SAMPLE_BYTES = 32 << 20
@@ -203,21 +204,24 @@ def _cell_bounds(q: DataFrame, pivots: np.ndarray, cells: int, kth: np.ndarray):
     return lo, hi, top, size
 
 
-def _deal(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, group_bytes: int) -> tuple[DataFrame, int, int]:
-    """Both sides' rows with the tile ``g`` they go to, the number of tiles and of blocks."""
-    spark = q.sparkSession
-    total = [df.agg(F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0)) * 8).first()[0] for df in (q, b)]
-    groups = max(1, math.ceil(total[0] / group_bytes))
-    spare = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / groups)
-    blocks = max(1, math.ceil(total[1] / BLOCK_BYTES), min(spare, math.ceil(total[1] / LEAST_BLOCK_BYTES)))
+def _deal(q: DataFrame, b: DataFrame, total: tuple[int, int], k: int, exclude_self: bool, group_bytes: int) -> tuple[DataFrame, int, int]:
+    """Both sides' rows with the tile ``g`` they go to, the number of tiles and of blocks. ``total``: the sides' bytes."""
+    needed = max(1, math.ceil(total[0] / group_bytes))
+    tasks = max(1, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[0] * total[1] / LEAST_TILE_BYTES ** 2)))
+    # Queries that fit one task are dealt by digest, in as many groups as make the copies of both sides fewest.
+    groups = needed if needed > 1 or not total[1] else min(tasks, max(1, round(math.sqrt(tasks * total[0] / total[1]))))
+    blocks = max(1, math.ceil(total[1] / BLOCK_BYTES), math.ceil(tasks / groups))
     q = q.withColumn("h", F.xxhash64("id", "vec_key"))
     b = b.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
-    if groups == 1:
-        rows = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(0).alias("side"), "id", "vec", "vec_key", "copies") \
-            .unionByName(b.select(F.col("block").alias("g"), F.lit(1).alias("side"), "id", "vec"), allowMissingColumns=True)
-        return rows, blocks, blocks
-    pivots = _pick_pivots(q, min(PIVOTS, max(groups, 8)))
-    cells = min(groups, len(pivots))
+    if needed == 1:
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        group = F.pmod("h", F.lit(groups)).cast("int")
+        rows = q.withColumn("block", each(blocks)).select((group * blocks + F.col("block")).alias("g"), F.lit(0).alias("side"), "id", "vec", "vec_key", "copies") \
+            .unionByName(b.withColumn("group", each(groups)).select((F.col("group") * blocks + F.col("block")).alias("g"), F.lit(1).alias("side"), "id", "vec"),
+                         allowMissingColumns=True)
+        return rows, groups * blocks, blocks
+    pivots = _pick_pivots(q, min(PIVOTS, max(needed, 8)))
+    cells = min(needed, len(pivots))
     kth = _kth_of_pivots(b, pivots, k + exclude_self)
     lo, hi, top, size = _cell_bounds(q, pivots, cells, kth)
     subs = np.maximum(1, np.ceil(size / group_bytes)).astype(int)
@@ -247,13 +251,16 @@ def _deal(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, group_bytes: i
     return rows, int(subs.sum()) * blocks, blocks
 
 
-def _sides(queries: DataFrame, kb: DataFrame, query_id: str, query_vec: str, kb_id: str, kb_vec: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides' (id, vec), vectors of one type; equal query rows as one with their number."""
+def _sides(queries: DataFrame, kb: DataFrame, query_id: str, query_vec: str, kb_id: str, kb_vec: str) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Both sides' (id, vec), vectors of one type; equal query rows as one with their number; their bytes."""
     q, b = _prepare(queries, query_id, query_vec, "id"), _prepare(kb, kb_id, kb_vec, "id")
     if q.schema["vec"].dataType != b.schema["vec"].dataType:
         q, b = [df.withColumn("vec", F.col("vec").cast("array<double>")) for df in (q, b)]
+    size = F.size("vec").cast("long") * 8
+    found = q.select(F.lit(0).alias("side"), size.alias("n")).union(b.select(F.lit(1), size)).groupBy("side").agg(F.sum("n").alias("n")).collect()
+    total = {r.side: r.n for r in found}
     q = q.groupBy("id", "vec").agg(F.count("*").alias("copies")).withColumn("vec_key", F.xxhash64("vec"))
-    return q, b
+    return q, b, (total.get(0, 0), total.get(1, 0))
 
 
 def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id",
@@ -262,8 +269,8 @@ def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id
     """J7 + O2: (query_id, id, distance, rank) for the k nearest KB rows per query.
     Rows with a null vector are no neighbours and get none; repeated query rows get their hits each."""
     k = clamp_k(k)
-    q, b = _sides(queries, kb, query_id, query_vec, kb_id, kb_vec)
-    rows, tiles, blocks = _deal(q, b, k, exclude_self, group_bytes)
+    q, b, total = _sides(queries, kb, query_id, query_vec, kb_id, kb_vec)
+    rows, tiles, blocks = _deal(q, b, total, k, exclude_self, group_bytes)
     hits = rows.repartition(tiles, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(k, exclude_self, tile_bytes), HITS)
     if blocks > 1:
         w = Window.partitionBy("query_id", "vec_key").orderBy("distance", "id")

@@ -48,7 +48,7 @@ def test_vectors_go_where_they_can_matter(spark):
 
 
 def test_own_id_repeated_rows_nulls_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "LEAST_BLOCK_BYTES", 512)
+    monkeypatch.setattr(similarity, "LEAST_TILE_BYTES", 512)
     rng = np.random.default_rng(7)
     m = rng.normal(size=(60, 4)) * 0.01 + np.repeat(np.eye(4), 15, axis=0)
     e = _frame(spark, m, "v")
