@@ -271,7 +271,7 @@ def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id
     k = clamp_k(k)
     q, b, total = _sides(queries, kb, query_id, query_vec, kb_id, kb_vec)
     rows, tiles, blocks = _deal(q, b, total, k, exclude_self, group_bytes)
-    hits = rows.repartition(tiles, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(k, exclude_self, tile_bytes), HITS)
+    hits = rows.repartitionById(tiles, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(k, exclude_self, tile_bytes), HITS)
     if blocks > 1:
         w = Window.partitionBy("query_id", "vec_key").orderBy("distance", "id")
         hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
