@@ -10,13 +10,15 @@ distance from p to its k-th nearest KB row, a query's k-th distance is at most d
 keeps the greatest of these bounds and, per pivot, the range of its queries' distances. By the
 triangle inequality a vector whose distance to any pivot is further outside that range than the bound
 is no neighbour of any query of the cell. Nothing is lost: where bounds rule nothing out (random
-vectors of many dimensions), every vector goes to every cell. There are as many cells as
-the queries' bytes ask for and no more; queries that fit one task need no pivots and are only split as far
-as it saves copies of the two sides together.
+vectors of many dimensions), every vector goes to every cell. Groups of queries and
+blocks of the KB are as many as memory asks for and the cores can use, in the proportion that makes the copies of the
+two sides fewest; queries that fit one task need no pivots.
 
 Distances are squared L2 in float64. Candidates of a tile are selected by the matrix
 product form with a small tolerance; they are re-scored with the direct difference formula
-and ordered by (distance, id), so ties and rounding match a direct evaluation.
+and ordered by (distance, id), so ties and rounding match a direct evaluation. A task gets the KB by id, so
+a later row of an equal distance never displaces an earlier one, and a tile costs one product, one comparison and
+a merge of those rows alone that improve a query. A null id comes last.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ from ..constants import MAX_TOP_K
 
 #: Bytes of query vectors a task holds, and of a tile of distances.
 GROUP_BYTES = 32 << 20
-TILE_BYTES = 32 << 20
+TILE_BYTES = 2 << 20
 #: Most bytes of KB vectors a task streams, and the side of the least tile that is worth a task of its own.
 BLOCK_BYTES = 256 << 20
-LEAST_TILE_BYTES = 1 << 20
+LEAST_TILE_BYTES = 768 << 10
+#: Tiles, where the tables are no larger than memory asks for: so many or three a core. Copies of both sides grow with their root.
+TASKS = 32
 #: Most pivots, and the bytes of query vectors they are picked from.
 PIVOTS = 64
 SAMPLE_BYTES = 32 << 20
@@ -57,26 +61,95 @@ def clamp_k(k: int) -> int:
     return min(max(1, int(k)), MAX_TOP_K)
 
 
-def _tile(q_ids, q_mat, kb_ids, kb_mat, best: pd.DataFrame, bound: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """``best`` (q, id, distance; k rows a query) with the rows of one tile merged
-    in. ``bound``: each query's k-th distance so far, updated in place."""
-    norms = np.einsum("ij,ij->i", q_mat, q_mat)[:, None] + np.einsum("ij,ij->i", kb_mat, kb_mat)[None, :]
-    # The rounding of |q|^2 + |k|^2 - 2qk is relative to the norms, not to the distance.
-    slack = 4 * (q_mat.shape[1] + 4) * np.finfo(float).eps * norms
-    approx = norms - 2.0 * (q_mat @ kb_mat.T)
-    if exclude_self:
-        approx[q_ids[:, None] == kb_ids[None, :]] = np.inf
-    kk = min(k, kb_mat.shape[0])
-    limit = np.minimum(bound, np.partition(approx + slack, kk - 1, axis=1)[:, kk - 1] if kk == k else np.inf)
-    qi, ki = np.nonzero((approx - slack <= limit[:, None]) & np.isfinite(approx))
-    exact = np.concatenate([((kb_mat[ki[a:a + 65536]] - q_mat[qi[a:a + 65536]]) ** 2).sum(axis=1) for a in range(0, len(qi), 65536)] or [np.empty(0)])
-    both = pd.concat([best, pd.DataFrame({"q": qi, "id": kb_ids[ki], "distance": exact})], ignore_index=True)
-    best = both.sort_values(["q", "distance", "id"]).groupby("q", sort=False).head(k).reset_index(drop=True)
-    size = np.bincount(best["q"], minlength=len(bound))
-    kth = best.groupby("q")["distance"].max()
-    full = kth[size[kth.index] == k]
-    bound[full.index] = full.to_numpy()
-    return best
+class _Nearest:
+    """The queries of a tile and their ``k`` best so far: distances and places of KB rows, by (distance, place)."""
+
+    def __init__(self, ids: np.ndarray, mat: np.ndarray, k: int, exclude_self: bool, tile_bytes: int):
+        self.k, self.dims = k, mat.shape[1]
+        # The rounding of |q|^2 + |k|^2 - 2qk is relative to the norms, not to the distance.
+        self.slack = 4 * (self.dims + 4) * np.finfo(float).eps
+        self.norms = np.einsum("ij,ij->i", mat, mat)
+        # One product with (k, 1, |k|^2) gives the distance less its slack; -2q is exact, so q comes back from it.
+        self.sides = np.empty((len(mat), self.dims + 2))
+        self.sides[:, :-2] = -2.0 * mat
+        self.sides[:, -2], self.sides[:, -1] = self.norms * (1 - self.slack), 1.0
+        self.distance = np.full((len(mat), k), np.inf)
+        self.place = np.full((len(mat), k), np.iinfo(np.int64).max)
+        self.names: list[np.ndarray] = []
+        self.seen = 0
+        self.rows = max(1, math.isqrt(tile_bytes // 8))
+        self.slice = max(1, tile_bytes // (8 * self.rows))
+        self.low = np.empty(self.rows * self.slice)
+        self.own = None
+        if exclude_self:
+            code, own = pd.factorize(_named(ids))
+            self.by_code = np.argsort(code, kind="stable")
+            self.first = np.searchsorted(code[self.by_code], np.arange(len(own) + 1))
+            self.own = pd.Index(own, dtype=object)
+
+    def _same_id(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and KB rows with one id, by query."""
+        if self.own is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        code = self.own.get_indexer(_named(names))
+        col = np.flatnonzero(code >= 0)
+        start, n = self.first[code[col]], self.first[code[col] + 1] - self.first[code[col]]
+        row = self.by_code[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(row, kind="stable")
+        return row[order], np.repeat(col, n)[order]
+
+    def stream(self, names: np.ndarray, mat: np.ndarray) -> None:
+        """KB rows, which come by id: of equal distances the first stay."""
+        self.names.append(names)
+        for a in range(0, len(mat), self.rows):
+            part = mat[a:a + self.rows]
+            norms = np.einsum("ij,ij->i", part, part)
+            side = np.column_stack([part, np.ones(len(part)), norms * (1 - self.slack)]).T
+            row, col = self._same_id(names[a:a + self.rows])
+            for s in range(0, len(self.sides), self.slice):
+                mine = slice(*np.searchsorted(row, [s, s + self.slice]))
+                self._tile(s, part, norms, side, row[mine] - s, col[mine])
+            self.seen += len(part)
+
+    def _tile(self, s: int, part: np.ndarray, norms: np.ndarray, side: np.ndarray, row: np.ndarray, col: np.ndarray) -> None:
+        sides, own = self.sides[s:s + self.slice], self.norms[s:s + self.slice]
+        with np.errstate(all="ignore"):
+            low = self.low[:len(sides) * len(part)].reshape(len(sides), len(part))
+            np.matmul(sides, side, out=low)
+            low[row, col] = np.nan
+            limit = self.distance[s:s + self.slice, -1].copy()
+            fresh = np.flatnonzero(np.isinf(limit))
+            if len(fresh) and len(part) >= self.k:
+                high = low[fresh] + 2 * self.slack * (own[fresh, None] + norms)
+                high[~np.isfinite(high)] = np.inf
+                limit[fresh] = np.partition(high, self.k - 1, axis=1)[:, self.k - 1]
+            qi, ki = np.divmod(np.flatnonzero(low <= limit[:, None]), len(part))
+            fine = np.isfinite(own[qi] + norms[ki])
+            qi, ki = qi[fine], ki[fine]
+            exact = np.concatenate([((part[ki[a:a + 65536]] - -0.5 * sides[qi[a:a + 65536], :-2]) ** 2).sum(axis=1) for a in range(0, len(qi), 65536)] or [np.empty(0)])
+        better = exact < self.distance[s + qi, -1]
+        self._merge(s + qi[better], self.seen + ki[better], exact[better])
+
+    def _merge(self, q: np.ndarray, place: np.ndarray, distance: np.ndarray) -> None:
+        if not len(q):
+            return
+        rows, at = np.unique(q, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        distance = np.concatenate([self.distance[rows].ravel(), distance])
+        place = np.concatenate([self.place[rows].ravel(), place])
+        order = np.lexsort((place, distance, at))
+        take = order[np.searchsorted(at[order], np.arange(len(rows)))[:, None] + np.arange(self.k)]
+        self.distance[rows], self.place[rows] = distance[take], place[take]
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, ids, distances and ranks."""
+        q, j = np.nonzero(np.isfinite(self.distance))
+        return q, np.concatenate(self.names)[self.place[q, j]], self.distance[q, j], (j + 1).astype("int32")
+
+
+def _named(ids: np.ndarray) -> np.ndarray:
+    """Ids with a value of its own, which is no string, for null."""
+    return np.where(pd.isna(ids), 0, ids)
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -93,13 +166,11 @@ def _scored(k: int, exclude_self: bool, tile_bytes: int):
         group, ids, mats, keys, state = None, [], [], [], None
 
         def result():
-            best = state[2]
-            if len(best):
-                at = best["q"].to_numpy(dtype=int)
-                who = state[4].iloc[at].reset_index(drop=True)
-                rank = best.groupby("q").cumcount() + 1
-                yield pd.DataFrame({"query_id": state[0][at], "vec_key": who["vec_key"], "copies": who["copies"], "id": best["id"],
-                                    "distance": best["distance"], "rank": rank.astype("int32")})
+            q, name, distance, rank = state.hits()
+            who = pd.concat(keys)
+            if len(q):
+                yield pd.DataFrame({"query_id": np.concatenate(ids)[q], "vec_key": who["vec_key"].to_numpy()[q], "copies": who["copies"].to_numpy()[q],
+                                    "id": name, "distance": distance, "rank": rank})
 
         for batch in batches:
             for (g, side), part in batch.groupby(["g", "side"], sort=True):
@@ -115,12 +186,9 @@ def _scored(k: int, exclude_self: bool, tile_bytes: int):
                 if not ids:
                     continue
                 if state is None:
-                    empty = pd.DataFrame({"q": np.empty(0, int), "id": np.empty(0, object), "distance": np.empty(0)})
-                    state = [np.concatenate(ids), np.vstack(mats), empty, np.full(sum(map(len, ids)), np.inf), pd.concat(keys)]
-                rows = max(1, tile_bytes // (8 * len(state[0])))
-                for a in range(0, len(part), rows):
-                    tile = part.iloc[a:a + rows]
-                    state[2] = _tile(state[0], state[1], tile["id"].to_numpy(dtype=object), _matrix(tile["vec"]), state[2], state[3], k, exclude_self)
+                    state = _Nearest(np.concatenate(ids), np.vstack(mats), k, exclude_self, tile_bytes)
+                    mats = []
+                state.stream(part["id"].to_numpy(dtype=object), _matrix(part["vec"]))
         if state is not None:
             yield from result()
 
@@ -142,7 +210,7 @@ def _to_pivots(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
 def _pick_pivots(q: DataFrame, n: int) -> np.ndarray:
     """Up to ``n`` query vectors far from one another, out of a sample of bounded bytes."""
     width = q.agg(F.max(F.size("vec"))).first()[0]
-    sample = q.orderBy(F.xxhash64("id", F.lit(1)), "vec_key").limit(max(1, min(16 * n, SAMPLE_BYTES // (8 * max(width, 1))))).select("vec").collect()
+    sample = q.orderBy(F.xxhash64("id", F.lit(1)), F.xxhash64("vec")).limit(max(1, min(16 * n, SAMPLE_BYTES // (8 * max(width, 1))))).select("vec").collect()
     mat = np.array([r.vec for r in sample], dtype=np.float64)
     mat = mat[np.isfinite(mat).all(axis=1)]
     if not len(mat):
@@ -205,13 +273,17 @@ def _cell_bounds(q: DataFrame, pivots: np.ndarray, cells: int, kth: np.ndarray):
 
 
 def _deal(q: DataFrame, b: DataFrame, total: tuple[int, int], k: int, exclude_self: bool, group_bytes: int) -> tuple[DataFrame, int, int]:
-    """Both sides' rows with the tile ``g`` they go to, the number of tiles and of blocks. ``total``: the sides' bytes."""
+    """Both sides' rows with the tile ``g`` they go to, the number of tiles and of blocks; equal query rows as one
+    with their number. ``total``: the sides' bytes."""
     needed = max(1, math.ceil(total[0] / group_bytes))
-    tasks = max(1, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total[0] * total[1] / LEAST_TILE_BYTES ** 2)))
-    # Queries that fit one task are dealt by digest, in as many groups as make the copies of both sides fewest.
-    groups = needed if needed > 1 or not total[1] else min(tasks, max(1, round(math.sqrt(tasks * total[0] / total[1]))))
+    tasks = max(1, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(TASKS, 3 * q.sparkSession.sparkContext.defaultParallelism),
+                       math.ceil(total[0] * total[1] / LEAST_TILE_BYTES ** 2)))
+    # Groups beyond those that memory asks for, as many as make the copies of both sides fewest.
+    groups = max(needed, min(tasks, round(math.sqrt(tasks * total[0] / total[1]))) if total[1] else 1)
     blocks = max(1, math.ceil(total[1] / BLOCK_BYTES), math.ceil(tasks / groups))
-    q = q.withColumn("h", F.xxhash64("id", "vec_key"))
+    # Pivots and bounds are taken from the rows as they come, which need no shuffle.
+    plain = q
+    q = q.groupBy("id", "vec").agg(F.count("*").alias("copies")).withColumn("vec_key", F.xxhash64("vec")).withColumn("h", F.xxhash64("id", "vec_key"))
     b = b.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
     if needed == 1:
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -220,11 +292,11 @@ def _deal(q: DataFrame, b: DataFrame, total: tuple[int, int], k: int, exclude_se
             .unionByName(b.withColumn("group", each(groups)).select((F.col("group") * blocks + F.col("block")).alias("g"), F.lit(1).alias("side"), "id", "vec"),
                          allowMissingColumns=True)
         return rows, groups * blocks, blocks
-    pivots = _pick_pivots(q, min(PIVOTS, max(needed, 8)))
-    cells = min(needed, len(pivots))
+    pivots = _pick_pivots(plain, min(PIVOTS, max(groups, 8)))
+    cells = min(groups, len(pivots))
     kth = _kth_of_pivots(b, pivots, k + exclude_self)
-    lo, hi, top, size = _cell_bounds(q, pivots, cells, kth)
-    subs = np.maximum(1, np.ceil(size / group_bytes)).astype(int)
+    lo, hi, top, size = _cell_bounds(plain, pivots, cells, kth)
+    subs = np.maximum(np.maximum(1, np.ceil(size / group_bytes)), np.round(size * groups / max(total[0], 1))).astype(int)
     first = np.concatenate([[0], np.cumsum(subs)[:-1]])
     vec = q.schema["vec"].dataType.simpleString()
 
@@ -252,14 +324,13 @@ def _deal(q: DataFrame, b: DataFrame, total: tuple[int, int], k: int, exclude_se
 
 
 def _sides(queries: DataFrame, kb: DataFrame, query_id: str, query_vec: str, kb_id: str, kb_vec: str) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
-    """Both sides' (id, vec), vectors of one type; equal query rows as one with their number; their bytes."""
+    """Both sides' (id, vec), vectors of one type, and their bytes."""
     q, b = _prepare(queries, query_id, query_vec, "id"), _prepare(kb, kb_id, kb_vec, "id")
     if q.schema["vec"].dataType != b.schema["vec"].dataType:
         q, b = [df.withColumn("vec", F.col("vec").cast("array<double>")) for df in (q, b)]
     size = F.size("vec").cast("long") * 8
     found = q.select(F.lit(0).alias("side"), size.alias("n")).union(b.select(F.lit(1), size)).groupBy("side").agg(F.sum("n").alias("n")).collect()
     total = {r.side: r.n for r in found}
-    q = q.groupBy("id", "vec").agg(F.count("*").alias("copies")).withColumn("vec_key", F.xxhash64("vec"))
     return q, b, (total.get(0, 0), total.get(1, 0))
 
 
@@ -271,9 +342,9 @@ def knn(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id
     k = clamp_k(k)
     q, b, total = _sides(queries, kb, query_id, query_vec, kb_id, kb_vec)
     rows, tiles, blocks = _deal(q, b, total, k, exclude_self, group_bytes)
-    hits = rows.repartitionById(tiles, "g").sortWithinPartitions("g", "side").mapInPandas(_scored(k, exclude_self, tile_bytes), HITS)
+    hits = rows.repartitionById(tiles, "g").sortWithinPartitions("g", "side", F.col("id").asc_nulls_last()).mapInPandas(_scored(k, exclude_self, tile_bytes), HITS)
     if blocks > 1:
-        w = Window.partitionBy("query_id", "vec_key").orderBy("distance", "id")
+        w = Window.partitionBy("query_id", "vec_key").orderBy("distance", F.col("id").asc_nulls_last())
         hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return hits.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("query_id", "id", "distance", "rank")
 
