@@ -7,8 +7,10 @@ Classes. A word that makes up at least 1 / HEAD of the training tokens and occur
 LEAST times is a head word (so there are at most HEAD) and is put into one of CLASSES classes by exchange:
 in each round every head word's best class is found from its neighbours' classes, by the
 change of the log-likelihood, and the moves that gain are made for half of the
-words at a time, so that words do not change places for ever. Rarer words are
-classed by the order of magnitude of their count; the class of words
+words at a time, so that words do not change places for ever. Every other word that occurs
+LEAST times then gets its best class in the same way, from its neighbours' classes, in one pass over
+words' bins; these classes are data of Spark's and stay out of the driver. Words
+seen less, and those that gain nowhere, are classed by the order of magnitude of their count; the class of words
 seen once also holds the unseen, as one more type, with half of its emissions.
 The end is a class of its own, and stands before the first word as well.
 
@@ -18,7 +20,7 @@ ALPHA pseudo-counts; every distribution sums to one over the words and the unsee
 Spark jobs. Each task turns batches of texts into numbers of a batch's own words
 and sends each batch's distinct words, with their counts, to reducers by
 digest; these send the total counts back to the batches. Counts, bigrams and
-contexts so cover every training text, and nothing whole passes one task or
+contexts so cover every training text, the classes of words beyond the head go back the same way, and nothing whole passes one task or
 the driver, which holds the head (at most HEAD words) and the class matrix.
 
 Words are told apart by 64-bit digests.
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import saved, whole_text
+from .common import dropped, saved, whole_text
 from .shingles import WordDigests, text_words
 
 HEAD, LEAST, CLASSES, ROUNDS, ALPHA = 1 << 17, 8, 48, 8, 20.0
@@ -128,7 +130,7 @@ def _rows(schema: pa.Schema, *cols) -> pa.RecordBatch:
 
 # -- 2. total counts, sent back to the batches
 
-_TOTAL = "batch long, bin int, counts binary, head binary, n_tokens long, n_types long"
+_TOTAL = "batch long, bin int, counts binary, head binary, n_tokens long, n_types long, n_frequent long"
 
 
 def _total(table: pa.Table) -> pa.Table:
@@ -147,7 +149,8 @@ def _total(table: pa.Table) -> pa.Table:
     k = len(batch)
     return pa.table({"batch": pa.array([*batch, None], pa.int64()), "bin": pa.array([bin_] * (k + 1), pa.int32()),
                      "counts": pa.array([*map(_pack, replies), None], pa.binary()), "head": pa.array([None] * k + [pairs], pa.binary()),
-                     "n_tokens": pa.array([None] * k + [n], pa.int64()), "n_types": pa.array([None] * k + [int((total > 0).sum())], pa.int64())})
+                     "n_tokens": pa.array([None] * k + [n], pa.int64()), "n_types": pa.array([None] * k + [int((total > 0).sum())], pa.int64()),
+                     "n_frequent": pa.array([None] * k + [int(((total >= LEAST) & (all_ != _U(END))).sum())], pa.int64())})
 
 
 def _head_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,29 +163,44 @@ def _head_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- 3. texts as symbols: head words by number, other words by their count
 
 
-def _symbols(head: np.ndarray, bins: int):
-    """Texts and counts of a batch together: symbols of each text."""
+def _by_bin(rows: pa.Table, name: str) -> list[bytes]:
+    return [x for _, x in sorted((b, x) for b, x in zip(rows.column("bin").to_pylist(), rows.column(name).to_pylist()) if x is not None)]
+
+
+def _batch_words(head: np.ndarray, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's words in their order, their symbols and their counts; words and counts come in rows of their own."""
+    words = np.concatenate([np.frombuffer(w, _U) for w in _by_bin(replies, "words")])
+    count = np.concatenate([_unpack(c) for c in _by_bin(replies, "counts")]).astype(np.int64)
     order = np.argsort(head)
     known = head[order]
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    is_head = known[at] == words if len(known) else np.zeros(len(words), bool)
+    return words, np.where(is_head, order[at] if len(known) else 0, len(head) + count), count
+
+
+def _symbols(head: np.ndarray, classed: bool = False):
+    """Texts and counts of a batch together: symbols of each text; ``classed``: every word by its count, and its class."""
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        got = sorted(zip(replies.column("bin").to_pylist(), replies.column("words").to_pylist(), replies.column("counts").to_pylist()))
-        words = np.concatenate([np.frombuffer(w, _U) for _, w, _ in got])
-        symbol = np.concatenate([_unpack(c) for _, _, c in got]).astype(np.int64)
-        count = symbol.copy()
-        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-        is_head = known[at] == words if len(known) else np.zeros(len(words), bool)
-        symbol = np.where(is_head, order[at] if len(known) else 0, len(head) + symbol)
+        if classed:
+            count = np.concatenate([_unpack(c) for c in _by_bin(replies, "counts")]).astype(np.int64)
+            symbol = len(head) + count
+            of_word = np.concatenate([np.frombuffer(x, "<u2") for x in _by_bin(replies, "classes")])
+        else:
+            _, symbol, count = _batch_words(head, replies)
         log = np.log10(count + 0.1)
-        out, known_n, log_n, size = [], [], [], []
+        out, known_n, log_n, size, kinds = [], [], [], [], []
         for x in texts.column("tokens").to_pylist():
             t = _unpack(x)
             out.append(_pack(symbol[t]))
             known_n.append(int((count[t] > 0).sum()))
             log_n.append(float(log[t].sum()))
             size.append(len(t))
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "symbols": pa.array(out, pa.binary()),
-                         "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(known_n, pa.int64()), "log_counts": pa.array(log_n, pa.float64())})
+            if classed:
+                kinds.append(zlib.compress(of_word[t].tobytes(), 1))
+        got = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "symbols": pa.array(out, pa.binary()),
+               "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(known_n, pa.int64()), "log_counts": pa.array(log_n, pa.float64())}
+        return pa.table(got | ({"classes": pa.array(kinds, pa.binary())} if classed else {}))
 
     return run
 
@@ -315,19 +333,149 @@ def _moves(classes: np.ndarray, m: np.ndarray, n_free: int, part: int):
     return run
 
 
-# -- 5. scores
+# -- 5. classes of the words beyond the head
+
+_REST = "bin int, words binary, sizes binary, codes binary, n binary"
+
+
+def _rest_contexts(head: np.ndarray, classes: np.ndarray, kinds: int, bins: int):
+    """Texts and counts of a batch together: for each word beyond the head that occurs LEAST times, how often each class
+    follows it (codes from 0), goes before it (from ``kinds``), and the word itself follows (the last code)."""
+    codes = 2 * kinds + 1
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        words, symbol, count = _batch_words(head, replies)
+        of_word = classes[_unit(symbol, len(head))]
+        rest = (symbol >= len(head)) & (count >= LEAST)
+        end = np.flatnonzero(words == _U(END))[0]
+        lists = [_unpack(x).astype(np.int64) for x, h in zip(texts.column("tokens").to_pylist(), texts.column("held_out").to_pylist()) if not h]
+        z = np.concatenate([*lists, np.empty(0, np.int64)])
+        a = np.concatenate([*(np.append(end, t[:-1]) for t in lists), np.empty(0, np.int64)])
+        loop = a == z
+        left, right = rest[a] & ~loop, rest[z] & ~loop
+        key, n = np.unique(np.concatenate([a[left] * codes + of_word[z[left]], z[right] * codes + kinds + of_word[a[right]],
+                                           z[rest[z] & loop] * codes + codes - 1]), return_counts=True)
+        word, size = np.unique(key // codes, return_counts=True)
+        bin_ = _bin(words[word], bins)
+        which, first = np.unique(bin_, return_index=True)
+        edges = np.append(first, len(word))
+        at = np.concatenate([[0], np.cumsum(size)])
+        spans = list(zip(edges[:-1], edges[1:]))
+        return pa.table({"bin": pa.array(which, pa.int32()), "words": pa.array([words[word[p:q]].tobytes() for p, q in spans], pa.binary()),
+                         "sizes": pa.array([_pack(size[p:q]) for p, q in spans], pa.binary()),
+                         "codes": pa.array([_pack(key[at[p]:at[q]] % codes) for p, q in spans], pa.binary()),
+                         "n": pa.array([_pack(n[at[p]:at[q]]) for p, q in spans], pa.binary())})
+
+    return run
+
+
+def best_classes(m: np.ndarray, own: np.ndarray, out: np.ndarray, into: np.ndarray, loop: np.ndarray, n_free: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word (row) the best of the first ``n_free`` classes that are not empty and the gain in log-likelihood over its own, which is none of
+    them. ``m``: class bigrams, with the word in its own; ``out``, ``into``: its neighbours by class, without itself; ``loop``: how often it follows itself."""
+    r = np.arange(len(own))
+    fm, n = _f(m), out.sum(1) + loop
+    gain = np.zeros((len(own), n_free))
+    for side, back, big in ((out, into, m), (into, out, m.T)):
+        for a in range(0, len(own), 4096):
+            w, o = np.nonzero(side[a:a + 4096])
+            w += a
+            was = big[:n_free, o].T
+            # A class's bigrams with the word's own class lose those with the word.
+            was = np.maximum(was - np.where((o == own[w])[:, None], back[w, :n_free], 0.0), 0.0)
+            # The corner is added below, for both sides and loops at once.
+            plus = _f(was + side[w, o][:, None]) - _f(was)
+            plus[np.flatnonzero(o < n_free), o[o < n_free]] = 0.0
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(plus, first) if len(w) else 0.0
+    d = np.diag(m)[:n_free]
+    gain += _f(d + out[:, :n_free] + into[:, :n_free] + loop[:, None]) - _f(d)
+    stay = np.zeros(len(own))
+    for side, big in ((out, m[own]), (into, m.T[own])):
+        rest = big - side
+        rest[r, own] = big[r, own]
+        stay += (_f(big) - _f(np.maximum(rest, 0.0))).sum(1)
+        total = big.sum(1)
+        stay -= _f(total) - _f(np.maximum(total - n, 0.0))
+    corner = np.diag(m)[own]
+    stay += np.diag(fm)[own] - _f(np.maximum(corner - out[r, own] - into[r, own] - loop, 0.0))
+    for total in (m.sum(1)[:n_free], m.sum(0)[:n_free]):
+        gain -= _f(total + n[:, None]) - _f(total)
+    # An empty class would take all words that move at once.
+    gain[:, m.sum(0)[:n_free] == 0] = -np.inf
+    to = gain.argmax(1)
+    return to, gain[r, to] - stay
+
+
+def _rest_classes(m: np.ndarray, head: np.ndarray, classes: np.ndarray, n_classes: int, part: int):
+    """Words that batches asked for and the contexts of a bin together: the words' classes, for every batch that asked.
+    One of ``part`` words may move."""
+    kinds, codes = len(m), 2 * len(m) + 1
+    order = np.argsort(head)
+    known = head[order]
+
+    def run(asked: pa.Table, contexts: pa.Table) -> pa.Table:
+        names, to = np.empty(0, _U), np.empty(0, np.int64)
+        if contexts.num_rows:
+            size = np.concatenate([_unpack(x) for x in contexts.column("sizes").to_pylist()])
+            names, at = np.unique(np.concatenate([np.frombuffer(x, _U) for x in contexts.column("words").to_pylist()]), return_inverse=True)
+            code = np.concatenate([_unpack(x) for x in contexts.column("codes").to_pylist()]).astype(np.int64)
+            n = np.concatenate([_unpack(x) for x in contexts.column("n").to_pylist()]).astype(np.float64)
+            t = np.bincount(np.repeat(at, size) * codes + code, n, len(names) * codes).reshape(-1, codes)
+            out, into, loop = t[:, :kinds], t[:, kinds:-1], t[:, -1]
+            own = n_classes + np.frexp(out.sum(1) + loop)[1]
+            best, gain = best_classes(m, own, out, into, loop, n_classes)
+            to = np.where((gain > 1e-6) & ((names >> _U(8)) % _U(part) == 0), best, own)
+        replies = []
+        rows = list(zip(*(asked.column(k).to_pylist() for k in ("batch", "words", "counts"))))
+        words = {b: w for b, w, _ in rows if w is not None}
+        counts = {b: c for b, _, c in rows if c is not None}
+        for b, c in counts.items():
+            w = np.frombuffer(words[b], _U)
+            at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+            kind = classes[np.where(known[at] == w, order[at], _unit(len(head) + _unpack(c).astype(np.int64), len(head)))]
+            if len(names):
+                at = np.minimum(np.searchsorted(names, w), len(names) - 1)
+                kind = np.where(names[at] == w, to[at], kind)
+            replies.append(kind.astype("<u2").tobytes())
+        return pa.table({"batch": pa.array(list(counts), pa.int64()), "bin": pa.array([asked.column("bin")[0].as_py()] * len(counts), pa.int32()),
+                         "counts": pa.array(list(counts.values()), pa.binary()), "classes": pa.array(replies, pa.binary())})
+
+    return run
+
+
+def _text_matrix(kinds: int, closed: int):
+    """Class bigrams of texts whose words' classes are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(kinds * kinds)
+        for b in batches:
+            for x in b.column("classes").to_pylist():
+                c = np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64)
+                total += np.bincount(np.append(closed, c[:-1]) * kinds + c, minlength=kinds * kinds)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    return run
+
+
+# -- 6. scores
+
 
+def _score(n_head: int, closed: int, classes: np.ndarray, head_n: np.ndarray, log_size: np.ndarray, once: float, step: np.ndarray):
+    """A word's emission is its count's share of its class; of the class of words seen once half is for the unseen."""
+    log_head = np.log10(np.maximum(head_n, 1e-9))
+    low = np.log10([0.5, 0.5 / once] if once else [1.0, 1.0])
 
-def _score(n_head: int, end: int, classes: np.ndarray, emit_head: np.ndarray, emit_count: np.ndarray, step: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x in b.column("symbols").to_pylist():
+            kinds = b.column("classes").to_pylist() if "classes" in b.schema.names else [None] * b.num_rows
+            for x, kind in zip(b.column("symbols").to_pylist(), kinds):
                 s = _unpack(x).astype(np.int64)
-                c = classes[_unit(s, n_head)]
-                before = np.concatenate([[classes[end]], c[:-1]])
-                rare = s >= n_head
-                e = np.where(rare, emit_count[np.where(rare, s - n_head, 0)], emit_head[np.where(rare, 0, s)])
+                c = classes[_unit(s, n_head)] if kind is None else np.frombuffer(zlib.decompress(kind), "<u2").astype(np.int64)
+                before = np.append(closed, c[:-1])
+                n = s - n_head
+                e = np.where(n < 0, log_head[np.minimum(s, n_head - 1)], np.log10(np.maximum(n, 1))) - log_size[c]
+                e = np.where(c == closed + 1, low[np.clip(n, 0, 1)], e)
                 out.append(float((step[before, c] + e).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", "held_out", "n_tokens", "n_known", "log_counts")), pa.array(out, pa.float64())],
                                              ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
@@ -347,8 +495,8 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = saved(d.mapInArrow(_read(bins, to_arrow_type(kind)), f"doc_id {id_sql}, {_READ}"), "brown-read")
     asked = read.where("bin is not null").select("batch", "bin", "words", "counts")
     totals = saved(asked.groupBy("bin").applyInArrow(_total, _TOTAL), "brown-totals")
-    sums = totals.where("head is not null").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
-    n_tokens, n_types = int(sums[0]), int(sums[1])
+    sums = totals.where("head is not null").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_frequent"), F.lit(0))).first()
+    n_tokens, n_types, n_frequent = map(int, sums)
     # At most HEAD words and the end.
     rows = totals.where("head is not null").select("head").mapInArrow(_head_words, "word long, n long").where(
         (F.col("n") * HEAD >= n_tokens) & (F.col("n") >= LEAST) | (F.col("word") == int(np.int64(np.uint64(END).view(np.int64))))).collect()
@@ -362,9 +510,10 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end = int(np.flatnonzero(head == _U(END))[0])
 
     texts = read.where("bin is null").select("batch", "doc_id", "held_out", "tokens")
-    replies = totals.where("head is null").select("batch", "bin", "counts").join(asked.select("batch", "bin", "words"), ["batch", "bin"])
-    symbols = saved(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
-        _symbols(head, bins), f"doc_id {id_sql}, held_out boolean, symbols binary, n_tokens long, n_known long, log_counts double"), "brown-symbols")
+    # Words and counts of a batch meet in its task, without a join before.
+    replies = totals.where("head is null").select("batch", "bin", "counts").unionByName(asked.select("batch", "bin", "words"), allowMissingColumns=True)
+    scored = f"doc_id {id_sql}, held_out boolean, symbols binary, n_tokens long, n_known long, log_counts double"
+    symbols = saved(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_symbols(head), scored), "brown-symbols")
 
     pairs = symbols.where("not held_out").select("symbols").mapInArrow(_bigrams(n_head, end, bins), _PAIRS)
     contexts = pairs.groupBy("bin").applyInArrow(_contexts(n_head, CONTEXT_BINS), _PAIRS)
@@ -391,21 +540,38 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             # Moves made at once can lose where each alone gains.
             classes, m = old, before
 
-    # Emissions: head words by their share of the class, others by their count.
-    by_class = np.bincount(classes[:n_head], head_n, count)
+    if n_frequent > n_head - 1:
+        rest = saved(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_rest_contexts(head, classes, count, bins), _REST), "brown-rest")
+        dropped(symbols, contexts)
+        for part in (1, 2, 4):
+            found = saved(replies.groupBy("bin").cogroup(rest.groupBy("bin")).applyInArrow(
+                _rest_classes(m, head, classes, n_classes, part), "batch long, bin int, counts binary, classes binary"), "brown-found")
+            classed = saved(texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(_symbols(head, True), scored + ", classes binary"), "brown-classed")
+            dropped(found)
+            got = classed.where("not held_out").select("classes").mapInArrow(_text_matrix(count, n_classes), "m binary").collect()
+            after = sum((np.frombuffer(r["m"]).reshape(count, count) for r in got), np.zeros((count, count)))
+            # As above, moves made at once can lose; fewer then.
+            if _likelihood(after) >= _likelihood(m):
+                symbols, m = classed, after
+                break
+            if part < 4:
+                dropped(classed)
+            else:
+                # Nothing gains: the words stay as they were.
+                found = saved(replies.groupBy("bin").cogroup(rest.where("false").groupBy("bin")).applyInArrow(
+                    _rest_classes(m, head, classes, n_classes, part), "batch long, bin int, counts binary, classes binary"), "brown-found")
+                symbols = saved(texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(_symbols(head, True), scored + ", classes binary"), "brown-classed")
+                dropped(found, classed)
+        dropped(rest)
+
+    # Emissions: words by their share of the class.
     rare = m.sum(0)
-    emit_head = np.log10(np.maximum(head_n, 1e-9) / np.maximum(by_class[classes[:n_head]], 1e-9))
-    top = max(LEAST, int(n_tokens // HEAD)) + 2
-    c = np.arange(top + 1)
-    in_class = np.maximum(rare[classes[_unit(n_head + c, n_head)]], 1e-9)
-    emit_count = np.log10(np.maximum(c, 1) / in_class)
     once = max(rare[n_classes + 1], 0.0)
-    emit_count[0] = np.log10(0.5) if once else 0.0
-    emit_count[1] = np.log10(0.5 / once) if once else 0.0
+    log_size = np.log10(np.maximum(rare, 1e-9))
     prior = (rare + 0.1) / (rare.sum() + 0.1 * count)
     step = np.log10((m + alpha * prior) / (m.sum(1, keepdims=True) + alpha))
     base = float(np.log10(n_tokens + 0.1 * (n_types + 1)))
-    out = symbols.mapInArrow(_score(n_head, end, classes, emit_head, emit_count, step),
+    out = symbols.mapInArrow(_score(n_head, n_classes, classes, head_n, log_size, once, step),
                              f"doc_id {id_sql}, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"),
                       (F.col("log_counts") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score",
