@@ -541,8 +541,9 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             classes, m = old, before
 
     if n_frequent > n_head - 1:
-        rest = saved(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_rest_contexts(head, classes, count, bins), _REST), "brown-rest")
+        # Made anew below, with the words' classes.
         dropped(symbols, contexts)
+        rest = saved(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_rest_contexts(head, classes, count, bins), _REST), "brown-rest")
         for part in (1, 2, 4):
             found = saved(replies.groupBy("bin").cogroup(rest.groupBy("bin")).applyInArrow(
                 _rest_classes(m, head, classes, n_classes, part), "batch long, bin int, counts binary, classes binary"), "brown-found")
