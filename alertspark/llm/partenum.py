@@ -65,6 +65,9 @@ BINS_PER_PARTITION = 4
 SKETCH, WIDER = 1024, 4
 #: Classes that a signature may have for all their pairs to be verified at once.
 PAIRS = 8
+#: Bytes of a signature and of a short key that are sent. Digests that fall together
+#: by chance only give pairs that the verification drops.
+SENT = 6
 
 _U = np.uint64
 
@@ -147,7 +150,7 @@ def _keys(doc: np.ndarray, h: np.ndarray, n_docs: int) -> list[bytes]:
 
 
 def _short(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
+    return np.frombuffer(b"".join(k[:SENT] + bytes(8 - SENT) for k in keys), np.int64)
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
@@ -181,12 +184,20 @@ def _all_pairs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: np.ndarray, bins: int) -> Iterator[tuple[int, bytes]]:
-    """Rows by the bin of their first number."""
+    """Rows (numbers of SENT bytes) by the bin of their first number."""
     bin_ = (rows[:, 0].view(_U) % _U(bins)).astype(np.int64) if len(rows) else np.empty(0, np.int64)
     order = np.argsort(bin_, kind="stable")
     ids, at = np.unique(bin_[order], return_index=True)
     for b, part in zip(ids, np.split(rows[order], at[1:])):
-        yield int(b), part.tobytes()
+        yield int(b), part.view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    """The rows of a block."""
+    sent = np.frombuffer(data, np.uint8).reshape(-1, SENT)
+    out = np.zeros((len(sent), 8), np.uint8)
+    out[:, :SENT] = sent
+    return out.view(np.int64).reshape(-1, 2)
 
 
 # What blocks hold: records of signatures, records of open ones (one each),
@@ -209,6 +220,7 @@ def _send(bins: int, n_words: int, pct: int):
                 fresh = np.array([not (k in seen or seen.add(k)) for k in keys], bool)
                 e = fresh[doc] if n else np.zeros(0, bool)
                 sig, d = signatures(doc[e], h[e], n, pct)
+                sig = sig >> _U(64 - 8 * SENT)
                 rows, wide, first = _groups(sig, _short(keys)[d], np.empty(0, _U))
                 own = np.arange(len(rows)) == first
                 out = [(i, kind, x) for kind, part_ in (
@@ -223,7 +235,7 @@ def _send(bins: int, n_words: int, pct: int):
 def _meet(table: pa.Table) -> pa.Table:
     got = {k: [np.empty((0, 2), np.int64)] for k in (RECORD, OPEN, MEMBER)}
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data")):
-        got[kind].append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 2))
+        got[kind].append(_unpacked(data.as_buffer()))
     got = {k: np.concatenate(v) for k, v in got.items()}
     both = np.concatenate([got[RECORD], got[OPEN]])
     rows, wide, first = _groups(both[:, 0].copy().view(_U), both[:, 1].copy(), got[OPEN][:, 0].copy().view(_U))

@@ -30,7 +30,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text, words
+from .common import BROADCAST_BYTES, saved, whole_text, words
 
 WINDOW = 5
 #: Least words, and most repeated words per hundred, of the base rule.
@@ -70,14 +70,14 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
                     whole_text(text_col).alias("_t"), *[F.col(c).alias(f"_k_{c}") for c in keep])
     d = d.withColumn("_w", words(F.col("_t")))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.select(
-        "doc_id", "stratum", *[f"_k_{c}" for c in keep],
+    # Counts come out of a generator: a filter on them is not pushed below, where they would be counted again.
+    d = d.select("doc_id", "stratum", *[f"_k_{c}" for c in keep], F.inline(F.array(F.struct(
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_w")).alias("n_repeat_words"))
+        _repeat_words(F.col("_w")).alias("n_repeat_words")))))
     n = F.greatest("n_words", F.lit(1))
     per_mille = lambda a, b: F.floor(F.col(a) * 1000 / b).cast("long")
     return d.withColumns({
@@ -121,9 +121,12 @@ def thresholds(sig: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     return out.select("stratum", "n", *[f"cut_{c}" for c in cutoffs])
 
 
-def _kept(sig: DataFrame, labels: DataFrame, risk: float, delta: float, cutoffs) -> DataFrame:
+def _cutoffs(sig: DataFrame, labels: DataFrame, risk: float, delta: float, cutoffs) -> DataFrame:
+    return saved(thresholds(sig, labels, risk, delta, cutoffs), "rule-cutoffs").drop("n")
+
+
+def _kept(sig: DataFrame, cuts: DataFrame, cutoffs) -> DataFrame:
     """``sig`` with the verdict in ``kept``."""
-    cuts = saved(thresholds(sig, labels, risk, delta, cutoffs), "rule-cutoffs").drop("n")
     over = [F.coalesce(F.col(_SIGNAL.get(c, c)) > F.col(f"cut_{c}"), F.lit(False)) for c in cutoffs]
     bad = functools.reduce(lambda x, y: x | y, over)
     return sig.join(cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~bad)
@@ -133,12 +136,17 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 risk: float = RISK, delta: float = DELTA, cutoffs=CUTOFFS) -> DataFrame:
     """The counts of every document, base_failed and kept."""
     sig = saved(signals(docs, id_col, text_col, stratum_col), "rule-signals")
-    return _kept(sig, labels, risk, delta, cutoffs).select(
+    return _kept(sig, _cutoffs(sig, labels, risk, delta, cutoffs), cutoffs).select(
         "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
                    risk: float = RISK, delta: float = DELTA, cutoffs=CUTOFFS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    sig = saved(signals(docs, id_col, text_col, stratum_col, tuple(docs.columns)), "rule-signals")
-    return _kept(sig, labels, risk, delta, cutoffs).where("kept").select([F.col(f"_k_{c}").alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are kept, with all their columns. Signals are counted
+    twice, for the cutoffs (of labelled rows only, where the labels' ids can be broadcast) and for
+    the verdicts, so no copy of the texts is written."""
+    ids = labels.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    labelled = docs.join(F.broadcast(ids), id_col, "left_semi") if ids.count() * 8 <= BROADCAST_BYTES else docs
+    cuts = _cutoffs(signals(labelled, id_col, text_col, stratum_col), labels, risk, delta, cutoffs)
+    sig = signals(docs, id_col, text_col, stratum_col, tuple(docs.columns))
+    return _kept(sig, cuts, cutoffs).where("kept").select([F.col(f"_k_{c}").alias(c) for c in docs.columns])
