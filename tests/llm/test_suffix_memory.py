@@ -29,3 +29,21 @@ def test_a_worker_holds_little_of_a_batch(step):
     finally:
         tracemalloc.stop()
     assert rows > 10_000 and peak < 120e6
+
+
+@pytest.mark.parametrize("need", [4, 500])
+def test_suffixes_rank_as_in_a_plain_sort(spark, need):
+    rnd = random.Random(6)
+    seqs = [[rnd.randint(-2, 2) for _ in range(rnd.randint(1, 60))] for _ in range(12)] + [[1] * 90, [1] * 40, [1, 2] * 30]
+    rows = spark.createDataFrame([(s, x, c) for s, q in enumerate(seqs) for x, c in enumerate(q)], "s long, x long, sym long").repartition(5)
+    ranks, _ = suffix_dedup.suffix_ranks(rows, need)
+    got = sorted((r.rank, r.s, r.x) for r in ranks.collect())
+    assert len(got) == sum(map(len, seqs))
+    suffix = [(seqs[s][x:] + [-9])[:need] for _, s, x in got]
+    assert suffix == sorted(suffix)
+    # Of n equal ones, all ranks lie within n places.
+    lo = {}
+    for i, ((rank, _, _), key) in enumerate(zip(got, map(tuple, suffix))):
+        lo.setdefault(key, [i + 1, 0])[1] += 1
+        assert lo[key][0] <= rank
+    assert all(rank < lo[key][0] + lo[key][1] for (rank, _, _), key in zip(got, map(tuple, suffix)))
