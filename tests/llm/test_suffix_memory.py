@@ -47,3 +47,18 @@ def test_suffixes_rank_as_in_a_plain_sort(spark, need):
         lo.setdefault(key, [i + 1, 0])[1] += 1
         assert lo[key][0] <= rank
     assert all(rank < lo[key][0] + lo[key][1] for (rank, _, _), key in zip(got, map(tuple, suffix)))
+
+
+def test_digests_of_neighbouring_starts_travel_together():
+    text = random.Random(8).randbytes(3000).hex().encode()
+    buf = suffix_dedup.Buffer([text])
+    p, h = buf.anchors()
+    starts = len(text) - suffix_dedup.LENGTH + 1
+    b = pa.record_batch({
+        "text": [text.decode()], "tid": np.array([7]), "anchors": pa.array([np.stack([p, h.view(np.int64)], 1).tobytes()], pa.binary()),
+        "sure": pa.array([b""], pa.binary()), "open": pa.array([np.array([0, starts], np.int32).tobytes()], pa.binary()),
+        "asked": pa.array([h.view(np.int64).tolist()], pa.list_(pa.int64()))})
+    rows = [r for out in suffix_dedup._send(10_000)(iter([b])) for r in out.to_pylist()]
+    at = sorted(i for r in rows for i in np.frombuffer(r["i"], np.int32).tolist())
+    assert len(at) > 5000 and len(set(at)) == len(at)
+    assert len({r["bin"] for r in rows}) < len(at) / 30
